@@ -91,7 +91,7 @@ def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Folding: appearance, canonical decomposition, full case folding, then one symbol per class of letters joined by
     look-alikes or case. Blanks and punctuation fold to nothing, but for - . , whose place decides (see `duplicates`)
-    and the per cent sign. Characters beyond the basic plane stand for themselves.
+    the > that quotes a line, and the per cent sign. Characters beyond the basic plane stand for themselves.
     """
     root: dict[str, str] = {}
 
@@ -123,9 +123,8 @@ def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _fold_one(ch: str) -> list[str]:
     out = []
     for x in ud.normalize("NFD", "".join(appearance(y) for y in ud.normalize("NFD", appearance(ch).casefold()))):
-        if ud.category(x)[0] in "ZCP" and x not in "-.,%":
-            continue
-        if x in "▪•¬":
+        c = ud.category(x)
+        if (c[0] in "ZCP" and x not in "-.,%") or (c == "Sk" and x != "^") or x in "|▪■●◦¬":
             continue
         out.append(x)
     return out
