@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, lookalike
+from lexloom.llm import duplicates, lookalike, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lookalike.p1_found,
         "p1_consistent": lookalike.p1_consistent,
+        "p2_found": pages.p2_found,
+        "p2_repaired": pages.p2_repaired,
         "p5_found": duplicates.p5_found,
         "p5_classes": duplicates.p5_classes,
     }
