@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, lookalike, pages
+from lexloom.llm import duplicates, leaks, lookalike, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
         "p2_repaired": pages.p2_repaired,
         "p5_found": duplicates.p5_found,
         "p5_classes": duplicates.p5_classes,
+        "p8_found": leaks.p8_found,
+        "p8_overlaps": leaks.p8_overlaps,
+        "p8_items": leaks.p8_items,
     }
 
 
