@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, languages, leaks, lookalike, pages
+from lexloom.llm import duplicates, languages, leaks, lookalike, pages, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "p4_segments": languages.p4_segments,
         "p5_found": duplicates.p5_found,
         "p5_classes": duplicates.p5_classes,
+        "p6_found": truncation.p6_found,
+        "p6_rates": truncation.p6_rates,
         "p8_found": leaks.p8_found,
         "p8_overlaps": leaks.p8_overlaps,
         "p8_items": leaks.p8_items,
