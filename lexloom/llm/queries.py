@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, languages, leaks, lookalike, pages, truncation
+from lexloom.llm import duplicates, languages, leaks, lookalike, pages, pairs, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "p1_consistent": lookalike.p1_consistent,
         "p2_found": pages.p2_found,
         "p2_repaired": pages.p2_repaired,
+        "p3_found": pairs.p3_found,
+        "p3_rates": pairs.p3_rates,
         "p4_found": languages.p4_found,
         "p4_segments": languages.p4_segments,
         "p5_found": duplicates.p5_found,
