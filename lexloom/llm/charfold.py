@@ -64,6 +64,10 @@ _MARKS = {ord(c): ud.normalize("NFKC", c) for c in CJK_MARKS}
 _CJK_MARKS, _CJK = re.compile(f"[{CJK_MARKS}]"), re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
+#: Any character outside the ordinary ones of Latin, Cyrillic and Chinese text, which look like nothing plainer.
+_ODD = re.compile("[^\n -~¡-¬®-ıĴ-ľŀ-ňŊ-ſЀ-ӿ–—‘-•…№、-】一-\u9fff]")
+
+
 @lru_cache(1)
 def appearance_table() -> dict[int, str | None]:
     """str.translate table of every character of the basic plane and the tag plane that `appearance` changes."""
@@ -76,7 +80,7 @@ def appearance_table() -> dict[int, str | None]:
 
 def look(text: str) -> str:
     """Compatibility normalisation of the appearance-keeping kind, with ignorable signs deleted and accents composed."""
-    if text.isascii() and "\t" not in text:
+    if not _ODD.search(text):
         return text
     t = text.translate(appearance_table())
     if _CJK_MARKS.search(t) and not _CJK.search(t):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import CYRILLIC, TO_LATIN, look, script_of
+from lexloom.llm.learn import bounded_sample
 from lexloom.sources.tables import table
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "zh")
@@ -290,7 +291,7 @@ def fit_languages(labelled: DataFrame, documents: DataFrame | None = None) -> di
     With `documents` (doc_id, source_lang), only texts whose label agrees with their document's are taken.
     """
     some = labelled.where("trim(lang) != '' and text is not null").where(letters_of(F.col("text")) >= LEAST).select("doc_id", "lang", F.substring("text", 1, 2000).alias("text"))
-    some = some.orderBy(F.xxhash64("text"), "lang", "doc_id").limit(SAMPLE_RUNS)
+    some = bounded_sample(some, SAMPLE_RUNS, "text", "lang", "doc_id")
     if documents is not None:
         some = documents.select("doc_id", "source_lang").join(F.broadcast(some), "doc_id").select("lang", "text", "source_lang")
         rows = [r for r in some.collect() if language_of_label(r.lang) == language_of_label(r.source_lang)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.learn import Boosted
+from lexloom.llm.learn import Boosted, bounded_sample
 from lexloom.llm.refs import texts
 from lexloom.operators.lineage import cut_table
 from lexloom.sources.tables import table
@@ -461,7 +461,7 @@ def page_noise(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     Null and empty texts have no noise; repeated records count once; a text of any length is read whole.
     """
     rows = rows.where("text is not null").select("ref", "text").distinct()
-    clean = rows.where(~F.col("text").contains("\n") & (F.length("text") < 400)).orderBy(F.xxhash64("text"), "text").limit(TRAIN_TEXTS).select("text").collect()
+    clean = bounded_sample(rows.select("text").where(~F.col("text").contains("\n") & (F.length("text") < 400)), TRAIN_TEXTS, "text").collect()
     model = rows.sparkSession.sparkContext.broadcast(train_lines([r.text for r in clean]))
     by_line, titles = running(rows, model)
     titles = cut_table(titles)
