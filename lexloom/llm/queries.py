@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, languages, leaks, lookalike, pages, pairs, truncation
+from lexloom.llm import duplicates, languages, leaks, lookalike, pages, pairs, toxicity, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p8_found": leaks.p8_found,
         "p8_overlaps": leaks.p8_overlaps,
         "p8_items": leaks.p8_items,
+        "p9_found": toxicity.p9_found,
+        "p9_rates": toxicity.p9_rates,
     }
 
 
