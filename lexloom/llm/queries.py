@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import duplicates, languages, leaks, lookalike, pages, pairs, toxicity, truncation
+from lexloom.llm import duplicates, languages, leaks, lookalike, packing, pages, pairs, toxicity, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "p5_classes": duplicates.p5_classes,
         "p6_found": truncation.p6_found,
         "p6_rates": truncation.p6_rates,
+        "p7_containers": packing.p7_containers,
+        "p7_fill": packing.p7_fill,
         "p8_found": leaks.p8_found,
         "p8_overlaps": leaks.p8_overlaps,
         "p8_items": leaks.p8_items,
