@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import looks_like, norm_text, normal_form, not_blank
 
-SLIDE = F.coalesce(F.col("layout.slide_index"), F.lit(0))
 #: Height of the title zone in EMU: one inch.
 TITLE_ZONE = 914400
 EMU_PER_POINT = 12700
 
 
+def slide_of() -> Column:
+    """A block's slide; blocks without layout lie on the first."""
+    return F.coalesce(F.col("layout.slide_index"), F.lit(0))
+
+
 def translatable(blocks: DataFrame) -> DataFrame:
     """Blocks to translate: marked so and not blank. A null mark or text counts as no."""
     return blocks.where(F.col("translatable") & not_blank(F.col("source_text")))
@@ -25,7 +29,7 @@ def with_roles(blocks: DataFrame) -> DataFrame:
     """`semantic_role` with titles filled in: a block without role in the title zone is its slide's title unless an earlier block was one."""
     w = Window.partitionBy("doc_id", "slide").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     zone = (F.col("type") != "image") & F.col("layout").isNotNull() & F.col("semantic_role").isNull() & (F.col("layout.position.y") < TITLE_ZONE)
-    b = blocks.withColumn("slide", SLIDE).withColumn("_zone", F.coalesce(zone, F.lit(False)))
+    b = blocks.withColumn("slide", slide_of()).withColumn("_zone", F.coalesce(zone, F.lit(False)))
     event = (F.col("_zone") | F.col("semantic_role").eqNullSafe("title")).cast("int")
     first = F.coalesce(F.sum(event).over(w), F.lit(0)) == 0
     return b.withColumn("role", F.when(F.col("_zone") & first, "title").otherwise(F.col("semantic_role"))).drop("_zone")
@@ -33,7 +37,7 @@ def with_roles(blocks: DataFrame) -> DataFrame:
 
 def slide_context(blocks: DataFrame, limit: int = 1200) -> DataFrame:
     """(doc_id, slide, context): the texts of a slide in order, joined by ' / ', at most `limit` characters."""
-    b = translatable(blocks).select("doc_id", SLIDE.alias("slide"), "ord", "source_text")
+    b = translatable(blocks).select("doc_id", slide_of().alias("slide"), "ord", "source_text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_text"))), lambda x: x["source_text"]), " / ")
     return b.groupBy("doc_id", "slide").agg(F.substring(joined, 1, limit).alias("context"))
 
@@ -51,7 +55,7 @@ def glossary_hits(blocks: DataFrame, glossary: list[tuple[str, str]]) -> DataFra
 def slide_glossary(blocks: DataFrame, glossary: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, slide, terms): the distinct terms of a slide's blocks, sorted."""
     hits = glossary_hits(translatable(blocks), glossary).select("doc_id", "id", "term")
-    slides = blocks.select("doc_id", "id", SLIDE.alias("slide")).distinct()
+    slides = blocks.select("doc_id", "id", slide_of().alias("slide")).distinct()
     return hits.join(slides, ["doc_id", "id"]).groupBy("doc_id", "slide").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
 
 
@@ -91,7 +95,7 @@ def bilingual_pairs(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
     An equi-join on document, slide and text key; only its few hits meet the test of position.
     """
-    b = blocks.select("doc_id", SLIDE.alias("slide"), "id", "ord", "source_text", "target_text", F.col("layout.position").alias("box"))
+    b = blocks.select("doc_id", slide_of().alias("slide"), "id", "ord", "source_text", "target_text", F.col("layout.position").alias("box"))
     b = b.where("box is not null").join(documents.select("doc_id", "source_lang", "target_lang"), "doc_id")
     left = b.where("target_text is not null").withColumn("key", norm_text("target_text")).where((F.col("key") != "") & (F.col("key") != norm_text("source_text")))
     left = left.where(looks_like(F.col("source_text"), F.col("source_lang"))).select("doc_id", "slide", "key", "id", F.col("box").alias("a"))
@@ -135,5 +139,5 @@ def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) ->
 
     ref = F.col("source_ref")
     shape = F.concat_ws("/", ref["kind"], *(F.coalesce(ref[k].cast("string"), F.lit("-")) for k in ("shape_id", "row", "col")))
-    b = blocks.select("doc_id", SLIDE.alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"))
+    b = blocks.select("doc_id", slide_of().alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"))
     return b.groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, id string, target_text string")

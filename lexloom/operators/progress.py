@@ -23,3 +23,9 @@ def lateness(events: DataFrame) -> DataFrame:
     """(phase, events, late): reports and those that arrived over an hour after their time."""
     late = (F.unix_micros("arrived_at") - F.unix_micros("ts")) > 3_600_000_000
     return events.distinct().groupBy("phase").agg(F.count("*").alias("events"), F.sum(late.cast("long")).alias("late"))
+
+
+def latest_rows(events: DataFrame) -> DataFrame:
+    """The whole last report of each job and phase, with all its columns."""
+    at = F.struct("ts", "arrived_at", F.coalesce("completed", F.lit(-1)), F.coalesce("total", F.lit(-1)))
+    return events.groupBy("job_id", "phase").agg(F.max_by(F.struct(*events.columns), at).alias("x")).select("x.*")

@@ -12,6 +12,7 @@ from lexloom.operators import blocks as B
 from lexloom.operators import images as I
 from lexloom.operators import progress as P
 from lexloom.operators import quality as Q
+from lexloom.operators import rasters as R
 from lexloom.operators import shapes as S
 from lexloom.operators import words as W
 from lexloom.sources.tables import table
@@ -355,6 +356,12 @@ def mapping_gate(spark, d):
     return Q.mapping_gate(rows(spark, d, "regions").select("doc_id", "image_id", "id", "translatable", "source_text", "target_text").distinct())
 
 
+@query()
+def region_font_sizes(spark, d):
+    """The size at which each region's text fits its box."""
+    return R.fitted_sizes(rows(spark, d, "regions").select("doc_id", "image_id", "id", "bbox", "source_text", "target_text").distinct())
+
+
 # Recognised text
 
 
@@ -408,7 +415,7 @@ f AS (SELECT *, p.x AS l, p.y AS t, p.x + p.w AS r, p.y + p.h AS b, p.h AS h FRO
 
 def _shapes(spark, d, kind: str):
     b = rows(spark, d, "blocks").where("layout.position is not null")
-    b = b.select("doc_id", B.SLIDE.alias("slide"), F.col("ord").alias("z"), "id", "type", F.col("layout.position").alias("box")).distinct()
+    b = b.select("doc_id", B.slide_of().alias("slide"), F.col("ord").alias("z"), "id", "type", F.col("layout.position").alias("box")).distinct()
     return b.where(F.col("type").isin("title", "body", "shape_text")).drop("type"), b.where(F.col("type") == kind).drop("type")
 
 
@@ -514,3 +521,12 @@ SELECT m.doc_id, j.translation_engine AS engine, j.ocr_engine, j.state FROM doc_
 def finished_documents(spark, d):
     j = table(spark, d, "jobs").where("state = 'done'").select(F.col("input_path").alias("path"), F.col("translation_engine").alias("engine"), "ocr_engine", "state").distinct()
     return table(spark, d, "doc_meta").select("doc_id", "path").join(j, "path").drop("path")
+
+
+@query()
+def document_json(spark, d):
+    """Each document with its blocks, nested and in order."""
+    from lexloom.sources.documents import as_json
+
+    b = rows(spark, d, "blocks").select("doc_id", "ord", "id", "type", "semantic_role", "source_text", "target_text", "source_ref").distinct()
+    return as_json(table(spark, d, "doc_meta"), b)
