@@ -29,6 +29,8 @@ LEAST = 12
 MAP_SIDE_SEEDS = 2_000_000
 #: Consecutive unequal words that end an overlap.
 GAP = 2
+#: Diagonals looked at for the longest overlap of two texts, and places of a seed that vote; whether a run is common is tested apart from them.
+DIAGONALS, PLACES = 64, 8
 
 
 def words(text: str) -> list[str]:
@@ -74,6 +76,34 @@ def overlaps(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], gap
     return out
 
 
+def diagonals(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
+    """A hit (place in doc, place in item) on each of the DIAGONALS diagonals with the most common seeds.
+
+    In texts that repeat themselves every seed has many places; then its first PLACES in the item stand for all.
+    """
+    votes: dict[int, int] = {}
+    for mx, my in zip(doc, item, strict=True):
+        where: dict[int, list[int]] = {}
+        for j, s in enumerate(my.tolist()):
+            if len(at := where.setdefault(s, [])) < PLACES:
+                at.append(j)
+        for i in np.flatnonzero(np.isin(mx, my)).tolist():
+            for j in where[int(mx[i])]:
+                votes[i - j] = votes.get(i - j, 0) + 1
+    best = sorted(votes, key=lambda k: (-votes[k], k))[:DIAGONALS]
+    return [(max(k, 0), max(k, 0) - k) for k in best]
+
+
+def windows(ids: np.ndarray) -> set[int]:
+    """Hashes of all runs of LEAST words: the exact test for a common run."""
+    n = len(ids) - LEAST + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for i in range(LEAST if n > 0 else 0):
+        h = (h ^ ids[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return set(h.tolist())
+
+
 def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text, item_id) of the documents with a seed of an item, by one of two joins on the seed."""
 
@@ -140,16 +170,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             rows = []
             for d, i, t, u in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text")), strict=True):
                 x, y = word_ids(words(t)), word_ids(words(u))
-                sx, sy = seeds(x), seeds(y)
-                hits = []
-                for mx, my in zip(sx, sy, strict=True):
-                    where: dict[int, list[int]] = {}
-                    for j, s in enumerate(my.tolist()):
-                        where.setdefault(s, []).append(j)
-                    hits += [(i_, j) for i_, s in enumerate(mx.tolist()) for j in where.get(s, ())]
+                hits = diagonals(seeds(x), seeds(y))
                 if found := overlaps(x, y, hits):
                     start, n, equal, _ = max(found, key=lambda o: (o[2], -o[0]))
-                    rows.append((d, i, start, n, equal, max(o[3] for o in found)))
+                    run = max(o[3] for o in found)
+                    rows.append((d, i, start, n, equal, max(run, LEAST) if run >= LEAST or windows(x) & windows(y) else run))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int64()] + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "start", "words", "equal", "run"])
