@@ -62,10 +62,10 @@ def marked(c: Column) -> Column:
 def tokens(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep..., token, a, b, hyphen): the tokens of `text`, lower case, without edge punctuation.
 
-    A word that may be broken has its parts in a and b, its hyphen in `hyphen` and its joined form in token; else these are null.
+    Runs of over 200 characters without a blank are no words. A word that may be broken has its parts in a and b, its hyphen in `hyphen` and its joined form in token; else these are null.
     """
     raw = F.explode(F.split(marked(F.col("text")), r"[\s\x{A0}\x{2000}-\x{200A}\x{202F}]+"))
-    t = rows.select(*keep, raw.alias("raw"))
+    t = rows.select(*keep, raw.alias("raw")).where(F.length("raw") <= 200)
     t = t.select(*keep, F.lower(F.regexp_replace("raw", f"^{EDGE}+|{EDGE}+$", "")).alias("raw")).where(r"raw rlike '[\\p{L}]'")
     p = F.instr("raw", MARK) > 0
     part = F.split("raw", MARK)
@@ -82,9 +82,12 @@ def lexicon(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(token, n, shown, copied): how often each unbroken token occurs in `rows` (text), and of the `pairs` (text, target)
     with it how many there are and how many have it in the target too (names and codes do)."""
     n = tokens(rows.select("text")).where("a is null").groupBy("token").agg(F.count("*").alias("n"))
-    copied = (F.instr(F.lower("target"), F.col("token")) > 0).cast("int")
-    shown = tokens(pairs.where("text is not null and target is not null"), "target").where("a is null").groupBy("token")
-    shown = shown.agg(F.count("*").alias("shown"), F.sum(copied).alias("copied"))
+    both = pairs.where("text is not null and target is not null").select(F.xxhash64("text", "target").alias("pair"), "text", "target")
+    source = tokens(both.select("pair", "text"), "pair").where("a is null").select("pair", "token").distinct()
+    # In a Chinese target a name has no blanks around it, so runs of Latin letters count beside the tokens.
+    runs = both.select("pair", F.explode(F.regexp_extract_all(F.lower("target"), F.lit(r"\p{IsLatin}[\p{IsLatin}\p{Nd}’'-]*"), F.lit(0))).alias("token"))
+    target = tokens(both.select("pair", F.col("target").alias("text")), "pair").select("pair", "token").unionByName(runs).distinct().withColumn("there", F.lit(1))
+    shown = source.join(target, ["pair", "token"], "left").groupBy("token").agg(F.count("*").alias("shown"), F.count("there").alias("copied"))
     return n.join(shown, "token", "left").select("token", "n", F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce("copied", F.lit(0)).alias("copied"))
 
 
@@ -342,13 +345,14 @@ def train_lines(clean: list[str], seed: int = 7) -> Boosted:
             t = t.upper() if rng.random() < 0.3 else t
             return t if rng.random() < 0.6 else pick([f"{n} | {t}", f"{t}   {n}", f"{t} | {n}", f"{n} {t}"])
 
-        if rng.random() < 0.25:
+        torn = rng.random() < 0.25
+        if torn:
             # No page at all, but a text with one line break somewhere.
             ws = pick(long + short).split(" ")
             cut = int(rng.integers(1, max(2, len(ws) // pick([1, 4]))))
             page = [(" ".join(ws[:cut]), 0), (" ".join(ws[cut:]), 0)]
             page = [p for p in page if p[0]]
-        for _ in range(rng.integers(0, 3) * (len(page) > 2)):
+        for _ in range(0 if torn else rng.integers(0, 3)):
             at = pick([0, len(page), int(rng.integers(0, len(page) + 1))])
             for _ in range(rng.integers(1, 3)):
                 page.insert(at, (furniture(), 1))
