@@ -42,7 +42,9 @@ LEAST, OWN = 12, 12
 SURE = 0.15
 #: Phrases that a change of language between neighbouring segments costs.
 SWITCH = 3.0
-SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+(?=\W*\w)|(?<=[。！？；])|(?<=[^\W\d])\s+[|/—–-]\s+|\s*[()（）«»“”„\"]\s*|(?<=[:;])\s+")
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+(?=\S)|(?<=[。！？；])|(?<=[^\W\d])\s+[|/—–-]\s+|[()（）«»“”„\"]\s*|(?<=[:;])\s+")
+#: Characters that one automaton run reads at most.
+LONGEST = 400
 BREAK, DIGIT, HAN, FIRST = 1, 2, 3, 40
 
 
@@ -176,6 +178,11 @@ def segments_of(text: str) -> list[tuple[int, int]]:
     for a, z in zip(cuts, cuts[1:], strict=False):
         if a == z:
             continue
+        while z - a > LONGEST:
+            # Very long stretches are parsed in parts, cut at a blank where there is one.
+            at = text.rfind(" ", a + LONGEST // 2, a + LONGEST) + 1 or a + LONGEST
+            out.append((a, at))
+            a = at
         if out and (_small(text[a:z]) or _small(text[slice(*out[-1])])):
             out[-1] = (out[-1][0], z)
         else:
@@ -208,6 +215,8 @@ class Parser:
         A Viterbi pass over the segments of a text charges SWITCH phrases for a change of language. Confidence is one
         minus the ratio of the phrases of the best language to those of the next best. Texts without letters have no stretch.
         """
+        if not self.languages:
+            return [[] for _ in texts]
         seen = [look(t) for t in texts]
         spans = [segments_of(t) for t in seen]
         cost, letters = self.costs([t[a:z] for t, s in zip(seen, spans, strict=True) for a, z in s])

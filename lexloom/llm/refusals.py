@@ -40,8 +40,12 @@ Przepraszam, ale nie mogę przetłumaczyć tego tekstu. Nie mogę pomóc w tej s
 BITS = 16
 #: What a refusal may carry after it: the text refused, in brackets or quotes.
 _REST = re.compile(r"(?<=[.!。！])\s*[(（\[«„“\"].*$", re.S)
-#: Share of ordinary answers that may score as high as the threshold.
-FALSE = 0.0005
+#: Share of answers that surely aren't refusals, and what a refusal must score above the best of them.
+ORDINARY, ABOVE = 0.95, 0.4
+#: Least score of a refusal.
+LEAST = 0.9
+#: Score from which a repeated answer may be a refusal.
+ALIKE = 0.2
 
 
 _OTHER = re.compile(r"[^\w'-]+|\d+")
@@ -59,13 +63,16 @@ class Refusals:
     def __init__(self, answers: list[str]) -> None:
         phrases = [p for p in re.split(r"(?<=[.。])\s+", PHRASES.strip()) if p]
         own = np.bincount(np.concatenate([_grams(p) for p in phrases]), minlength=1 << BITS)
-        # Answers that many others repeat may be refusals themselves.
-        often = {a for a, n in Counter(_REST.sub("", a) for a in answers).items() if n >= 3}
-        plain = [a for a in answers if _REST.sub("", a) not in often][:5000] or ["-"]
-        other = np.bincount(np.concatenate([_grams(a) for a in plain]), minlength=1 << BITS)
-        self.ratio = (np.log((own + 0.2) / (own.sum() + 0.2 * len(own))) - np.log((other + 0.2) / (other.sum() + 0.2 * len(own)))).astype(np.float32)
-        scores = np.sort([self.score(a) for a in plain if _worded(a)] or [0.0])
-        self.least = max(0.6, float(scores[min(len(scores) - 1, int((1 - FALSE) * len(scores)))]) + 0.1)
+        plain = answers[:5000] or ["-"]
+        for _ in range(2):
+            other = np.bincount(np.concatenate([_grams(a) for a in plain]), minlength=1 << BITS)
+            self.ratio = (np.log((own + 0.2) / (own.sum() + 0.2 * len(own))) - np.log((other + 0.2) / (other.sum() + 0.2 * len(other)))).astype(np.float32)
+            scores = [self.score(a) for a in plain]
+            # What looks like a refusal and is repeated isn't held against refusals in the second round.
+            often = Counter(_REST.sub("", a) for a in plain)
+            plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_REST.sub("", a)] < 3] or ["-"]
+        known = np.sort([self.score(a) for a in plain if _worded(a)] or [0.0])
+        self.least = max(LEAST, float(known[int(ORDINARY * (len(known) - 1))]) + ABOVE)
 
     def score(self, text: str) -> float:
         """Mean log ratio of the n-grams of what stands before a quoted text."""
