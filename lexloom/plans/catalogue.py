@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
@@ -41,9 +42,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The distinct rows of a table."""
-    return table(spark, sf_dir, name).distinct()
+def rows(spark: SparkSession, sf_dir: str, name: str, *columns: Any) -> DataFrame:
+    """The distinct rows of the named columns, which hold the table's key; only they are read and shuffled."""
+    return table(spark, sf_dir, name).select(*columns).distinct()
+
+
+def layout(*fields: str) -> Column:
+    """The block's layout with these fields only, so that no others are read."""
+    return F.when(F.col("layout").isNotNull(), F.struct(*(F.col(f"layout.{f}").alias(f) for f in fields))).alias("layout")
 
 
 def queries() -> dict[str, Query]:
@@ -59,7 +65,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query(f"SELECT DISTINCT doc_id, ord, id, type, source_text FROM blocks WHERE translatable AND regexp_matches(source_text, {_NOT_BLANK})")
 def translatable_blocks(spark, d):
-    return B.translatable(rows(spark, d, "blocks")).select("doc_id", "ord", "id", "type", "source_text")
+    return B.translatable(rows(spark, d, "blocks", "doc_id", "ord", "id", "type", "source_text", "translatable")).drop("translatable")
 
 
 @query("""
@@ -68,7 +74,7 @@ WITH b AS (SELECT DISTINCT doc_id, ord, id, coalesce(layout.slide_index, 0) AS s
 e AS (SELECT *, coalesce(sum((zone OR coalesce(semantic_role = 'title', false))::INT) OVER (PARTITION BY doc_id, slide ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
 SELECT doc_id, id, slide, CASE WHEN zone AND before = 0 THEN 'title' ELSE semantic_role END AS role FROM e""")
 def block_roles(spark, d):
-    b = rows(spark, d, "blocks").select("doc_id", "ord", "id", "type", "semantic_role", "layout")
+    b = rows(spark, d, "blocks", "doc_id", "ord", "id", "type", "semantic_role", layout("slide_index", "position"))
     return B.with_roles(b).select("doc_id", "id", "slide", "role")
 
 
@@ -76,14 +82,14 @@ def block_roles(spark, d):
 WITH b AS (SELECT DISTINCT doc_id, coalesce(layout.slide_index, 0) AS slide, ord, source_text FROM blocks WHERE translatable AND regexp_matches(source_text, {_NOT_BLANK}))
 SELECT doc_id, slide, left(string_agg(source_text, ' / ' ORDER BY ord), 1200) AS context FROM b GROUP BY ALL""")
 def slide_context(spark, d):
-    return B.slide_context(rows(spark, d, "blocks"))
+    return B.slide_context(rows(spark, d, "blocks", "doc_id", "ord", "translatable", "source_text", layout("slide_index")))
 
 
 @query(f"""
 SELECT DISTINCT doc_id, id, term, preferred, (instr(lower(source_text), lower(term)) - 1)::INT AS start, (instr(lower(source_text), lower(term)) - 1 + length(term))::INT AS "end"
 FROM blocks, (VALUES {_TERMS}) g(term, preferred) WHERE instr(lower(source_text), lower(term)) > 0""")
 def glossary_hits(spark, d):
-    return B.glossary_hits(rows(spark, d, "blocks").select("doc_id", "id", "source_text"), GLOSSARY)
+    return B.glossary_hits(rows(spark, d, "blocks", "doc_id", "id", "source_text"), GLOSSARY)
 
 
 @query(f"""
@@ -91,7 +97,7 @@ WITH b AS (SELECT DISTINCT doc_id, coalesce(layout.slide_index, 0) AS slide, sou
 h AS (SELECT DISTINCT doc_id, slide, term FROM b, (VALUES {_TERMS}) g(term, preferred) WHERE instr(lower(source_text), lower(term)) > 0)
 SELECT doc_id, slide, string_agg(term, '|' ORDER BY term) AS terms FROM h GROUP BY ALL""")
 def slide_glossary(spark, d):
-    return B.slide_glossary(rows(spark, d, "blocks").select("doc_id", "id", "translatable", "source_text", "layout"), GLOSSARY)
+    return B.slide_glossary(rows(spark, d, "blocks", "doc_id", "id", "translatable", "source_text", layout("slide_index")), GLOSSARY)
 
 
 def _replaced(c: str) -> str:
@@ -102,7 +108,7 @@ def _replaced(c: str) -> str:
 
 @query(f"SELECT DISTINCT b.doc_id, b.id, '[' || target_lang || '] ' || {_replaced('source_text')} AS target FROM blocks b JOIN doc_meta USING (doc_id)")
 def pseudo_translations(spark, d):
-    b = rows(spark, d, "blocks").select("doc_id", "id", "source_text").join(table(spark, d, "doc_meta").select("doc_id", "target_lang"), "doc_id")
+    b = rows(spark, d, "blocks", "doc_id", "id", "source_text").join(table(spark, d, "doc_meta").select("doc_id", "target_lang"), "doc_id")
     return b.select("doc_id", "id", X.pseudo_translation(F.col("source_text"), F.col("target_lang"), GLOSSARY).alias("target"))
 
 
@@ -110,24 +116,24 @@ def pseudo_translations(spark, d):
 WITH b AS (SELECT DISTINCT doc_id, id, layout.position AS p, coalesce(nullif(runs[1].font.size, 0), nullif(layout.base_font.size, 0), 18.0) AS size FROM blocks)
 SELECT doc_id, id, CASE WHEN p IS NOT NULL AND size > 0 THEN greatest(1, floor(p.w / 12700 / (size * 0.55))::BIGINT) * greatest(1, floor(p.h / 12700 / (size * 1.2))::BIGINT) END AS chars FROM b""")
 def layout_limits(spark, d):
-    return rows(spark, d, "blocks").select("doc_id", "id", B.max_chars().alias("chars"))
+    return rows(spark, d, "blocks", "doc_id", "id", B.max_chars().alias("chars"))
 
 
 @query(f"""
 WITH b AS (SELECT DISTINCT doc_id, id, ord FROM blocks WHERE translatable AND regexp_matches(source_text, {_NOT_BLANK}))
 SELECT doc_id, id, ord, ((row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) // {BATCH})::BIGINT AS batch FROM b""")
 def engine_batches(spark, d):
-    return B.batches(rows(spark, d, "blocks").select("doc_id", "id", "ord", "translatable", "source_text"), BATCH)
+    return B.batches(rows(spark, d, "blocks", "doc_id", "id", "ord", "translatable", "source_text"), BATCH)
 
 
 @query("SELECT DISTINCT doc_id, id FROM blocks WHERE target_text IS NULL OR target_text = source_text")
 def unchanged_blocks(spark, d):
-    return rows(spark, d, "blocks").where("target_text is null or target_text = source_text").select("doc_id", "id").distinct()
+    return table(spark, d, "blocks").where("target_text is null or target_text = source_text").select("doc_id", "id").distinct()
 
 
 @query("SELECT doc_id, count(DISTINCT id) AS blocks, count(DISTINCT CASE WHEN target_text IS NOT NULL THEN id END) AS translated, count(DISTINCT CASE WHEN type = 'image' THEN id END) AS pictures FROM blocks GROUP BY doc_id")
 def block_counts(spark, d):
-    b = rows(spark, d, "blocks").select("doc_id", "id", "target_text", "type")
+    b = rows(spark, d, "blocks", "doc_id", "id", "target_text", "type")
     return b.groupBy("doc_id").agg(
         F.count_distinct("id").alias("blocks"), F.count_distinct(F.when(F.col("target_text").isNotNull(), F.col("id"))).alias("translated"), F.count_distinct(F.when(F.col("type") == "image", F.col("id"))).alias("pictures")
     )
@@ -135,26 +141,26 @@ def block_counts(spark, d):
 
 @query("SELECT DISTINCT doc_id, id, sha256(source_text) AS hash FROM blocks")
 def text_hashes(spark, d):
-    return rows(spark, d, "blocks").select("doc_id", "id", F.sha2("source_text", 256).alias("hash")).distinct()
+    return rows(spark, d, "blocks", "doc_id", "id", F.sha2("source_text", 256).alias("hash"))
 
 
 @query()
 def normal_forms(spark, d):
     """Block texts in compatibility form, case-folded, letters and digits only."""
-    return rows(spark, d, "blocks").select("doc_id", "id", X.norm_text("source_text").alias("form"))
+    return rows(spark, d, "blocks", "doc_id", "id", "source_text").select("doc_id", "id", X.norm_text("source_text").alias("form"))
 
 
 @query()
 def bilingual_pairs(spark, d):
     """Blocks whose translation already stands beside them."""
-    return B.bilingual_pairs(rows(spark, d, "blocks"), table(spark, d, "doc_meta"))
+    return B.bilingual_pairs(rows(spark, d, "blocks", "doc_id", "ord", "id", "source_text", "target_text", layout("slide_index", "position")), table(spark, d, "doc_meta"))
 
 
 @query()
 def bilingual_suppression(spark, d):
     """Targets after the bilingual pass for English to German, slide by slide."""
     pairs = table(spark, d, "doc_meta").where("source_lang = 'en' and target_lang = 'de'").select("doc_id")
-    return B.suppress_bilingual(rows(spark, d, "blocks").join(pairs, "doc_id", "left_semi"), "en", "de")
+    return B.suppress_bilingual(rows(spark, d, "blocks", "doc_id", "ord", "id", "source_text", "target_text", "source_ref", layout("slide_index", "position")).join(pairs, "doc_id", "left_semi"), "en", "de")
 
 
 @query("""
@@ -162,7 +168,7 @@ SELECT DISTINCT b.doc_id, b.id, CASE source_lang WHEN 'zh' THEN regexp_matches(s
   WHEN 'en' THEN regexp_matches(source_text, '[A-Za-z]') WHEN 'de' THEN regexp_matches(source_text, '[A-Za-z]') ELSE regexp_matches(source_text, """ + _NOT_BLANK + """) END AS fits
 FROM blocks b JOIN doc_meta USING (doc_id)""")
 def script_fits(spark, d):
-    b = rows(spark, d, "blocks").select("doc_id", "id", "source_text").join(table(spark, d, "doc_meta").select("doc_id", "source_lang"), "doc_id")
+    b = rows(spark, d, "blocks", "doc_id", "id", "source_text").join(table(spark, d, "doc_meta").select("doc_id", "source_lang"), "doc_id")
     return b.select("doc_id", "id", X.looks_like(F.col("source_text"), F.col("source_lang")).alias("fits"))
 
 
@@ -170,7 +176,7 @@ def script_fits(spark, d):
 SELECT DISTINCT doc_id, b.id, r.i - 1 AS run_idx, runs[r.i].text AS text, runs[r.i].font.size AS size, coalesce(runs[r.i].font.bold, false) AS bold
 FROM (SELECT DISTINCT doc_id, id, runs FROM blocks) b, LATERAL (SELECT unnest(range(1, len(runs) + 1)) AS i) r""")
 def runs(spark, d):
-    r = rows(spark, d, "blocks").select("doc_id", "id", "runs").distinct().select("doc_id", "id", F.posexplode("runs").alias("run_idx", "r"))
+    r = rows(spark, d, "blocks", "doc_id", "id", "runs").select("doc_id", "id", F.posexplode("runs").alias("run_idx", "r"))
     return r.select("doc_id", "id", F.col("run_idx").cast("long"), F.col("r.text").alias("text"), F.col("r.font.size").alias("size"), F.coalesce("r.font.bold", F.lit(False)).alias("bold")).distinct()
 
 
@@ -183,7 +189,7 @@ i AS (SELECT DISTINCT doc_id, id FROM images),
 r AS (SELECT i.doc_id, i.id, p.w::DOUBLE * p.h / (nullif(slide_width, 0)::DOUBLE * nullif(slide_height, 0)) AS ratio FROM i LEFT JOIN b USING (doc_id, id) LEFT JOIN doc_meta USING (doc_id))
 SELECT doc_id, id, floor(ratio * 1000000 + 0.5) / 1000000.0 AS ratio FROM r""")
 def display_ratios(spark, d):
-    return I.display_ratio(rows(spark, d, "images"), rows(spark, d, "blocks").select("doc_id", "id", "ord", "layout").distinct(), table(spark, d, "doc_meta"))
+    return I.display_ratio(rows(spark, d, "images", "doc_id", "id"), rows(spark, d, "blocks", "doc_id", "id", "ord", layout("position")), table(spark, d, "doc_meta"))
 
 
 _ORDERED = """
@@ -195,7 +201,7 @@ WITH s AS (SELECT DISTINCT s.*, i.ord, i.width::BIGINT AS width, i.height::BIGIN
 n AS (SELECT doc_id, image_id, first_value(image_id) OVER w AS first_id, row_number() OVER w AS n FROM s WHERE content_hash IS NOT NULL WINDOW w AS (PARTITION BY doc_id, content_hash ORDER BY ord, image_id))
 SELECT doc_id, image_id, first_id FROM n WHERE n > 1""")
 def exact_duplicates(spark, d):
-    return I.exact_duplicates(rows(spark, d, "selections"), rows(spark, d, "images"))
+    return I.exact_duplicates(rows(spark, d, "selections", "doc_id", "image_id", "content_hash"), rows(spark, d, "images", "doc_id", "id", "ord"))
 
 
 _ROUTES = _ORDERED + """,
@@ -211,7 +217,10 @@ routed AS (SELECT doc_id, image_id, (['reuse','skip','skip','review','review','s
 
 @query(_ROUTES + "SELECT doc_id, image_id, route, reason FROM routed")
 def image_routes(spark, d):
-    return I.routes(rows(spark, d, "selections"), rows(spark, d, "images"))
+    return I.routes(
+        rows(spark, d, "selections", "doc_id", "image_id", "content_hash", "display_area_ratio", "text_chars", "alpha_chars", "word_count", "meaningful_word_count", "lexical_word_ratio", "line_count", "mean_confidence"),
+        rows(spark, d, "images", "doc_id", "id", "ord", "width", "height"),
+    )
 
 
 @query(_ROUTES + "SELECT route, reason, count(*) AS images FROM routed GROUP BY ALL")
@@ -223,40 +232,40 @@ def route_counts(spark, d):
 SELECT s.doc_id, s.image_id, i.localized_data_ref FROM (SELECT DISTINCT doc_id, image_id, duplicate_of FROM selections WHERE duplicate_of IS NOT NULL) s
 LEFT JOIN (SELECT DISTINCT doc_id, id, localized_data_ref FROM images) i ON i.doc_id = s.doc_id AND i.id = s.duplicate_of""")
 def reuse_propagation(spark, d):
-    return I.reuse(rows(spark, d, "selections").select("doc_id", "image_id", "duplicate_of").distinct(), rows(spark, d, "images"))
+    return I.reuse(rows(spark, d, "selections", "doc_id", "image_id", "duplicate_of"), rows(spark, d, "images", "doc_id", "id", "localized_data_ref"))
 
 
 @query("""
 SELECT DISTINCT i.doc_id, i.id FROM images i LEFT JOIN selections s ON s.doc_id = i.doc_id AND s.image_id = i.id
 WHERE i.localized_data_ref IS NULL AND (s.route IS NULL OR s.route = 'region') AND EXISTS (FROM regions r WHERE r.doc_id = i.doc_id AND r.image_id = i.id)""")
 def localizable_images(spark, d):
-    return I.localizable(rows(spark, d, "images"), table(spark, d, "regions"), rows(spark, d, "selections"))
+    return I.localizable(rows(spark, d, "images", "doc_id", "id", "localized_data_ref"), table(spark, d, "regions"), rows(spark, d, "selections", "doc_id", "image_id", "route"))
 
 
 @query("""
 WITH j AS (SELECT DISTINCT i.doc_id, coalesce(b.layout.slide_index, 0) AS slide, i.id, i.ord, i.width::BIGINT * i.height AS area FROM images i JOIN blocks b ON b.doc_id = i.doc_id AND b.id = i.id)
 SELECT doc_id, slide, arg_max(id, area * 1000000 - ord) AS id FROM j GROUP BY ALL""")
 def largest_image_per_slide(spark, d):
-    return I.largest_per_slide(rows(spark, d, "images"), rows(spark, d, "blocks").select("doc_id", "id", "layout").distinct())
+    return I.largest_per_slide(rows(spark, d, "images", "doc_id", "id", "ord", "width", "height"), rows(spark, d, "blocks", "doc_id", "id", layout("slide_index")))
 
 
 @query("""
 SELECT DISTINCT i.doc_id, i.id, try_cast(nullif(regexp_extract(i.id, '^s(\\d+)-', 1), '') AS INT) + 1 AS slide, lower(regexp_extract(data_ref, '\\.([^.]+)$', 1)) AS format, media_type, route, reason
 FROM images i LEFT JOIN (SELECT DISTINCT doc_id, image_id, route, reason FROM selections) s ON s.doc_id = i.doc_id AND s.image_id = i.id""")
 def image_plan(spark, d):
-    s = rows(spark, d, "selections").select("doc_id", F.col("image_id").alias("id"), "route", "reason").distinct()
-    i = rows(spark, d, "images").select("doc_id", "id", I.slide_number(F.col("id")).alias("slide"), X.format_of(F.col("data_ref")).alias("format"), "media_type")
+    s = rows(spark, d, "selections", "doc_id", F.col("image_id").alias("id"), "route", "reason")
+    i = rows(spark, d, "images", "doc_id", "id", I.slide_number(F.col("id")).alias("slide"), X.format_of(F.col("data_ref")).alias("format"), "media_type")
     return i.distinct().join(s, ["doc_id", "id"], "left")
 
 
 @query(f"SELECT DISTINCT doc_id, image_id, id, source_text FROM regions WHERE translatable AND regexp_matches(source_text, {_NOT_BLANK})")
 def translatable_regions(spark, d):
-    return I.translatable_regions(rows(spark, d, "regions")).select("doc_id", "image_id", "id", "source_text").distinct()
+    return I.translatable_regions(rows(spark, d, "regions", "doc_id", "image_id", "id", "source_text", "translatable")).drop("translatable")
 
 
 @query("SELECT doc_id, image_id, id, row_number() OVER (PARTITION BY doc_id, image_id ORDER BY bbox.y, bbox.x, ord)::INT AS place FROM (SELECT DISTINCT doc_id, image_id, id, ord, bbox FROM regions)")
 def reading_order(spark, d):
-    return W.reading_order(rows(spark, d, "regions").select("doc_id", "image_id", "id", "ord", "bbox").distinct())
+    return W.reading_order(rows(spark, d, "regions", "doc_id", "image_id", "id", "ord", "bbox"))
 
 
 _CLUSTERS = """
@@ -267,7 +276,7 @@ c AS (SELECT *, sum(coalesce(gap > greatest(30.0, 1.5 * mid), false)::INT) OVER
 
 
 def _clusters(spark, d):
-    r = rows(spark, d, "regions").select("doc_id", "image_id", "id", "bbox.*").distinct().withColumn("line", F.floor(F.col("y") / 40).cast("long"))
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", "bbox.*").withColumn("line", F.floor(F.col("y") / 40).cast("long"))
     return W.clusters(r, "doc_id", "image_id", "line")
 
 
@@ -285,7 +294,7 @@ def line_boxes(spark, d):
 def paragraphs(spark, d):
     """Regions of an image as lines, wrapped lines joined to paragraphs."""
     b = F.col("bbox")
-    r = rows(spark, d, "regions").select("doc_id", "image_id", b["x"].alias("left"), b["y"].alias("top"), (b["x"] + b["w"]).alias("right"), (b["y"] + b["h"]).alias("bottom"), F.col("source_text").alias("text"))
+    r = rows(spark, d, "regions", "doc_id", "image_id", b["x"].alias("left"), b["y"].alias("top"), (b["x"] + b["w"]).alias("right"), (b["y"] + b["h"]).alias("bottom"), F.col("source_text").alias("text"))
     return W.paragraphs(r)
 
 
@@ -293,7 +302,7 @@ def paragraphs(spark, d):
 SELECT doc_id, image_id, min(bbox.x) AS "left", min(bbox.y) AS top, max(bbox.x + bbox.w) AS "right", max(bbox.y + bbox.h) AS bottom, string_agg(source_text, chr(10) ORDER BY ord) AS text
 FROM (SELECT DISTINCT doc_id, image_id, ord, bbox, source_text FROM regions) GROUP BY doc_id, image_id""")
 def image_texts(spark, d):
-    return W.image_text(rows(spark, d, "regions").select("doc_id", "image_id", "ord", "bbox", "source_text").distinct())
+    return W.image_text(rows(spark, d, "regions", "doc_id", "image_id", "ord", "bbox", "source_text"))
 
 
 @query("""
@@ -302,9 +311,9 @@ i AS (SELECT DISTINCT doc_id, id, width::DOUBLE / height AS ratio FROM images)
 SELECT r.doc_id, r.image_id, signs, signs >= 40 AS canvas, CASE WHEN ratio >= 4 AND signs >= 200 THEN 3 WHEN ratio >= 1.8 AND signs >= 100 THEN 2 ELSE 1 END AS columns
 FROM r JOIN i ON i.doc_id = r.doc_id AND i.id = r.image_id""")
 def text_canvases(spark, d):
-    r = rows(spark, d, "regions").select("doc_id", "image_id", "id", "source_text").distinct()
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", "source_text")
     r = r.groupBy("doc_id", "image_id").agg(F.sum(X.alnum_count(F.coalesce("source_text", F.lit("")))).alias("signs"))
-    i = rows(spark, d, "images").select("doc_id", F.col("id").alias("image_id"), (F.col("width").cast("double") / F.col("height")).alias("ratio"))
+    i = rows(spark, d, "images", "doc_id", F.col("id").alias("image_id"), (F.col("width").cast("double") / F.col("height")).alias("ratio"))
     return r.join(i, ["doc_id", "image_id"]).select("doc_id", "image_id", "signs", (F.col("signs") >= 40).alias("canvas"), W.canvas_columns(F.col("ratio"), F.col("signs")).alias("columns"))
 
 
@@ -313,8 +322,8 @@ WITH r AS (SELECT DISTINCT r.doc_id, r.image_id, r.id, bbox, i.width, i.height F
 c AS (SELECT *, greatest(0, least(bbox.x, width - 1)) AS x, greatest(0, least(bbox.y, height - 1)) AS y FROM r)
 SELECT doc_id, image_id, id, x, y, greatest(1, least(bbox.w, width - x)) AS w, greatest(1, least(bbox.h, height - y)) AS h FROM c""")
 def clamped_boxes(spark, d):
-    i = rows(spark, d, "images").select("doc_id", F.col("id").alias("image_id"), "width", "height")
-    r = rows(spark, d, "regions").select("doc_id", "image_id", "id", "bbox").distinct().join(i, ["doc_id", "image_id"])
+    i = rows(spark, d, "images", "doc_id", F.col("id").alias("image_id"), "width", "height")
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", "bbox").join(i, ["doc_id", "image_id"])
     return r.select("doc_id", "image_id", "id", W.clamped(F.col("bbox"), F.col("width"), F.col("height")).alias("c")).select("doc_id", "image_id", "id", "c.*")
 
 
@@ -324,7 +333,7 @@ WITH u AS (SELECT DISTINCT doc_id, image_id, bbox.x AS x, bbox.y AS y, source_te
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, image_id, x, y, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) ORDER BY run, text) AS n FROM u)
 SELECT doc_id, image_id, x, y, text, run FROM n WHERE n = 1""")
 def line_union(spark, d):
-    r = rows(spark, d, "regions").select("doc_id", "image_id", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), "source_text", "target_text")
+    r = rows(spark, d, "regions", "doc_id", "image_id", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), "source_text", "target_text")
     one, two = (r.where(F.col(c).isNotNull()).select("doc_id", "image_id", "x", "y", F.col(c).alias("text")).distinct() for c in ("source_text", "target_text"))
     return W.union_distinct(one, two)
 
@@ -335,7 +344,7 @@ SELECT DISTINCT doc_id, image_id, id, font_estimate.color AS color, CASE WHEN re
   CASE WHEN regexp_matches(font_estimate.color, '^#[0-9A-Fa-f]{6}$') THEN ('0x' || substr(font_estimate.color, 6, 2))::INT ELSE 24 END AS blue FROM regions""")
 def region_colours(spark, d):
     c = F.col("color")
-    r = rows(spark, d, "regions").select("doc_id", "image_id", "id", F.col("font_estimate.color").alias("color")).distinct()
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", F.col("font_estimate.color").alias("color"))
     return r.select("*", X.colour(c, 0).alias("red"), X.colour(c, 1).alias("green"), X.colour(c, 2).alias("blue"))
 
 
@@ -343,7 +352,7 @@ def region_colours(spark, d):
 WITH r AS (SELECT DISTINCT doc_id, image_id, id, source_text AS t, regexp_replace(source_text, '[^A-Za-z]', '', 'g') AS l FROM regions WHERE source_text IS NOT NULL)
 SELECT doc_id, image_id, id, length(l) > 0 AND upper(l) = l AND length(l) <= 16 AND len(regexp_extract_all(t, '[A-Za-z0-9]+')) <= 3 AS mark FROM r""")
 def protected_marks(spark, d):
-    r = rows(spark, d, "regions").where("source_text is not null").select("doc_id", "image_id", "id", "source_text").distinct()
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", "source_text").where("source_text is not null")
     return r.select("doc_id", "image_id", "id", X.protected_mark(F.col("source_text")).alias("mark"))
 
 
@@ -353,13 +362,13 @@ g AS (SELECT doc_id, image_id, bool_or(NOT coalesce(regexp_matches(t, """ + _NOT
   bool_and(coalesce(trim(t) = trim(s), false) AND NOT (length(l) > 0 AND upper(l) = l AND length(l) <= 16 AND len(regexp_extract_all(s, '[A-Za-z0-9]+')) <= 3)) AS s FROM r GROUP BY ALL)
 SELECT doc_id, image_id, CASE WHEN b THEN 'translation_mapping_incomplete' WHEN s THEN 'translation_mapping_unchanged' END AS reason FROM g""")
 def mapping_gate(spark, d):
-    return Q.mapping_gate(rows(spark, d, "regions").select("doc_id", "image_id", "id", "translatable", "source_text", "target_text").distinct())
+    return Q.mapping_gate(rows(spark, d, "regions", "doc_id", "image_id", "id", "translatable", "source_text", "target_text"))
 
 
 @query()
 def region_font_sizes(spark, d):
     """The size at which each region's text fits its box."""
-    return R.fitted_sizes(rows(spark, d, "regions").select("doc_id", "image_id", "id", "bbox", "source_text", "target_text").distinct())
+    return R.fitted_sizes(rows(spark, d, "regions", "doc_id", "image_id", "id", "bbox", "source_text", "target_text"))
 
 
 # Recognised text
@@ -375,7 +384,7 @@ f AS (SELECT *, regexp_replace(word, '[^\\p{L}]', '', 'g') AS letters FROM p WHE
 
 
 def _words(spark, d):
-    s = rows(spark, d, "selections").where("detected_text is not null").select("doc_id", "image_id", F.col("detected_text").alias("text")).distinct()
+    s = rows(spark, d, "selections", "doc_id", "image_id", F.col("detected_text").alias("text")).where("text is not null")
     w = W.split_words(s, "doc_id", "image_id")
     # Confidences are made up from the word, as the tables have none per word.
     return W.probe_words(w.withColumn("confidence", 30 + (F.length("word") * 7 + F.col("place") * 13 + F.col("line") * 5) % 66 - 5))
@@ -393,14 +402,14 @@ def ocr_measures(spark, d):
 
 @query("SELECT DISTINCT doc_id, image_id, trim(regexp_replace(detected_text, '\\s+', ' ', 'g')) AS text FROM selections WHERE detected_text IS NOT NULL AND NOT regexp_matches(detected_text, '[\\x{3000}-\\x{FFFF}]|[(\\[{] | [,.;:!?%)\\]}]')")
 def ocr_plain_texts(spark, d):
-    s = rows(spark, d, "selections").where("detected_text is not null").where(~F.col("detected_text").rlike(r"[\x{3000}-\x{FFFF}]|[(\[{] | [,.;:!?%)\]}]"))
+    s = rows(spark, d, "selections", "doc_id", "image_id", "detected_text").where("detected_text is not null").where(~F.col("detected_text").rlike(r"[\x{3000}-\x{FFFF}]|[(\[{] | [,.;:!?%)\]}]"))
     return s.select("doc_id", "image_id", F.trim(F.regexp_replace("detected_text", r"\s+", " ")).alias("text")).distinct()
 
 
 @query()
 def ocr_clean_texts(spark, d):
     """Recognised texts with white space put right, Chinese included."""
-    return rows(spark, d, "selections").where("detected_text is not null").select("doc_id", "image_id", X.ocr_clean(F.col("detected_text")).alias("text")).distinct()
+    return rows(spark, d, "selections", "doc_id", "image_id", "detected_text").where("detected_text is not null").select("doc_id", "image_id", X.ocr_clean(F.col("detected_text")).alias("text")).distinct()
 
 
 # Slides
@@ -414,8 +423,7 @@ f AS (SELECT *, p.x AS l, p.y AS t, p.x + p.w AS r, p.y + p.h AS b, p.h AS h FRO
 
 
 def _shapes(spark, d, kind: str):
-    b = rows(spark, d, "blocks").where("layout.position is not null")
-    b = b.select("doc_id", B.slide_of().alias("slide"), F.col("ord").alias("z"), "id", "type", F.col("layout.position").alias("box")).distinct()
+    b = rows(spark, d, "blocks", "doc_id", B.slide_of().alias("slide"), F.col("ord").alias("z"), "id", "type", F.col("layout.position").alias("box")).where("box is not null")
     return b.where(F.col("type").isin("title", "body", "shape_text")).drop("type"), b.where(F.col("type") == kind).drop("type")
 
 
@@ -442,7 +450,7 @@ def container_widths(spark, d):
 SELECT DISTINCT doc_id, image_id, i - 1 AS pos, expected_texts[i] AS source, expected_translations[i] AS target
 FROM (SELECT DISTINCT doc_id, image_id, expected_texts, expected_translations FROM validations), LATERAL (SELECT unnest(range(1, greatest(len(expected_texts), len(expected_translations)) + 1)) AS i)""")
 def expected_pairs(spark, d):
-    v = rows(spark, d, "validations").select("doc_id", "image_id", F.posexplode(F.arrays_zip("expected_texts", "expected_translations")).alias("pos", "p"))
+    v = rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations").select("doc_id", "image_id", F.posexplode(F.arrays_zip("expected_texts", "expected_translations")).alias("pos", "p"))
     return v.select("doc_id", "image_id", F.col("pos").cast("long"), F.col("p.expected_texts").alias("source"), F.col("p.expected_translations").alias("target")).distinct()
 
 
@@ -451,20 +459,20 @@ WITH v AS (SELECT DISTINCT doc_id, image_id, coalesce(expected_texts, []) AS e,
 h AS (SELECT doc_id, image_id, coalesce(list_aggregate(o, 'string_agg', ''), '') AS hay, list_transform(e, lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g'))) AS e, list_transform(t, lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g'))) AS t FROM v)
 SELECT doc_id, image_id, len(list_filter(e, lambda x: length(x) >= 4 AND contains(hay, x)))::INT AS residual, len(list_filter(t, lambda x: length(x) >= 4 AND NOT contains(hay, x)))::INT AS missing FROM h""")
 def quality_exact(spark, d):
-    return Q.exact_gate(rows(spark, d, "validations"))
+    return Q.exact_gate(rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations", "output_texts"))
 
 
 @query()
 def quality_fuzzy(spark, d):
     """Residual and missing texts by fuzzy comparison."""
-    return Q.output_gate(rows(spark, d, "validations"))
+    return Q.output_gate(rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations", "output_texts"))
 
 
 @query("""
 WITH u AS (SELECT DISTINCT doc_id, image_id, output_texts FROM validations)
 SELECT doc_id, image_id, len(list_distinct(output_texts))::INT AS outputs FROM u WHERE output_texts IS NOT NULL""")
 def distinct_outputs(spark, d):
-    v = rows(spark, d, "validations").where("output_texts is not null").select("doc_id", "image_id", "output_texts").distinct()
+    v = rows(spark, d, "validations", "doc_id", "image_id", "output_texts").where("output_texts is not null")
     return v.select("doc_id", "image_id", F.size(F.array_distinct("output_texts")).alias("outputs"))
 
 
@@ -473,7 +481,7 @@ WITH v AS (SELECT DISTINCT doc_id, image_id, coalesce(output_texts, []) AS o, co
 SELECT doc_id, image_id, array_to_string(list_slice(list_concat(o, list_slice(e, len(o) + 1, len(e))), 1, len(e)), chr(10)) AS texts FROM v""")
 def fitted_outputs(spark, d):
     none = F.array().cast("array<string>")
-    v = rows(spark, d, "validations").select("doc_id", "image_id", F.coalesce("output_texts", none).alias("o"), F.coalesce("expected_texts", none).alias("e")).distinct()
+    v = rows(spark, d, "validations", "doc_id", "image_id", F.coalesce("output_texts", none).alias("o"), F.coalesce("expected_texts", none).alias("e"))
     return v.select("doc_id", "image_id", F.array_join(X.fit_length(F.col("o"), F.col("e")), "\n").alias("texts"))
 
 
@@ -528,5 +536,5 @@ def document_json(spark, d):
     """Each document with its blocks, nested and in order."""
     from lexloom.sources.documents import as_json
 
-    b = rows(spark, d, "blocks").select("doc_id", "ord", "id", "type", "semantic_role", "source_text", "target_text", "source_ref").distinct()
+    b = rows(spark, d, "blocks", "doc_id", "ord", "id", "type", "semantic_role", "source_text", "target_text", "source_ref")
     return as_json(table(spark, d, "doc_meta"), b)
