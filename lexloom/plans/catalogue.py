@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 from lexloom.operators import blocks as B
 from lexloom.operators import images as I
+from lexloom.operators import localize as L
 from lexloom.operators import progress as P
 from lexloom.operators import quality as Q
 from lexloom.operators import rasters as R
@@ -538,3 +539,47 @@ def document_json(spark, d):
 
     b = rows(spark, d, "blocks", "doc_id", "ord", "id", "type", "semantic_role", "source_text", "target_text", "source_ref")
     return as_json(table(spark, d, "doc_meta"), b)
+
+
+@query("""
+WITH r AS (SELECT DISTINCT r.doc_id, r.image_id, r.id, bbox, i.width::BIGINT AS width, i.height::BIGINT AS height, CASE WHEN greatest(i.width, i.height) < 1200 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM regions r JOIN images i ON i.doc_id = r.doc_id AND i.id = r.image_id),
+a AS (SELECT *, round_even(bbox.x::DOUBLE / s, 0)::BIGINT AS x, round_even(bbox.y::DOUBLE / s, 0)::BIGINT AS y, round_even((bbox.x + bbox.w)::DOUBLE / s, 0)::BIGINT AS r, round_even((bbox.y + bbox.h)::DOUBLE / s, 0)::BIGINT AS b FROM r),
+p AS (SELECT *, greatest(2, round_even(greatest(1, b - y) * 0.16::DOUBLE, 0)::BIGINT) AS px, greatest(1, round_even(greatest(1, b - y) * 0.12::DOUBLE, 0)::BIGINT) AS py FROM a)
+SELECT doc_id, image_id, id, greatest(0, x - px) AS x, greatest(0, y - py) AS y, greatest(1, least(width, r + px) - greatest(0, x - px)) AS w, greatest(1, least(height, b + py) - greatest(0, y - py)) AS h FROM p""")
+def padded_boxes(spark, d):
+    i = rows(spark, d, "images", "doc_id", F.col("id").alias("image_id"), F.col("width").cast("long"), F.col("height").cast("long"))
+    r = rows(spark, d, "regions", "doc_id", "image_id", "id", "bbox").join(i, ["doc_id", "image_id"])
+    box = W.padded(F.col("bbox"), W.scale_of(F.col("width"), F.col("height")), F.col("width"), F.col("height"))
+    return r.select("doc_id", "image_id", "id", box.alias("b")).select("doc_id", "image_id", "id", "b.*")
+
+
+@query("SELECT DISTINCT doc_id, image_id, id, CASE WHEN align IN ('left', 'center', 'right') THEN align ELSE 'left' END AS align FROM regions WHERE length(regexp_replace(source_text, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 AND bbox.w > 0 AND bbox.h > 0")
+def valid_regions(spark, d):
+    return W.valid_regions(rows(spark, d, "regions", "doc_id", "image_id", "id", "source_text", "bbox", "align")).select("doc_id", "image_id", "id", "align")
+
+
+@query("SELECT DISTINCT doc_id, image_id, sha256(coalesce(content_hash, '') || chr(31) || coalesce(route, '') || chr(31) || 'v1') AS key FROM selections")
+def cache_keys(spark, d):
+    s = rows(spark, d, "selections", "doc_id", "image_id", "content_hash", "route")
+    return s.select("doc_id", "image_id", L.cache_key(F.col("content_hash"), F.col("route"), F.lit("v1")).alias("key"))
+
+
+def _requests(spark, d):
+    b = rows(spark, d, "blocks", "doc_id", "ord", "id", "translatable", "source_text", "runs", layout("slide_index", "position", "base_font"))
+    return L.requests(b, table(spark, d, "doc_meta"), GLOSSARY)
+
+
+@query()
+def slide_prompts(spark, d):
+    """The engine request of every slide as a prompt."""
+    return _requests(spark, d).select("doc_id", "slide", L.prompt().alias("prompt"))
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT doc_id, id, source_text FROM blocks WHERE translatable AND regexp_matches(source_text, {_NOT_BLANK}))
+SELECT doc_id, id, '[' || target_lang || '] ' || {_replaced('source_text')} AS target_text FROM b JOIN doc_meta USING (doc_id)""")
+def localized_blocks(spark, d):
+    """The whole text path with the dry-run engine: requests per slide, answers as JSON, targets by block."""
+    engine = lambda texts, lang: F.transform(texts, lambda t: X.pseudo_translation(t, lang, GLOSSARY))
+    b = rows(spark, d, "blocks", "doc_id", "ord", "id", "translatable", "source_text", "runs", layout("slide_index", "position", "base_font"))
+    return L.localized(b, table(spark, d, "doc_meta"), GLOSSARY, engine)

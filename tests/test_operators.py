@@ -123,3 +123,22 @@ def test_fonts():
     sizes = [fonts.fitted_size("some words to set", w, 60, 72) for w in (40, 100, 300)]
     assert sizes == sorted(sizes) and sizes[0] >= 5
     assert fonts.wrapped("中文中文", 2) == ["中文", "中文"]
+
+
+def test_png():
+    np = pytest.importorskip("numpy")
+    from lexloom.functions import png
+
+    img = np.random.default_rng(1).integers(0, 255, (7, 5, 3)).astype(np.uint8)
+    assert (png.decode(png.encode(img)) == img).all() and (png.decode(png.encode(img[:, :, 0]))[:, :, 1] == img[:, :, 0]).all()
+    assert png.visible_part(img, 0.2, 0, 0.2, 0.5).shape == (4, 3, 3) and png.visible_part(img, 1, 1, 1, 1).shape == (1, 1, 3)
+    assert png.visual_hash(img) == png.visual_hash(png.decode(png.encode(img)))
+    with pytest.raises(ValueError, match="PNG"):
+        png.decode(b"GIF89a")
+
+
+def test_answers_fall_back_to_the_source(spark):
+    from lexloom.operators import localize as L
+
+    r = spark.createDataFrame([("d", ["a", "b"], ["one", "two"], 'here: ["eins"]'), ("e", ["c"], ["three"], "no array")], "doc_id string, ids array<string>, texts array<string>, answer string")
+    assert {x.id: x.target_text for x in L.answered(r, F.col("answer")).collect()} == {"a": "eins", "b": "two", "c": "three"}
