@@ -35,5 +35,18 @@ def queries() -> dict[str, Query]:
     }
 
 
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Leaks are an exact condition that SQL can state; the other problems are tested in tests/llm."""
+    return {
+        "p8_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+        "p8_items": _LEAKS + "SELECT item_id, count(*) AS documents FROM leaks GROUP BY item_id",
+    }
