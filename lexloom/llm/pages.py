@@ -177,12 +177,22 @@ def corrupted(word: str, rng: np.random.Generator) -> str:
     return word
 
 
+def unmistaken(words: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The words without those that one glyph confusion makes of a word RATIO times as frequent: in a large corpus misreadings are frequent too."""
+    known, bad = dict(words), set()
+    for w, n in words:
+        for (a, b), i in ((pair, i) for pair in COST for i in range(len(w) - len(pair[0]) + 1)):
+            if w.startswith(a, i) and RATIO * known.get(seen := w[:i] + b + w[i + len(a) :], n) <= n:
+                bad.add(seen)
+    return [w for w in words if w[0] not in bad]
+
+
 def train_ranker(words: list[tuple[str, int]], seed: int = 7) -> Boosted:
     """From the most frequent corpus words: corrupted words with their true form are right; with another near word, and
     words with a letter changed at random (as other words and names are), are wrong."""
     rng = np.random.default_rng(seed)
     x, y = [], []
-    words = [w for w in words if len(w[0]) >= 3][:TRAIN_WORDS]
+    words = [w for w in unmistaken(words) if len(w[0]) >= 3][:TRAIN_WORDS]
     by_size: dict[int, list[tuple[str, int]]] = {}
     for w in words:
         by_size.setdefault(len(w[0]), []).append(w)
@@ -219,7 +229,7 @@ def train_ranker(words: list[tuple[str, int]], seed: int = 7) -> Boosted:
 def misreadings(lex: DataFrame) -> DataFrame:
     """(token, word): tokens of the lexicon that are misread, each with its true form."""
     words = lex.where(_word() & ~_name() & (F.col("n") >= WORD) & (F.length("token") >= 2))
-    top = words.orderBy(F.desc("n"), "token").select("token", "n").limit(TRAIN_WORDS).collect()
+    top = words.orderBy(F.desc("n"), "token").select("token", "n").limit(2 * TRAIN_WORDS).collect()
     model = lex.sparkSession.sparkContext.broadcast(train_ranker([(r.token, r.n) for r in top]))
     # Tokens of one script, and no code of capitals and digits: at least half letters.
     unknown = lex.where(~_name() & (F.length("token") >= 2) & (F.length("token") <= 60) & ~F.col("token").rlike(r"[\x{FF00}-\x{FFEF}\p{M}\x{FB00}-\x{FB06}]"))
