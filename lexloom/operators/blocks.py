@@ -36,8 +36,13 @@ def with_roles(blocks: DataFrame) -> DataFrame:
 
 
 def slide_context(blocks: DataFrame, limit: int = 1200) -> DataFrame:
-    """(doc_id, slide, context): the texts of a slide in order, joined by ' / ', at most `limit` characters."""
+    """(doc_id, slide, context): the texts of a slide in order, joined by ' / ', at most `limit` characters.
+
+    A text with its separator takes four characters at least, so a quarter of `limit` texts are enough; the others are dropped before the shuffle.
+    """
     b = translatable(blocks).select("doc_id", slide_of().alias("slide"), "ord", "source_text")
+    first = F.row_number().over(Window.partitionBy("doc_id", "slide").orderBy("ord"))
+    b = b.withColumn("_n", first).where(F.col("_n") <= limit // 4 + 1).drop("_n")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_text"))), lambda x: x["source_text"]), " / ")
     return b.groupBy("doc_id", "slide").agg(F.substring(joined, 1, limit).alias("context"))
 
@@ -107,7 +112,8 @@ def bilingual_pairs(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
     """(doc_id, id, target_text): a block whose translation already stands beside it is blanked, and that text kept as it is.
 
-    Earlier changes are seen by later blocks, so a slide is worked through in order; one slide is one group.
+    Earlier changes are seen by later blocks, so a slide is worked through in order; one slide is one group. Blocks without a
+    position can neither blank nor be blanked and pass by.
     """
     zh, latin = lambda t: any("㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" for c in t), lambda t: any(c.isascii() and c.isalpha() for c in t)
     fits = lambda t, lang: zh(t) if lang == "zh" else latin(t) if lang in ("en", "de") else bool(t.strip())
@@ -140,4 +146,5 @@ def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) ->
     ref = F.col("source_ref")
     shape = F.concat_ws("/", ref["kind"], *(F.coalesce(ref[k].cast("string"), F.lit("-")) for k in ("shape_id", "row", "col")))
     b = blocks.select("doc_id", slide_of().alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"))
-    return b.groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, id string, target_text string")
+    placed = b.where("box is not null").groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, id string, target_text string")
+    return placed.unionByName(b.where("box is null").select("doc_id", "id", "target_text"))

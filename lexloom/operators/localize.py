@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import fit_length, json_array
 from lexloom.operators import blocks as B
 
+#: Texts of one engine request at most.
+REQUEST = 100
+
 
 def requests(blocks: DataFrame, documents: DataFrame, glossary: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, slide, source_lang, target_lang, ids, texts, limits, context, terms): one engine request per slide, in block order."""
+    """(doc_id, slide, part, source_lang, target_lang, ids, texts, limits, context, terms): engine requests of up to REQUEST texts of a slide, in block order."""
     b = B.translatable(blocks).select("doc_id", B.slide_of().alias("slide"), "ord", "id", "source_text", B.max_chars().alias("limit"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "slide").orderBy("ord")) - 1
+    b = b.withColumn("part", F.floor(place / REQUEST).cast("int"))
     items = F.array_sort(F.collect_list(F.struct("ord", "id", "source_text", "limit")))
-    r = b.groupBy("doc_id", "slide").agg(items.alias("items"))
+    r = b.groupBy("doc_id", "slide", "part").agg(items.alias("items"))
     part = lambda k: F.transform("items", lambda x: x[k])
-    r = r.select("doc_id", "slide", part("id").alias("ids"), part("source_text").alias("texts"), part("limit").alias("limits"))
-    r = r.withColumn("context", F.substring(F.array_join("texts", " / "), 1, 1200))
+    r = r.select("doc_id", "slide", "part", part("id").alias("ids"), part("source_text").alias("texts"), part("limit").alias("limits"))
+    r = r.join(B.slide_context(blocks), ["doc_id", "slide"])
     held = F.filter(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("preferred")) for t, p in glossary)), lambda g: F.exists("texts", lambda t: F.lower(t).contains(F.lower(g["term"]))))
     return r.withColumn("terms", held).join(documents.select("doc_id", "source_lang", "target_lang"), "doc_id")
 

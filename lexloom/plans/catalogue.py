@@ -572,7 +572,7 @@ def _requests(spark, d):
 @query()
 def slide_prompts(spark, d):
     """The engine request of every slide as a prompt."""
-    return _requests(spark, d).select("doc_id", "slide", L.prompt().alias("prompt"))
+    return _requests(spark, d).select("doc_id", "slide", "part", L.prompt().alias("prompt"))
 
 
 @query(f"""
