@@ -303,9 +303,9 @@ NUMBER_LINE = re.compile(r"\W*(?:(?:p|pp|page|seite|s|pág|página|стр)\W{0,2
 SMALL = {"of", "the", "and", "for", "in", "de", "del", "des", "du", "der", "die", "das", "und", "für", "la", "le", "les", "el", "y", "et", "von", "и", "&"}
 
 
-def line_features(lines: list[str], i: int) -> list[float]:
-    """Of the pairs that line i forms with its neighbours."""
-    line, width = lines[i].strip(), max(len(x) for x in lines)
+def line_features(lines: list[str], i: int, width: int) -> list[float]:
+    """Of the pairs that line i forms with its neighbours; width is that of the longest line."""
+    line = lines[i].strip()
     prev, nxt = (lines[i - 1].strip() if i else ""), (lines[i + 1].strip() if i + 1 < len(lines) else "")
     words = re.findall(r"[^\W\d_]+", line)
     big = [w for w in words if w.lower() not in SMALL]
@@ -370,20 +370,28 @@ def train_lines(clean: list[str], seed: int = 7) -> Boosted:
             ts = [t for t, _ in page]
             for i, (_, k) in enumerate(page):
                 if k or rng.random() < 0.5:
-                    x.append(line_features(ts, i))
+                    x.append(line_features(ts, i, max(map(len, ts))))
                     y.append(k)
     return Boosted(60, 3).fit(np.array(x, float), np.array(y))
 
 
-def furniture_lines(text: str, model: Boosted) -> list[int]:
-    """Numbers of the lines of a text that are running headers, footers or page numbers."""
-    lines = text.split("\n")
-    at = [i for i, t in enumerate(lines) if t.strip()]
-    if len(at) < 2:
-        return []
-    kept = [lines[i] for i in at]
-    x = np.array([line_features(kept, i) for i in range(len(kept))], float)
-    return [at[i] for i in np.flatnonzero(model.score(x) >= 0.5)]
+def furniture_lines(texts: list[str], model: Boosted) -> list[list[int]]:
+    """Per text the numbers of the lines that are running headers, footers or page numbers; all texts are scored at once."""
+    x, where = [], []
+    for k, text in enumerate(texts):
+        if "\n" not in text.strip():
+            continue
+        lines = text.split("\n")
+        at = [i for i, t in enumerate(lines) if t.strip()]
+        kept = [lines[i] for i in at]
+        width = max(map(len, kept))
+        x += [line_features(kept, i, width) for i in range(len(kept))]
+        where += [(k, i) for i in at]
+    out: list[list[int]] = [[] for _ in texts]
+    if x:
+        for j in np.flatnonzero(model.score(np.array(x, float)) >= 0.5):
+            out[where[j][0]].append(where[j][1])
+    return out
 
 
 INLINE = re.compile(
@@ -424,12 +432,11 @@ def running(rows: DataFrame, model) -> tuple[DataFrame, DataFrame]:
         """Of each furniture line its keys; with an empty key, the text without such lines."""
         for b in batches:
             ref, key, filler = [], [], []
-            for r, t in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if "\n" not in t.strip():
+            texts_ = b.column("text").to_pylist()
+            for r, t, found in zip(b.column("ref").to_pylist(), texts_, furniture_lines(texts_, model.value), strict=True):
+                if not found:
                     continue
                 ls = t.split("\n")
-                if not (found := furniture_lines(t, model.value)):
-                    continue
                 ref.append(r)
                 key.append("")
                 filler.append("\n".join(x for i, x in enumerate(ls) if i not in found))
@@ -519,16 +526,16 @@ def repair(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.to_pydict()
-            done = [repaired(t, x or [], y or [], model.value) if k else t for t, x, y, k in zip(d["text"], d["todo"], d["titles"], d["kinds"], strict=True)]
+            drop = furniture_lines(d["text"], model.value)
+            done = [repaired(t, x or [], y or [], z) if k else t for t, x, y, z, k in zip(d["text"], d["todo"], d["titles"], drop, d["kinds"], strict=True)]
             kinds = pa.array([k or [] for k in d["kinds"]], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("ref"), pa.array(done, pa.string()), kinds], ["ref", "repaired", "kinds"])
 
     return every.mapInArrow(fix, "ref string, repaired string, kinds array<string>")
 
 
-def repaired(text: str, changes: list[dict], titles: list[str], model: Boosted) -> str:
-    """The text with the given changes made."""
-    drop = set(furniture_lines(text, model))
+def repaired(text: str, changes: list[dict], titles: list[str], drop: list[int]) -> str:
+    """The text with the given changes made and without the given lines."""
     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
     for t in sorted(titles, key=len, reverse=True):
         text = text.replace(t + " ", "", 1) if t + " " in text else text.replace(t, "", 1)
