@@ -343,25 +343,36 @@ def _parser(model) -> Parser:
 
 
 def runs_of(blocks: DataFrame) -> DataFrame:
-    """(doc_id, id, run_idx, label, text) of the runs of blocks; null runs and null texts are left out."""
+    """(doc_id, id, run_idx, label, text) of the runs of blocks; a null run has a null label and text."""
     one = blocks.select("doc_id", "id", F.posexplode("runs").alias("run_idx", "run"))
-    return one.select("doc_id", "id", "run_idx", F.col("run.lang").alias("label"), F.col("run.text").alias("text")).where("text is not null")
+    return one.select("doc_id", "id", "run_idx", F.col("run.lang").alias("label"), F.col("run.text").alias("text"))
 
 
-def labelled_runs(blocks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """(doc_id, id, run_idx, label, text, segments) of the runs with at least LEAST letters."""
-    runs = runs_of(blocks).where(letters_of(F.col("text")) >= LEAST)
-    return label_segments(runs, fit_languages(runs.select("doc_id", F.col("label").alias("lang"), "text"), documents))
+def labelled_runs(blocks: DataFrame, documents: DataFrame | None = None, least: int = 0) -> DataFrame:
+    """(doc_id, id, run_idx, label, text, segments) of all runs, or of those with at least `least` letters.
+
+    The automata are built over runs with at least LEAST letters, whatever `least` is.
+    """
+    runs = runs_of(blocks)
+    automata = fit_languages(runs.select("doc_id", F.col("label").alias("lang"), "text"), documents)
+    return label_segments(runs.where(letters_of(F.col("text")) >= least) if least else runs, automata)
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run, and each segment of a mixed one, with its language and confidence."""
-    runs = labelled_runs(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "doc_meta")).withColumn("s", F.explode("segments"))
-    return runs.select("doc_id", "id", "run_idx", "label", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
+    """Each run, and each segment of a mixed one, with its language and confidence.
+
+    Confidence falls with the share of LEAST letters that a shorter run lacks (a Chinese character counts three); a run without letters has
+    one row with a null language.
+    """
+    runs = labelled_runs(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "doc_meta"))
+    runs = runs.withColumn("all", F.aggregate("segments", F.lit(0), lambda n, s: n + F.when(s["lang"] == "zh", 3).otherwise(1) * s["letters"])).withColumn("s", F.explode_outer("segments"))
+    short = letters_of(F.col("text")) < LEAST
+    sure = F.when(short, F.round(F.col("s.confidence") * F.least(F.lit(1.0), F.col("all") / LEAST), 4)).otherwise(F.col("s.confidence"))
+    return runs.select("doc_id", "id", "run_idx", "label", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), sure.alias("confidence"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = labelled_runs(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "doc_meta")).withColumn("s", F.explode("segments"))
+    runs = labelled_runs(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "doc_meta"), LEAST).withColumn("s", F.explode("segments"))
     labels = F.split(F.lower(F.trim("label")), r"[\s_\-.;,(@/]+")[0]
     of = F.create_map(*(F.lit(x) for pair in BY_NAME.items() for x in pair))
     own = (F.col("s.letters") >= OWN) | ((F.col("s.lang") == "zh") & (F.col("s.letters") * 3 >= OWN)) | (F.size("segments") == 1)

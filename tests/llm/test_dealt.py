@@ -143,6 +143,21 @@ def test_languages(spark):
     assert languages.language_of_label("pt-BR") is None and languages.language_of_label(" de_AT ") == "de" and languages.language_of_label("中文") == "zh" and languages.language_of_label("und") is None
 
 
+def test_every_run_has_a_row(spark, tmp_path):
+    words = {"en": "the house stands near old river with many people", "de": "das Haus steht neben dem alten Fluss mit vielen Leuten"}
+    rng = random.Random(4)
+    runs = [(" ".join(rng.choices(words[x].split(), k=12)) + ".", x) for x in ("en", "de") for _ in range(60)]
+    runs += [("Leuten", "de"), ("12 / 7", None), ("", "en"), (None, None), ("\u6cb3", "zh")]
+    run = "array<struct<text:string,lang:string>>"
+    spark.createDataFrame([("d", "b", [(t, x) for t, x in runs]), ("e", "b", None)], f"doc_id string, id string, runs {run}").write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([("d", "en"), ("e", "en")], "doc_id string, source_lang string").write.parquet(str(tmp_path / "doc_meta.parquet"))
+    got = {r.run_idx: r for r in languages.p4_segments(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(runs)))
+    assert all(got[i].lang is None and got[i].confidence is None for i in (121, 122, 123))
+    assert got[120].lang is not None and got[124].lang is not None and max(got[120].confidence, got[124].confidence) <= 0.5
+    assert {r.run_idx for r in languages.p4_found(spark, str(tmp_path)).collect()}.isdisjoint(range(120, 125))
+
+
 def test_phrases_by_brute_force():
     rng = random.Random(4)
     seq = "".join(rng.choice("ab c") for _ in range(300))
