@@ -190,11 +190,12 @@ def same_content(a: str, b: str, signs: bool = True) -> bool:
     return all(x == y for x, y in zip_longest(_walk(a, signs), _walk(b, signs)))
 
 
-def formatting_classes(rows: DataFrame, least: int = 20, signs: bool = True) -> DataFrame:
-    """(ref, ref_first, copies) of every record of `rows` (ref, text) that has an equal one; ref_first is the class's smallest.
+def formatting_classes(rows: DataFrame, least: int = 20, signs: bool = True, single: bool = False) -> DataFrame:
+    """(ref, ref_first, copies) of every record of `rows` (ref, text) that has an equal one, with `single` of the others too (copies 1);
+    ref_first is the class's smallest.
 
     Equal is: the same but for blanks, case, punctuation, order of `key: value` fields, and look-alike characters.
-    Null texts and texts with fewer than `least` letters and digits (1 at least) have no class. Records repeated as a whole count
+    Null texts and texts with fewer than `least` letters and digits have no class; if `least` is 0, texts of nothing but formatting are one class. Records repeated as a whole count
     once per `ref`. Whatever the size of a class, no task sees more of it than its share: classes are aggregated
     before the shuffle and joined back by hash, where adaptive execution splits a hot one.
     """
@@ -204,11 +205,12 @@ def formatting_classes(rows: DataFrame, least: int = 20, signs: bool = True) ->
             t = b.column("text").to_pylist()
             high, low, size = fold_hashes(t, signs)
             out = pa.RecordBatch.from_arrays([b.column("ref"), b.column("text"), b.column("raw"), pa.array(high), pa.array(low), pa.array(size)], ["ref", "text", "raw", "h1", "h2", "size"])
-            yield out.filter(pc.greater_equal(out.column("size"), max(1, least)))
+            yield out.filter(pc.greater_equal(out.column("size"), least))
 
-    some = rows.where(F.length("text") >= max(1, least)) if signs else rows.where(F.col("text").isNotNull())
+    some = rows.where(F.length("text") >= least) if signs else rows.where(F.col("text").isNotNull())
     all_rows = cut_table(some.select("ref", "text", F.xxhash64("text").alias("raw")).mapInArrow(hashed, "ref string, text string, raw long, h1 long, h2 long, size long").drop("size"))
     groups = all_rows.groupBy("h1", "h2").agg(F.min("ref").alias("ref_first"), F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("z"))
+    alone = groups.where("n = 1").select(F.col("ref_first").alias("ref"), "ref_first", F.lit(1).cast("long").alias("copies"))
     groups = groups.where("n > 1").select("h1", "h2", "ref_first", (F.col("a") != F.col("z")).alias("mixed"))
     members = all_rows.join(groups, ["h1", "h2"])
     plain = members.where("not mixed").select("h1", "h2", "ref", "ref_first", F.lit(None).cast("string").alias("other"))
@@ -227,14 +229,15 @@ def formatting_classes(rows: DataFrame, least: int = 20, signs: bool = True) ->
     # A collision leaves its class; records that collide with each other still form one.
     own = both.where("other is not null").groupBy("h1", "h2", "other").agg(F.min("ref").alias("own_first"))
     both = both.join(own, ["h1", "h2", "other"], "left").select("ref", F.coalesce("own_first", "ref_first").alias("ref_first"))
-    sizes = both.groupBy("ref_first").agg(F.count("*").alias("copies")).where("copies > 1")
-    return both.join(sizes, "ref_first").select("ref", "ref_first", "copies")
+    sizes = both.groupBy("ref_first").agg(F.count("*").alias("copies"))
+    members = both.join(sizes if single else sizes.where("copies > 1"), "ref_first").select("ref", "ref_first", "copies")
+    return members.unionByName(alone) if single else members
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_first, copies): one record per distinct content that occurs more than once, with its number of records."""
-    blocks = formatting_classes(texts(spark, sf_dir, block="source_text"))
-    hashes = formatting_classes(texts(spark, sf_dir, selection="content_hash"), 1, False)
+    """(ref_first, copies): one record per distinct content, whatever its length, with its number of records."""
+    blocks = formatting_classes(texts(spark, sf_dir, block="source_text"), 0, single=True)
+    hashes = formatting_classes(texts(spark, sf_dir, selection="content_hash"), 0, False, single=True)
     return blocks.unionByName(hashes).select("ref_first", "copies").distinct()
 
 

@@ -75,6 +75,15 @@ def test_formatting_copies(spark):
     assert got == want
 
 
+def test_classes_hold_every_content(spark, tmp_path):
+    rows = ["One long text that stands alone here.", "Yes", "yes!", "No", "Twice here, a text of some length", "TWICE here: a text of some length.", "", " - ", None]
+    spark.createDataFrame([("d", str(i), t) for i, t in enumerate(rows)] + [("d", "3", "No")], "doc_id string, id string, source_text string").write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([("d", "i", "AB cd"), ("d", "j", "abcd"), ("d", "k", "ef"), ("d", "l", None)], "doc_id string, image_id string, content_hash string").write.parquet(str(tmp_path / "selections.parquet"))
+    got = {r.ref_first: r.copies for r in duplicates.p5_classes(spark, str(tmp_path)).collect()}
+    assert got == {"block:d:0": 1, "block:d:1": 2, "block:d:3": 1, "block:d:4": 2, "block:d:6": 2, "selection:d:i": 2, "selection:d:k": 1}
+    assert [tuple(r) for r in duplicates.p5_found(spark, str(tmp_path)).where("ref_first like 'block%'").collect()] == [("block:d:4", "block:d:5")]
+
+
 def test_hash_agrees_with_walk():
     rng = random.Random(5)
     letters = "aBß é-+.,1२ \n>:;​ＡﬁжЖ²%"
