@@ -29,8 +29,8 @@ LEAST = 12
 MAP_SIDE_SEEDS = 2_000_000
 #: Consecutive unequal words that end an overlap.
 GAP = 2
-#: Diagonals looked at for the longest overlap of two texts, and places of a seed that vote; whether a run is common is tested apart from them.
-DIAGONALS, PLACES = 64, 8
+#: Pairs of places with a common seed that are listed one by one; where there are more, every diagonal is looked at.
+LISTED = 4_000_000
 
 
 def words(text: str) -> list[str]:
@@ -76,22 +76,57 @@ def overlaps(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], gap
     return out
 
 
-def diagonals(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
-    """A hit (place in doc, place in item) on each of the DIAGONALS diagonals with the most common seeds.
+def dense(same: np.ndarray) -> tuple[int, int, int] | None:
+    """(start, places, true ones) of the stretch with the most true ones that make up three quarters of it, the first of equals."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return None
+    # The stretch from the i-th to the j-th true one is dense if g[j] + 1 >= g[i].
+    g = 4 * np.arange(len(at)) - 3 * at
+    most = np.maximum.accumulate(g[::-1])[::-1]
+    last = len(g) - 1 - np.searchsorted(most[::-1], g - 1)
+    i = int(np.argmax(last - np.arange(len(g))))
+    j = int(last[i])
+    return int(at[i]), int(at[j] - at[i] + 1), j - i + 1
 
-    In texts that repeat themselves every seed has many places; then its first PLACES in the item stand for all.
+
+def longest(doc: np.ndarray, item: np.ndarray, ks: list[int]) -> tuple[int, int, int, int] | None:
+    """(start in doc, words, equal words, longest run of equal words over all) of the longest overlap on the diagonals `ks`.
+
+    The longest stretch of LEAST equal words that are three quarters of it; without one, the longest overlap as it is. The longest diagonals come
+    first, and none is looked at that is too short to hold anything longer.
     """
-    votes: dict[int, int] = {}
+    room = lambda k: min(len(doc), len(item) + k) - max(0, k)
+    best, loose, run = None, None, 0
+    for k in sorted(ks, key=lambda k: (-room(k), k)):
+        if best and room(k) < best[2] and room(k) <= run:
+            break
+        for start, n, equal, r in overlaps(doc, item, [(max(k, 0), max(k, 0) - k)]):
+            run = max(run, r)
+            if loose is None or (equal, -start) > (loose[2], -loose[0]):
+                loose = (start, n, equal)
+            if equal >= LEAST and (best is None or equal >= best[2]):
+                a, n, equal = dense(doc[start : start + n] == item[start - k : start - k + n])
+                if equal >= LEAST and (best is None or (equal, -start - a) > (best[2], -best[0])):
+                    best = (start + a, n, equal)
+    found = best or loose
+    return found and (*found, run)
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray) -> list[int]:
+    """The diagonals (place in doc less place in item) with a common seed; in texts that repeat themselves a lot, all there are."""
+    shift = item.shape[1] - 1
+    hit = np.zeros(max(doc.shape[1] + shift, 0), bool)
+    listed = 0
     for mx, my in zip(doc, item, strict=True):
-        where: dict[int, list[int]] = {}
-        for j, s in enumerate(my.tolist()):
-            if len(at := where.setdefault(s, [])) < PLACES:
-                at.append(j)
-        for i in np.flatnonzero(np.isin(mx, my)).tolist():
-            for j in where[int(mx[i])]:
-                votes[i - j] = votes.get(i - j, 0) + 1
-    best = sorted(votes, key=lambda k: (-votes[k], k))[:DIAGONALS]
-    return [(max(k, 0), max(k, 0) - k) for k in best]
+        order = np.argsort(mx, kind="stable")
+        a, z = np.searchsorted(mx[order], my), np.searchsorted(mx[order], my, "right")
+        listed += int((z - a).sum())
+        if listed > LISTED:
+            return list(range(-shift, doc.shape[1]))
+        for j in np.flatnonzero(z > a).tolist():
+            hit[order[a[j] : z[j]] - j + shift] = True
+    return (np.flatnonzero(hit) - shift).tolist()
 
 
 def windows(ids: np.ndarray) -> set[int]:
@@ -156,7 +191,8 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, words, equal, run): for each document and item with a common seed, their longest overlap.
+    """(doc_id, item_id, start, words, equal, run): for each document and item with a common seed, their longest overlap,
+    of those with LEAST equal words that make up three quarters of it if there is one.
 
     docs: (doc_id LONG, text), items: (item_id LONG, text); other columns are ignored. `start` is the word of the document where the
     overlap starts, `equal` its equal words and `run` the longest run of equal words over all overlaps. Null texts and texts with fewer than
@@ -170,10 +206,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             rows = []
             for d, i, t, u in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text")), strict=True):
                 x, y = word_ids(words(t)), word_ids(words(u))
-                hits = diagonals(seeds(x), seeds(y))
-                if found := overlaps(x, y, hits):
-                    start, n, equal, _ = max(found, key=lambda o: (o[2], -o[0]))
-                    run = max(o[3] for o in found)
+                if found := longest(x, y, diagonals(seeds(x), seeds(y))):
+                    start, n, equal, run = found
                     rows.append((d, i, start, n, equal, max(run, LEAST) if run >= LEAST or windows(x) & windows(y) else run))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int64()] + [pa.int32()] * 4

@@ -287,6 +287,32 @@ def test_overlap_tolerates_replaced_words():
     assert leaks.overlaps(b, a, [(0, 0)]) == [(0, 40, 39, 20)]
 
 
+def test_dense_overlap_beside_a_looser_one(spark):
+    item = [f"a{i}" for i in range(80)]
+    loose = [w if i % 3 else f"x{i}" for i, w in enumerate(item[:60])]
+    text = " ".join(loose[:59] + [f"y{i}" for i in range(9)] + item[60:73] + [f"z{i}" for i in range(9)])
+    alone = " ".join(item[20:32] + [x for w in item[32:60:3] for x in (w, "q", "r")])
+    # A hundred diagonals with more hits than the one that holds the tolerant overlap.
+    part = [f"b{i}" for i in range(13)]
+    far = [f"c{i}" for i in range(8)] + ["q"] + [f"c{i}" for i in range(9, 17)]
+    many = " ".join([w for i in range(100) for w in (*part, *["s"] * (i + 1))] + [f"c{i}" for i in range(17)])
+    docs = spark.createDataFrame([(1, text), (2, alone), (3, many)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (3, " ".join([*part, *far]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 3)}
+    assert all(r.equal >= 12 and 4 * r.equal >= 3 * r.words and r.run >= 12 for r in got.values())
+    assert got[3, 3].equal == 16
+
+
+def test_dense_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        same = [rng.random() < 0.6 for _ in range(rng.randrange(1, 40))]
+        ways = [(sum(same[a:z]), -a) for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a] and same[z - 1] and 4 * sum(same[a:z]) >= 3 * (z - a)]
+        got = leaks.dense(leaks.np.array(same))
+        assert (got is None) == (not ways) and (not ways or (got[2], -got[0]) == max(ways))
+
+
 # 9
 
 
