@@ -109,11 +109,12 @@ def bilingual_pairs(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "slide", "key"]).where((F.col("id") != F.col("other_id")) & parallel("a", "b")).select("doc_id", "id", "other_id").distinct()
 
 
-def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+def suppress_bilingual(blocks: DataFrame, source_lang: str | Column, target_lang: str | Column) -> DataFrame:
     """(doc_id, id, target_text): a block whose translation already stands beside it is blanked, and that text kept as it is.
 
     Earlier changes are seen by later blocks, so a slide is worked through in order; one slide is one group. Blocks without a
-    position can neither blank nor be blanked and pass by.
+    position can neither blank nor be blanked and pass by. The languages are codes for all blocks, or columns of `blocks` that are the same
+    throughout a document; a slide whose languages are null stays as it is.
     """
     zh, latin = lambda t: any("㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" for c in t), lambda t: any(c.isascii() and c.isalpha() for c in t)
     fits = lambda t, lang: zh(t) if lang == "zh" else latin(t) if lang in ("en", "de") else bool(t.strip())
@@ -127,13 +128,16 @@ def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) ->
 
     def work(slide: pd.DataFrame) -> pd.DataFrame:
         rows = slide.sort_values("ord").to_dict("records")
+        source, target = rows[0]["source"], rows[0]["target"]
+        if not (isinstance(source, str) and isinstance(target, str)):
+            return slide[["doc_id", "id", "target_text"]]
         shapes = defaultdict(list)
         for r in rows:
             shapes[r["shape"]].append(r)
-        others = [(g, k) for g in shapes.values() if (k := normal_form(t := "".join(r["source_text"] or "" for r in g))) and fits(t, target_lang)]
+        others = [(g, k) for g in shapes.values() if (k := normal_form(t := "".join(r["source_text"] or "" for r in g))) and fits(t, target)]
         for r in rows:
             key = normal_form(r["target_text"])
-            if not key or key == normal_form(r["source_text"]) or not fits(r["source_text"] or "", source_lang):
+            if not key or key == normal_form(r["source_text"]) or not fits(r["source_text"] or "", source):
                 continue
             for g, k in others:
                 if k == key and not any(x is r for x in g) and beside(r["box"], g[0]["box"]):
@@ -143,8 +147,9 @@ def suppress_bilingual(blocks: DataFrame, source_lang: str, target_lang: str) ->
                     break
         return pd.DataFrame([{k: r[k] for k in ("doc_id", "id", "target_text")} for r in rows], columns=["doc_id", "id", "target_text"])
 
+    languages = [(F.lit(c) if isinstance(c, str) else c).alias(n) for c, n in ((source_lang, "source"), (target_lang, "target"))]
     ref = F.col("source_ref")
     shape = F.concat_ws("/", ref["kind"], *(F.coalesce(ref[k].cast("string"), F.lit("-")) for k in ("shape_id", "row", "col")))
-    b = blocks.select("doc_id", slide_of().alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"))
+    b = blocks.select("doc_id", slide_of().alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"), *languages)
     placed = b.where("box is not null").groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, id string, target_text string")
     return placed.unionByName(b.where("box is null").select("doc_id", "id", "target_text"))

@@ -159,9 +159,9 @@ def bilingual_pairs(spark, d):
 
 @query()
 def bilingual_suppression(spark, d):
-    """Targets after the bilingual pass for English to German, slide by slide."""
-    pairs = table(spark, d, "doc_meta").where("source_lang = 'en' and target_lang = 'de'").select("doc_id")
-    return B.suppress_bilingual(rows(spark, d, "blocks", "doc_id", "ord", "id", "source_text", "target_text", "source_ref", layout("slide_index", "position")).join(pairs, "doc_id", "left_semi"), "en", "de")
+    """Targets after the bilingual pass in the languages of each document, slide by slide."""
+    languages = table(spark, d, "doc_meta").select("doc_id", "source_lang", "target_lang")
+    return B.suppress_bilingual(rows(spark, d, "blocks", "doc_id", "ord", "id", "source_text", "target_text", "source_ref", layout("slide_index", "position")).join(languages, "doc_id", "left"), F.col("source_lang"), F.col("target_lang"))
 
 
 @query("""

@@ -55,6 +55,24 @@ def test_bilingual_slide(spark):
     assert [tuple(r) for r in B.bilingual_pairs(blocks(spark, rows), meta).collect()] == [("d", "b1", "b2")]
 
 
+def test_bilingual_slides_of_all_languages(spark):
+    slides = {"d": ("Hello", "你好", "en", "zh"), "e": ("Hallo", "Bonjour", "de", "fr"), "f": ("Hello", "Hallo", None, None)}
+    b = None
+    for k, (source, target, *_) in slides.items():
+        one = blocks(spark, [row(1, source, target, box=(0, 0, 100, 40)), row(2, target, "x", box=(110, 0, 100, 40))]).withColumn("doc_id", F.lit(k))
+        b = one if b is None else b.unionByName(one)
+    b = b.join(spark.createDataFrame([(k, s, t) for k, (_, _, s, t) in slides.items()], "doc_id string, source_lang string, target_lang string"), "doc_id")
+    out = {(r.doc_id, r.id): r.target_text for r in B.suppress_bilingual(b, F.col("source_lang"), F.col("target_lang")).collect()}
+    assert out == {("d", "b1"): "", ("d", "b2"): "你好", ("e", "b1"): "", ("e", "b2"): "Bonjour", ("f", "b1"): "Hallo", ("f", "b2"): "x"}
+
+
+def test_bilingual_query_covers_every_block(spark, data):
+    from lexloom.plans import catalogue
+
+    got = catalogue.bilingual_suppression(spark, data).select("doc_id", "id").distinct()
+    assert got.count() == spark.read.parquet(f"{data}/blocks.parquet").select("doc_id", "id").distinct().count()
+
+
 def test_clusters_like_a_loop(spark):
     rng = random.Random(1)
     rows = [(f"l{i % 9}", i, rng.randrange(900), rng.randrange(5, 60), rng.randrange(5, 40)) for i in range(90)]
