@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import charfold, duplicates, languages, leaks, lookalike, packing, pages, pairs, queries, refs, refusals, toxicity, truncation
+from lexloom.llm import charfold, duplicates, languages, leaks, lookalike, packing, pages, pairs, queries, refs, refusals, streams, toxicity, truncation
 
 LONG = ("word and number 12, " * 20000).strip()
 HARD = ["", " ", "\n", "​", None, "a", "🙂" * 30, "." * 5000, "a b " * 3000, LONG, "x" * 20000, "퟿ odd", "key: v; key: w", "a\tb", "١٢٣"]
@@ -256,9 +256,9 @@ def test_packing(spark):
 # 8
 
 
-@pytest.mark.parametrize("limit", [leaks.MAP_SIDE_SEEDS, 0])
-def test_leaks_by_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(leaks, "MAP_SIDE_SEEDS", limit)
+@pytest.mark.parametrize("most", [leaks.FILTER_MOST, 64])
+def test_leaks_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "FILTER_MOST", most)
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 40)))) for i in range(30)] + [(99, None), (3, "short")]
     docs = []
@@ -271,20 +271,51 @@ def test_leaks_by_brute_force(spark, monkeypatch, limit):
     docs += [(300, None), (301, ""), (5, docs[5][1]), (302, LONG)]
     df = spark.createDataFrame(docs, "doc_id int, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit("clash"))
-    out = leaks.leaks(df, it).where(F.col("run") >= 12).select("doc_id", "item_id").distinct()
+    out = leaks.leaked_items(df, it)
     want = set()
     for d, t in docs:
         w = leaks.words(t or "")
         grams = {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
         want |= {(d, i) for i, u in items if u and any(tuple(x[k : k + 12]) in grams for x in [leaks.words(u)] for k in range(len(x) - 11))}
-    assert want and {tuple(r) for r in out.collect()} == want
+    assert want and sorted(tuple(r) for r in out.collect()) == sorted(want)
 
 
 def test_overlap_tolerates_replaced_words():
     a = leaks.word_ids([f"a{i}" for i in range(40)])
     b = a.copy()
     b[20] = 7
-    assert leaks.overlaps(b, a, [(0, 0)]) == [(0, 40, 39, 20)]
+    assert leaks.passages(b, a, [0]) == [(0, 40, 39, 20)]
+
+
+def test_passages_by_brute_force():
+    """Every passage is dense and apart from the others, and every dense stretch on any diagonal meets one with as many equal words."""
+    rng = random.Random(4)
+    for _ in range(150):
+        item = [rng.randrange(9) for _ in range(rng.randrange(8, 40))]
+        doc = [x if rng.random() < 0.8 else rng.randrange(9) for x in item] + [rng.randrange(9) for _ in range(rng.randrange(20))] + item[: rng.randrange(20)]
+        x, y = leaks.np.array(doc, leaks.np.uint64), leaks.np.array(item, leaks.np.uint64)
+        got = leaks.passages(x, y, list(range(-len(item) + 1, len(doc))))
+        assert all(a + n <= b for (a, n, *_), (b, *_) in itertools.pairwise(got))
+        best = set()
+        for k in range(-len(item) + 1, len(doc)):
+            same = [0 <= i - k < len(item) and doc[i] == item[i - k] for i in range(len(doc))]
+            for a in range(len(doc)):
+                for z in range(a + 12, len(doc) + 1):
+                    if same[a] and same[z - 1] and 0 <= a - k and z - k <= len(item) and sum(same[a:z]) >= 12 and 4 * sum(same[a:z]) >= 3 * (z - a):
+                        best.add((a, z - a, sum(same[a:z])))
+        assert {(a, n, e) for a, n, e, _ in got} <= best
+        assert all(any(p[0] < a + n and a < p[0] + p[1] and p[2] >= e for p in got) for a, n, e in best)
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(2)
+    rows = ["".join(rng.choice("abé жЖ१_-一🙂𝐀") for _ in range(rng.randrange(30))) for _ in range(400)] + ["", "x" * 300_000 + " y"]
+    ids, first = streams.word_hashes(rows)
+    ws = [re.findall(r"[^\W_]+", r) for r in rows]
+    assert leaks.np.diff(first).tolist() == [len(w) for w in ws]
+    by = {}
+    assert all(by.setdefault(w, i) == i for w, i in zip((w for x in ws for w in x), ids.tolist(), strict=True)) and len(set(by.values())) == len(by)
+    assert (streams.word_hashes(rows[:50], 16)[0] == ids[: first[50]]).all()
 
 
 def test_dense_overlap_beside_a_looser_one(spark):
@@ -298,10 +329,11 @@ def test_dense_overlap_beside_a_looser_one(spark):
     many = " ".join([w for i in range(100) for w in (*part, *["s"] * (i + 1))] + [f"c{i}" for i in range(17)])
     docs = spark.createDataFrame([(1, text), (2, alone), (3, many)], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(item)), (3, " ".join([*part, *far]))], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in leaks.leaks(docs, items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (3, 3)}
-    assert all(r.equal >= 12 and 4 * r.equal >= 3 * r.words and r.run >= 12 for r in got.values())
-    assert got[3, 3].equal == 16
+    got = leaks.leaks(docs, items).collect()
+    by = lambda d: [r for r in got if r.doc_id == d]
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 3)} and all(r.equal >= 12 and 4 * r.equal >= 3 * r.words for r in got)
+    assert max(r.run for r in by(1)) >= 12 and max(r.run for r in by(2)) >= 12
+    assert len(by(3)) == 101 and sorted(r.equal for r in by(3))[-2:] == [13, 16]
 
 
 def test_dense_by_brute_force():
