@@ -10,6 +10,7 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import TO_LATIN, look
 from lexloom.llm.learn import bounded_sample
+from lexloom.llm.streams import bounded, code_points
 from lexloom.sources.tables import table
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -49,12 +51,54 @@ def spelling(word: str) -> str:
 
 def words(text: str) -> list[str]:
     """The words of a text in lower case, masked words with their masks, and "." for each end of a sentence."""
-    t = look(text)
+    return ["." if w[0] in ".!?\n" else w for w in _words(text)]
+
+
+def _words(text: str) -> list[str]:
+    """As `words`, but with the marks that end sentences as written."""
+    return _split(look(text))
+
+
+def _split(t: str, spaced: bool = True) -> list[str]:
     if _OTHER.search(t):
         # Look-alikes are read as Latin in words with Latin letters.
         t = re.sub(r"\w+", lambda m: m.group().translate(_LATIN) if re.search("[a-zA-Z]", m.group()) else m.group(), t)
-    t = _SPACED.sub(lambda m: m.group().replace(" ", ""), t.casefold())
-    return ["." if w[0] in ".!?\n" else w for w in _WORD.findall(t)]
+    t = t.casefold()
+    return _WORD.findall(_SPACED.sub(lambda m: m.group().replace(" ", ""), t) if spaced else t)
+
+
+def _words_of(texts: list[str]) -> Iterator[list[str]]:
+    """`_words` of each text; which have single letters between blanks is looked up for all at once."""
+    seen = [look(t) for t in texts]
+    cps, starts = code_points(seen)
+    kind = _letter_or_blank()[np.minimum(cps, 0x10000)]
+    n = max(0, len(kind) - 4)
+    at = np.flatnonzero((kind[:n] & kind[2 : n + 2] & kind[4 : n + 4] & 1) & (kind[1 : n + 1] >> 1) & (kind[3 : n + 3] >> 1))
+    spaced = np.zeros(len(texts), bool)
+    spaced[np.searchsorted(starts, at, "right") - 1] = True
+    return map(_split, seen, spaced.tolist())
+
+
+@lru_cache(1)
+def _letter_or_blank() -> np.ndarray:
+    """1 for a letter, 2 for a blank; characters beyond the basic plane count as letters."""
+    out = np.fromiter((chr(c).isalpha() for c in range(0x10001)), np.int8, 0x10001)
+    out[0x10000], out[32] = 1, 2
+    return out
+
+
+class Known(dict):
+    """Ids by word, found with `of` when first asked for; of more than 300,000 words only the first are kept."""
+
+    def __init__(self, of: Callable[[str], int]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> int:
+        i = self.of(word)
+        if len(self) < 300_000:
+            self[word] = i
+        return i
 
 
 class Speller:
@@ -72,26 +116,33 @@ class Speller:
         for w in sorted(seen, key=lambda w: -(toxic[w] + rate) / (seen[w] + 1)):
             if len(w) > 2:
                 self.telling[w[0], w[-1], len(w)].append(w)
-        self.memo: dict[str, int] = {".": BREAK}
+        self.known = Known(self.id_of)
 
     def id_of(self, word: str) -> int:
-        if (i := self.memo.get(word)) is None:
-            plain = word
-            if _MASK.search(word):
-                shape = re.compile("".join("." if c in "*#%-_" else re.escape(c) for c in word))
-                fits = [w for w in self.telling.get((word[0], word[-1], len(word)), []) if shape.fullmatch(w)]
-                if not fits:
-                    # The last letters may be masked too.
-                    fits = [w for (a, _, n), ws in self.telling.items() if a == word[0] and n == len(word) for w in ws if shape.fullmatch(w)]
-                plain = fits[0] if fits else "<masked>"
-            i = 1 + crc32(spelling(plain).encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
-            if len(self.memo) < 300_000:
-                self.memo[word] = i
-        return i
+        if word[0] in ".!?\n":
+            return BREAK
+        plain = word
+        if _MASK.search(word):
+            shape = re.compile("".join("." if c in "*#%-_" else re.escape(c) for c in word))
+            fits = [w for w in self.telling.get((word[0], word[-1], len(word)), []) if shape.fullmatch(w)]
+            if not fits:
+                # The last letters may be masked too.
+                fits = [w for (a, _, n), ws in self.telling.items() if a == word[0] and n == len(word) for w in ws if shape.fullmatch(w)]
+            plain = fits[0] if fits else "<masked>"
+        return 1 + crc32(spelling(plain).encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
 
     def ids(self, ws: list[str]) -> np.ndarray:
         pad = max(WIDTHS) - 1
-        return np.fromiter([*[BREAK] * pad, *map(self.id_of, ws), *[BREAK] * pad], np.int32, len(ws) + 2 * pad)
+        out = np.full(len(ws) + 2 * pad, BREAK, np.int32)
+        out[pad : pad + len(ws)] = list(map(self.known.__getitem__, ws))
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = Known(self.id_of)
 
 
 class Convolution:
@@ -119,69 +170,93 @@ class Convolution:
                     d = docs[i]
                     at = int(rng.integers(0, len(d) - WINDOW + 1)) if len(d) > WINDOW else 0
                     parts.append(d[at : at + WINDOW])
-                grads = self._grads(parts, y[some], weight[some], rng)
+                touched, grads = self._grads(parts, y[some], weight[some], rng)
                 step += 1
+                fade = 1 - 0.9**step, 1 - 0.99**step
                 for name, g in grads.items():
-                    m[name] = 0.9 * m[name] + 0.1 * g
-                    v[name] = 0.99 * v[name] + 0.01 * g * g
-                    self.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
+                    # Of the embeddings only those of words in this step are moved.
+                    rows = touched if name == "e" else slice(None)
+                    a, b = 0.9 * m[name][rows] + 0.1 * g, 0.99 * v[name][rows] + 0.01 * g * g
+                    m[name][rows], v[name][rows] = a, b
+                    self.p[name][rows] -= rate / fade[0] * a / (np.sqrt(b / fade[1]) + 1e-6)
         return self
 
-    def _grads(self, parts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    def _grads(self, parts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(words with a gradient, gradients by name; those of the embeddings in the order of the words)."""
         x = np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        e = self.p["e"][x]
+        # The filters read each different word of the step once; what a filter sees at its j-th place is moved by j.
+        different, which = np.unique(x, return_inverse=True)
+        e = self.p["e"][different]
         pooled, where = [], []
         for w in WIDTHS:
-            out = np.full((len(x), FILTERS), -1e9, np.float32)
-            n = len(x) - w + 1
-            out[:n] = sum(e[j : j + n] @ self.p[f"w{w}"][j] for j in range(w)) + self.p[f"b{w}"]
+            out = (e @ self.p[f"w{w}"][0] + self.p[f"b{w}"]).take(which, axis=0)
+            for j in range(1, w):
+                out[:-j] += (e @ self.p[f"w{w}"][j]).take(which[j:], axis=0)
             for s in starts[1:]:
                 out[max(0, s - w + 1) : s] = -1e9
             arg = np.stack([s + out[s:z].argmax(0) for s, z in zip(starts[:-1], starts[1:], strict=True)])
             where.append(arg)
             pooled.append(np.maximum(out[arg, np.arange(FILTERS)], 0))
         h = np.concatenate(pooled, 1)
-        keep = (rng.random(h.shape) > 0.3) / np.float32(0.7)
+        keep = ((rng.random(h.shape) > 0.3) / np.float32(0.7)).astype(np.float32)
         z = (h * keep) @ self.p["o"] + self.p["c"]
-        d = (1 / (1 + np.exp(-z)) - y) * weight / len(parts)
-        g = {"o": (h * keep).T @ d + 1e-4 * self.p["o"], "c": d.sum(0), "e": np.zeros_like(self.p["e"])}
+        d = ((1 / (1 + np.exp(-z)) - y) * weight / len(parts)).astype(np.float32)
+        g = {"o": (h * keep).T @ d + 1e-4 * self.p["o"], "c": d.sum(0)}
         back = (d @ self.p["o"].T) * keep * (h > 0)
+        rows, flows = [], []
         for k, w in enumerate(WIDTHS):
             b, arg = back[:, k * FILTERS : (k + 1) * FILTERS], where[k]
             gw = np.zeros_like(self.p[f"w{w}"])
+            used = np.nonzero(b)
+            value, place = b[used], arg[used]
             for j in range(w):
-                gw[j] = np.einsum("bfd,bf->df", e[arg + j], b)
-                flow = b[:, :, None] * self.p[f"w{w}"][j].T[None]
-                np.add.at(g["e"], x[arg + j].ravel(), flow.reshape(-1, DIM))
+                gw[j] = np.einsum("bfd,bf->df", e[which[arg + j]], b)
+                rows.append(x[place + j])
+                flows.append(value[:, None] * self.p[f"w{w}"][j].T[used[1]])
             g[f"w{w}"], g[f"b{w}"] = gw, b.sum(0)
-        return {k: a.astype(np.float32) for k, a in g.items()}
-
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """Per filter width, the contribution of every word at every place: the filters as look-ups."""
-        return {w: [self.p["e"] @ self.p[f"w{w}"][j] for j in range(w)] for w in WIDTHS}
-
-    def score(self, docs: list[np.ndarray], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
-        """Probabilities (document, category); every word of every document is read."""
+        touched, g["e"] = _summed(np.concatenate(rows), np.concatenate(flows))
+        return touched, {k: a.astype(np.float32) for k, a in g.items()}
+
+    def tables(self) -> tuple[float, dict[int, list[np.ndarray]]]:
+        """(unit, per filter width the contribution of every word at every place): the filters as look-ups of 16-bit numbers of that unit."""
+        exact = {w: [self.p["e"] @ self.p[f"w{w}"][j] for j in range(w)] for w in WIDTHS}
+        most = max(sum(float(np.abs(t).max()) for t in ts) for ts in exact.values())
+        unit = max(most, 1e-6) / 32000
+        return unit, {w: [np.round(t / unit).astype(np.int16) for t in ts] for w, ts in exact.items()}
+
+    def score(self, docs: list[np.ndarray], tables: tuple[float, dict[int, list[np.ndarray]]]) -> np.ndarray:
+        """Probabilities (document, category); every word of every document is read, some thousand words at a time."""
+        unit, by_width = tables
         out = np.zeros((len(docs), FILTERS * len(WIDTHS)), np.float32)
         k = 0
         while k < len(docs):
             n, size = k, 0
-            while n < len(docs) and (n == k or size + len(docs[n]) < 60_000):
+            while n < len(docs) and (n == k or size + len(docs[n]) < 3000):
                 size += len(docs[n])
                 n += 1
             x = np.concatenate(docs[k:n])
             starts = np.concatenate([[0], np.cumsum([len(d) for d in docs[k:n]])])[:-1]
             for f, w in enumerate(WIDTHS):
-                m = len(x) - w + 1
-                c = sum(t[x[j : j + m]] for j, t in enumerate(tables[w]))
-                c = np.concatenate([c, np.full((w - 1, FILTERS), -1e9, np.float32)])
+                c = by_width[w][0].take(x, axis=0, mode="clip")
+                for j in range(1, w):
+                    c[:-j] += by_width[w][j].take(x[j:], axis=0, mode="clip")
                 # The padding between documents is as wide as the widest filter, so none reads across them but for breaks.
-                out[k:n, f * FILTERS : (f + 1) * FILTERS] = np.maximum.reduceat(c, starts) + self.p[f"b{w}"]
+                out[k:n, f * FILTERS : (f + 1) * FILTERS] = np.maximum.reduceat(c[: len(x) - w + 1], starts) * np.float32(unit) + self.p[f"b{w}"]
             k = n
         return 1 / (1 + np.exp(-(np.maximum(out, 0) @ self.p["o"] + self.p["c"])))
 
 
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different rows, the sum of the values of each)."""
+    if not len(rows):
+        return rows, values
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first)
+
+
 class Classifier:
     """FOLDS convolutions, each fitted without one fold; thresholds by language from the held-out scores."""
 
@@ -228,7 +303,7 @@ class Classifier:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        docs = [self.speller.ids(words(t)) for t in texts]
+        docs = [self.speller.ids(w) for w in _words_of(texts)]
         if not hasattr(self, "looked"):
             self.looked = [m.tables() for m in self.models]
         return np.mean([m.score(docs, t) for m, t in zip(self.models, self.looked, strict=True)], 0) if docs else np.zeros((0, len(CATEGORIES)))
@@ -284,7 +359,7 @@ def score_toxicity(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in (*CATEGORIES, "categories")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             p = model.value.score([t or "" for t in b.column("text").to_pylist()])
             over = [[c for c, x, t in zip(CATEGORIES, row, model.value.threshold(lang), strict=True) if x >= t] for row, lang in zip(p, b.column("lang").to_pylist(), strict=True)]
             cols = [*b.columns, *(pa.array(p[:, i].astype(float)) for i in range(len(CATEGORIES))), pa.array(over, pa.list_(pa.string()))]

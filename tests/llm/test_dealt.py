@@ -370,6 +370,12 @@ def test_toxicity(spark):
     assert toxicity.spelling("s3xxx") == toxicity.spelling("sex") and toxicity.words("m 0 r") == ["m", "0", "r"]
 
 
+def test_words_of_a_batch():
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("aeiouſßfu c k  *.!'@1жо") for _ in range(rng.randrange(25))) for _ in range(2000)] + ["s e x", "", "you are a d o g"]
+    assert [[("." if w[0] in ".!?\n" else w) for w in ws] for ws in toxicity._words_of(rows)] == [toxicity.words(t) for t in rows]
+
+
 # Hard rows through every operator
 
 
