@@ -7,19 +7,21 @@ space is left takes the largest unused documents that still fit. Only a document
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.streams import bounded, owners, word_hashes
 from lexloom.operators.lineage import cut_table
 from lexloom.sources.tables import table
 
@@ -29,7 +31,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SHARD = 4000
 #: Telling terms of a seed that are looked up, and BM25's two constants.
 TERMS, K1, B = 24, 1.2, 0.75
-WORD = re.compile(r"[^\W_]{2,}")
+#: Buckets of the terms.
+TERM_BITS = 18
+# Fixed value: how a byte-level tokenizer parts a text before its merges, none of which crosses a part.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters that libraries don't agree to call blank.
+_ODD = regex.compile("[\x1c-\x1f\x85\u180e\u200b]")
 
 
 @lru_cache(2)
@@ -42,30 +49,60 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(2)
+def _byte_level(path: str) -> bool:
+    """Whether the tokenizer parts texts by PARTS and does nothing else before its merges."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    return t.get("normalizer") is None and t.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+@lru_cache(2)
+def _sizes(path: str) -> dict[str, int]:
+    """Tokens of the parts seen so far, of at most 300,000 of them."""
+    return {}
+
+
 def token_counts(texts: list[str], path: str = TOKENIZER) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    """Tokens of each text. Texts repeat their parts, so each different part is tokenized once; other tokenizers read the texts whole."""
+    encode = lambda ts: [len(e.ids) for e in _tokenizer(path).encode_batch(ts, add_special_tokens=False)]
+    if not _byte_level(path):
+        return encode(texts)
+    parts = [[] if _ODD.search(t) else PARTS.findall(t) for t in texts]
+    size = _sizes(path)
+    new = list(set(chain.from_iterable(parts)).difference(size))
+    now = size
+    if len(size) + len(new) > 300_000:
+        size.clear()
+        new = list(set(chain.from_iterable(parts)))
+        now = size if len(new) < 300_000 else {}
+    now.update(zip(new, encode(new), strict=True))
+    out = [sum(map(now.__getitem__, p)) for p in parts]
+    odd = [i for i, (t, p) in enumerate(zip(texts, parts, strict=True)) if t and not p]
+    for i, n in zip(odd, encode([texts[i] for i in odd]), strict=True):
+        out[i] = n
+    return out
+
+
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms of all texts, the different ones of each in order, their counts, where each text's start, and the end)."""
+    ids, first = word_hashes([t.lower() for t in texts])
+    key, n = np.unique((owners(first) << TERM_BITS) | (ids >> np.uint64(64 - TERM_BITS)).astype(np.int64), return_counts=True)
+    return key & ((1 << TERM_BITS) - 1), n, np.searchsorted(key >> TERM_BITS, np.arange(len(texts) + 1))
 
 
 class Index:
     """BM25 over the documents of one shard, as postings sorted by term."""
 
-    def __init__(self, texts: list[str]) -> None:
-        docs, terms, counts = [], [], []
-        self.length = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            ids = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) & 0x3FFFF for w in WORD.findall(t.lower())), np.int64)
-            u, n = np.unique(ids, return_counts=True)
-            docs.append(np.full(len(u), i))
-            terms.append(u)
-            counts.append(n)
-            self.length[i] = len(ids)
-        self.first = np.concatenate([[0], np.cumsum([len(u) for u in terms])])
-        self.terms = np.concatenate([np.zeros(0, np.int64), *terms])
-        n_docs, n = len(texts), np.concatenate([np.zeros(0, np.int64), *counts]).astype(float)
-        doc = np.concatenate([np.zeros(0, np.int64), *docs])
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, first: np.ndarray) -> None:
+        """Terms and counts of the documents one after the other; where each document's start, and the end."""
+        n_docs, doc = len(first) - 1, owners(first)
+        self.first, self.terms = first, terms
+        self.length = np.bincount(doc, counts, n_docs)
+        n = counts.astype(float)
         order = np.argsort(self.terms, kind="stable")
         self.sorted, self.doc = self.terms[order], doc[order]
-        df = np.searchsorted(self.sorted, self.terms, "right") - np.searchsorted(self.sorted, self.terms)
+        df = np.bincount(self.terms, minlength=1 << TERM_BITS)[self.terms]
         self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * self.length / max(1.0, self.length.mean() if n_docs else 1.0))
         self.weight = (self.idf * n * (K1 + 1) / (n + norm[doc]))[order]
@@ -75,19 +112,19 @@ class Index:
         a, z = self.first[seed], self.first[seed + 1]
         mine = a + np.argsort(-self.idf[a:z], kind="stable")[:TERMS]
         score = np.zeros(len(unused))
-        for t in self.terms[mine]:
-            x, y = np.searchsorted(self.sorted, t), np.searchsorted(self.sorted, t, "right")
+        ts = self.terms[mine]
+        for x, y in zip(np.searchsorted(self.sorted, ts).tolist(), np.searchsorted(self.sorted, ts, "right").tolist(), strict=True):
             score[self.doc[x:y]] += self.weight[x:y]
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(texts: list[str], sizes: list[int], capacity: int = CAPACITY) -> list[int]:
-    """The container of each item, none larger than the capacity (items must not be either)."""
-    index, unused = Index(texts), np.ones(len(texts), bool)
+def pack(index: Index, sizes: list[int], capacity: int = CAPACITY) -> list[int]:
+    """The container of each item of the index, none larger than the capacity (items must not be either)."""
+    unused = np.ones(len(sizes), bool)
     left = sorted((s, -i) for i, s in enumerate(sizes))
-    out = [0] * len(texts)
+    out = [0] * len(sizes)
     container = -1
 
     def take(i: int) -> None:
@@ -104,7 +141,6 @@ def pack(texts: list[str], sizes: list[int], capacity: int = CAPACITY) -> list[i
             for j in index.neighbours(seed, unused).tolist():
                 if room < left[0][0]:
                     break
-                # What stays free after this item must hold the smallest items left, or nothing.
                 if sizes[j] <= room:
                     room -= sizes[j]
                     take(j)
@@ -118,24 +154,28 @@ def pack(texts: list[str], sizes: list[int], capacity: int = CAPACITY) -> list[i
 
 
 def items(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, piece, start, tokens, text): every document, cut only where it is longer than the capacity.
+    """(doc_id, source, piece, start, tokens, terms, counts): every document, cut only where it is longer than the capacity.
 
-    Only the last piece of a cut document goes on carrying the text, for its neighbours.
+    The terms and counts are packed 32-bit numbers. Only the last piece of a cut document carries them, for its neighbours.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             rows = []
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for d, s, t, n in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), texts, token_counts(texts, tokenizer), strict=True):
+            terms, counts, first = terms_of(texts)
+            terms, counts, first = terms.astype(np.int32), counts.astype(np.int32), first.tolist()
+            for i, (d, s, n) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), token_counts(texts, tokenizer), strict=True)):
                 for k in range(max(1, -(-n // capacity))):
                     size = min(capacity, n - k * capacity)
-                    rows.append((d, s, k, k * capacity, size, t if (k + 1) * capacity >= n else ""))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "source", "piece", "start", "tokens", "text"])
+                    mine = slice(first[i], first[i + 1]) if (k + 1) * capacity >= n else slice(0)
+                    rows.append((d, s, k, k * capacity, size, terms[mine].tobytes(), counts[mine].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "source", "piece", "start", "tokens", "terms", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(cut, "doc_id long, source string, piece int, start int, tokens int, text string")
+    schema = "doc_id long, source string, piece int, start int, tokens int, terms binary, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(cut, schema)
 
 
 def containers(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -162,10 +202,12 @@ def containers(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece"], kind="stable")
-        at = pack(group.text.tolist(), group.tokens.tolist(), capacity)
+        terms, counts = ([np.frombuffer(v, np.int32) for v in group[c]] for c in ("terms", "counts"))
+        first = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
+        at = pack(Index(np.concatenate(terms).astype(np.int64), np.concatenate(counts), first), group.tokens.tolist(), capacity)
         return group.assign(at=at)[["doc_id", "piece", "start", "tokens", "shard", "at"]]
 
-    packed = spread.select("doc_id", "piece", "start", "tokens", "text", "shard").groupBy("shard").applyInPandas(fill, "doc_id long, piece int, start int, tokens int, shard string, at int")
+    packed = spread.select("doc_id", "piece", "start", "tokens", "terms", "counts", "shard").groupBy("shard").applyInPandas(fill, "doc_id long, piece int, start int, tokens int, shard string, at int")
     packed = packed.select("doc_id", "piece", "start", "tokens", F.xxhash64("shard", "at").alias("container"))
     alone = full.select("doc_id", "piece", "start", "tokens", F.xxhash64(F.lit("full"), "doc_id", "piece").alias("container"))
     return packed.unionByName(alone)

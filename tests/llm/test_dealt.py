@@ -253,6 +253,16 @@ def test_packing(spark):
     assert {d for d in size if sum(r.doc_id == d for r in out) > 1} == {d for d, n in want.items() if n > 512}
 
 
+def test_token_counts_by_the_tokenizer_itself():
+    rng = random.Random(6)
+    pieces = ["the", " cat", "'s", "'ll", "  ", "\n", "\t ", "12", "²", "é", "e\u0301", "中文", "Жук", "!?", "_", "-", "\x85", "\x1c", "\u3000", "\u2028", "🙂", "<|endoftext|>", "'", "\u200b", "\ufeff", "Ⅻ", "\u00ad"]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randrange(20))) for _ in range(4000)] + ["".join(chr(rng.randrange(1, 0xD7FF)) for _ in range(30)) for _ in range(2000)]
+    want = [len(e.ids) for e in packing._tokenizer(packing.TOKENIZER).encode_batch(rows, add_special_tokens=False)]
+    assert packing.token_counts(rows) == want
+    other = packing.TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    assert packing.token_counts(rows, other) == [len(e.ids) for e in packing._tokenizer(other).encode_batch(rows, add_special_tokens=False)]
+
+
 # 8
 
 
