@@ -117,7 +117,8 @@ def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first[cp] = len(symbols)
         if 0xD800 <= cp < 0xE000:
             continue
-        out = [ord(find(x)) for x in _fold_one(chr(cp))]
+        # Ideographs fold to themselves.
+        out = [cp] if 0x3400 <= cp < 0xA000 else [ord(find(x)) for x in _fold_one(chr(cp))]
         count[cp] = len(out)
         symbols += out
     first[0x10000] = len(symbols)

@@ -49,7 +49,7 @@ def word_ids(ws: list[str]) -> np.ndarray:
 
 def batch_seeds(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a row of 64-bit seeds per mask and a column per place where a mask fits, the text of each place), of texts given one after the other."""
-    at, text = windows(ids, first, SPAN)
+    at, text = windows(first, SPAN)
     out = np.zeros((len(MASKS), len(at)), np.uint64)
     for k, places in enumerate(PLACES):
         h = np.full(len(at), 0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1, np.uint64)
@@ -228,7 +228,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
             both = []
             for c in ("ids", "item_ids"):
                 ids, first = _words_of(b.column(c))
-                at, pair = windows(ids, first, LEAST)
+                at, pair = windows(first, LEAST)
                 # The number of the pair goes into the hash, so that a run counts within its own pair only.
                 both.append((gram_hashes(ids, at, LEAST) ^ mixed(pair.astype(np.uint64) + np.uint64(1)), pair))
             (x, _), (y, pair) = both

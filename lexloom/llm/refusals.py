@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 
 from lexloom.llm.charfold import look
+from lexloom.llm.streams import code_points, gram_hashes, windows
 
 # How assistants refuse, by language.
 PHRASES = """
@@ -49,12 +49,22 @@ ALIKE = 0.2
 
 
 _OTHER = re.compile(r"[^\w'-]+|\d+")
+_LETTER, _HAN = re.compile(r"[^\W\d_]"), re.compile("[㐀-鿿]")
 
 
-def _grams(text: str) -> np.ndarray:
-    t = f" {_OTHER.sub(' ', look(text).casefold()).strip()} "
-    size = (1, 2, 3) if sum("㐀" <= c <= "鿿" for c in t) * 3 > len(t) else (3, 4, 5)
-    return np.array([crc32(t[i : i + n].encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in size for i in range(len(t) - n + 1)], np.int64)
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the n-grams of all texts, the text of each): one to three characters in mostly Chinese texts, else three to five."""
+    plain = [f" {_OTHER.sub(' ', look(t).casefold()).strip()} " for t in texts]
+    short = np.array([3 * len(_HAN.findall(t)) > len(t) for t in plain], bool)
+    bucket, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows, sizes in ((np.flatnonzero(short), (1, 2, 3)), (np.flatnonzero(~short), (3, 4, 5))):
+        codes, starts = code_points([plain[i] for i in rows])
+        for n in sizes:
+            # One more than n, for the line feed behind each text belongs to none.
+            at, row = windows(starts, n + 1)
+            bucket.append((gram_hashes(codes, at, n) >> np.uint64(64 - BITS)).astype(np.int64))
+            owner.append(rows[row])
+    return np.concatenate(bucket), np.concatenate(owner)
 
 
 class Refusals:
@@ -62,28 +72,34 @@ class Refusals:
 
     def __init__(self, answers: list[str]) -> None:
         phrases = [p for p in re.split(r"(?<=[.。])\s+", PHRASES.strip()) if p]
-        own = np.bincount(np.concatenate([_grams(p) for p in phrases]), minlength=1 << BITS)
-        plain = answers[:5000] or ["-"]
+        own = np.bincount(_grams(phrases)[0], minlength=1 << BITS)
+        plain = answers or ["-"]
         for _ in range(2):
-            other = np.bincount(np.concatenate([_grams(a) for a in plain]), minlength=1 << BITS)
+            other = np.bincount(_grams(plain)[0], minlength=1 << BITS)
             self.ratio = (np.log((own + 0.2) / (own.sum() + 0.2 * len(own))) - np.log((other + 0.2) / (other.sum() + 0.2 * len(other)))).astype(np.float32)
-            scores = [self.score(a) for a in plain]
+            scores = self.scores(plain)
             # What looks like a refusal and is repeated isn't held against refusals in the second round.
             often = Counter(_REST.sub("", a) for a in plain)
             plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_REST.sub("", a)] < 3] or ["-"]
-        known = np.sort([self.score(a) for a in plain if _worded(a)] or [0.0])
+        known = np.sort(self.scores([a for a in plain if _worded(a)] or ["-"]))
         self.least = max(LEAST, float(known[int(ORDINARY * (len(known) - 1))]) + ABOVE)
 
-    def score(self, text: str) -> float:
-        """Mean log ratio of the n-grams of what stands before a quoted text."""
-        head = _REST.sub("", text.strip())
-        g = _grams(head if sum(c.isalpha() for c in head) >= 5 else text)
-        return float(self.ratio[g].mean()) if len(g) else -9.0
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Mean log ratio of the n-grams of what stands before a quoted text, of each text."""
+        heads = [_REST.sub("", t.strip()) for t in texts]
+        bucket, owner = _grams([h if len(_LETTER.findall(h)) >= 5 else t for h, t in zip(heads, texts, strict=True)])
+        n = np.bincount(owner, minlength=len(texts))
+        return np.where(n > 0, np.bincount(owner, self.ratio[bucket], len(texts)) / np.maximum(n, 1), -9.0)
+
+    def are_refusals(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        worded = [i for i, t in enumerate(texts) if _worded(t)]
+        out[worded] = self.scores([texts[i] for i in worded]) >= self.least
+        return out
 
     def is_refusal(self, text: str) -> bool:
-        return _worded(text) and self.score(text) >= self.least
+        return bool(self.are_refusals([text])[0])
 
 
 def _worded(text: str) -> bool:
-    han = sum("㐀" <= c <= "鿿" for c in text)
-    return han >= 5 or sum(c.isalpha() for c in text) >= 12
+    return len(_HAN.findall(text)) >= 5 or len(_LETTER.findall(text)) >= 12

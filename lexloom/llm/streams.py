@@ -93,7 +93,7 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def windows(values: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(places where a window of n elements lies inside its row, the row of each)."""
     size = np.maximum(np.diff(first) - n + 1, 0)
     row = np.repeat(np.arange(len(size)), size)
@@ -107,4 +107,4 @@ def gram_hashes(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         h = (h ^ c[at + i]) * np.uint64(0x100000001B3)
         h ^= h >> np.uint64(31)
-    return h
+    return mixed(h)

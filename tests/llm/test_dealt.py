@@ -222,11 +222,13 @@ def test_defects(spark):
         "empty": ["", "—", "​", "[]"], "refusal": ["I'm sorry, but I can't translate this text.", "Ich kann diese Anfrage leider nicht beantworten. (The board)"],
         "copy": [s, s.upper(), f"→ {s}", s[:-1]], "wrong_language": [SENTENCES["fr"][0].format("Bako")], "truncated": [t[:40], t[:30] + "…"],
     }
-    rows += [(k, i, s, v, "en", "de") for k, vs in bad.items() for i, v in enumerate(vs)] + [("null", 0, s, None, "en", "de"), ("name", 0, "Bakota 12", "Bakota 12", "en", "de"), ("nolang", 0, s, t, None, "xx")]
+    rows += [(k, i, s, v, "en", "de") for k, vs in bad.items() for i, v in enumerate(vs)] + [("null", 0, s, None, "en", "de"), ("name", 0, "Bakota 12", "Bakota 12", "en", "de"), ("nolang", 0, s, t, None, "xx"), ("nolang_fr", 0, s, SENTENCES["ru"][0].format("Bako"), None, None), ("only_target", 0, s, SENTENCES["fr"][0].format("Bako"), None, "de")]
     df = spark.createDataFrame(rows, "ref string, pos int, source string, target string, source_lang string, target_lang string")
     out = pairs.defective_pairs(df.unionByName(df.limit(5)).withColumn("defect", F.lit(1))).collect()
     got = {(r.ref, r.pos): r.defect for r in out}
     assert len(got) == len(out) and {k: v for k, v in got.items() if k[0] in bad} == {(k, i): k for k, vs in bad.items() for i in range(len(vs))}
+    # The labelled pairs never answer English in French; Russian answers to it are usual.
+    assert got.pop(("only_target", 0)) == "wrong_language" and ("nolang_fr", 0) not in got
     assert sum(k[0][0] in "gf" for k in got) <= 15 and not {("null", 0), ("name", 0), ("nolang", 0)} & set(got)
 
 
