@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.learn import Boosted, bounded_sample
 from lexloom.llm.refs import texts
+from lexloom.llm.streams import bounded, code_points, gram_hashes, windows
 from lexloom.operators.lineage import cut_table
 from lexloom.sources.tables import table
 
@@ -35,13 +38,17 @@ LONG = max(len(x) for pair in COST for x in pair)
 MARK = "\x01"
 HYPHENS = "-‐‑¬\xad"
 #: A hyphen, a line break or the blank it became, and a letter after it.
-BROKEN = rf"(?<=\p{{L}})([-‐‑¬\x{{AD}}])[ \t]*\n[ \t]*(?=\p{{L}})"
-SPACED = r"(?<=\p{L})([-‐‑¬\x{AD}]) (?=\p{L})"
-EDGE = "[\\p{P}\\p{S}&&[^|@$]]"
+BROKEN = regex.compile(r"(?<=\p{L})([-‐‑¬\xAD])(?:[ \t]*\n[ \t]*| )(?=\p{L})")
+IGNORABLE = re.compile("[\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f]")
+EDGES = regex.compile(r"^[\p{P}\p{S}--[|@$]]+|[\p{P}\p{S}--[|@$]]+$", regex.V1)
+LETTER = regex.compile(r"\p{L}")
+#: Runs of Latin letters: a name in a Chinese text has no blanks around it.
+LATIN = regex.compile(r"\p{IsLatin}[\p{IsLatin}\p{Nd}’'-]*")
 #: Ratio by which a word must outnumber a token to count as its true form, and the least count of such a word.
 RATIO, WORD = 60, 6
 #: The same ratio for tokens with a digit or sign among their letters, which hardly are words of their own.
 ODD_RATIO = 15
+RATIO_LEAST = min(RATIO, ODD_RATIO)
 #: Bound on the corpus words that the rankers are trained on (the most frequent ones) and on the training pairs.
 TRAIN_WORDS, TRAIN_PAIRS = 4000, 20000
 CUT = 0.7
@@ -51,44 +58,53 @@ FURNITURE = 3
 TRAIN_TEXTS = 3000
 
 
-def marked(c: Column) -> Column:
-    """The text without ignorable signs, a MARK before each hyphen that may stand for a broken word."""
-    c = F.regexp_replace(c, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{FE00}-\x{FE0F}]", "")
-    c = F.regexp_replace(c, BROKEN, MARK + "$1")
-    c = F.regexp_replace(c, SPACED, MARK + "$1")
-    return F.regexp_replace(c, r"\x{AD}(?<!\x01\x{AD})", "")
+Token = tuple[str, str | None, str | None, str | None]
 
 
-def tokens(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., token, a, b, hyphen): the tokens of `text`, lower case, without edge punctuation.
+class Tokens(dict):
+    """The token of each run of characters without a blank, None where it has no letter; worked out once for each different run."""
 
-    Runs of over 200 characters without a blank are no words. A word that may be broken has its parts in a and b, its hyphen in `hyphen` and its joined form in token; else these are null.
-    """
-    raw = F.explode(F.split(marked(F.col("text")), r"[\s\x{A0}\x{2000}-\x{200A}\x{202F}]+"))
-    t = rows.select(*keep, raw.alias("raw")).where(F.length("raw") <= 200)
-    t = t.select(*keep, F.lower(F.regexp_replace("raw", f"^{EDGE}+|{EDGE}+$", "")).alias("raw")).where(r"raw rlike '[\\p{L}]'")
-    p = F.instr("raw", MARK) > 0
-    part = F.split("raw", MARK)
-    return t.select(
-        *keep,
-        F.when(p, F.regexp_replace("raw", MARK + ".", "")).otherwise(F.col("raw")).alias("token"),
-        F.when(p, F.regexp_replace(part[0], f"^{EDGE}+", "")).alias("a"),
-        F.when(p, F.regexp_replace(F.substring(part[1], 2, 1 << 20), f"{EDGE}+$", "")).alias("b"),
-        F.when(p, F.substring(part[1], 1, 1)).alias("hyphen"),
-    )
-
-
-def lexicon(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(token, n, shown, copied): how often each unbroken token occurs in `rows` (text), and of the `pairs` (text, target)
-    with it how many there are and how many have it in the target too (names and codes do)."""
-    n = tokens(rows.select("text")).where("a is null").groupBy("token").agg(F.count("*").alias("n"))
-    both = pairs.where("text is not null and target is not null").select(F.xxhash64("text", "target").alias("pair"), "text", "target")
-    source = tokens(both.select("pair", "text"), "pair").where("a is null").select("pair", "token").distinct()
-    # In a Chinese target a name has no blanks around it, so runs of Latin letters count beside the tokens.
-    runs = both.select("pair", F.explode(F.regexp_extract_all(F.lower("target"), F.lit(r"\p{IsLatin}[\p{IsLatin}\p{Nd}’'-]*"), F.lit(0))).alias("token"))
-    target = tokens(both.select("pair", F.col("target").alias("text")), "pair").select("pair", "token").unionByName(runs).distinct().withColumn("there", F.lit(1))
-    shown = source.join(target, ["pair", "token"], "left").groupBy("token").agg(F.count("*").alias("shown"), F.count("there").alias("copied"))
-    return n.join(shown, "token", "left").select("token", "n", F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce("copied", F.lit(0)).alias("copied"))
+    def __missing__(self, raw: str) -> Token | None:
+        t = EDGES.sub("", raw).lower()
+        out: Token | None = None
+        if LETTER.search(t):
+            part = t.split(MARK)
+            if len(part) == 1:
+                out = (t, None, None, None)
+            else:
+                out = (re.sub(MARK + ".", "", t), EDGES.sub("", part[0]), EDGES.sub("", part[1][1:]), part[1][:1])
+        if len(self) < 500_000:
+            self[raw] = out
+        return out
+
+    def of(self, text: str) -> list[Token]:
+        """The tokens of a text, lower case, without edge punctuation, as (token, a, b, hyphen).
+
+        A word that may be broken has its parts in a and b, its hyphen in `hyphen` and its joined form in token; else these are None.
+        """
+        if IGNORABLE.search(text):
+            text = IGNORABLE.sub("", text)
+        if any(h in text for h in HYPHENS):
+            text = re.sub("(?<!\x01)\xad", "", BROKEN.sub(MARK + r"\1", text))
+        return [t for t in map(self.__getitem__, text.split()) if t]
+
+
+def name_counts(pairs: DataFrame) -> DataFrame:
+    """(token, shown, copied): of the different `pairs` (text, target) with the token in the text how many there are, and how many have it in the target too
+    (names and codes do). Counted in each batch before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
+        for b in bounded(bounded(batches, "text"), "target"):
+            shown, copied = Counter(), Counter()
+            for s, t in zip(b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
+                own = {x[0] for x in known.of(s) if x[1] is None}
+                shown.update(own)
+                copied.update(own.intersection([*(x[0] for x in known.of(t)), *LATIN.findall(t.lower())]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(shown), pa.string()), pa.array(list(shown.values()), pa.int64()), pa.array([copied[w] for w in shown], pa.int64())], ["token", "shown", "copied"])
+
+    both = pairs.where("text is not null and target is not null").select("text", "target").distinct()
+    return both.mapInArrow(count, "token string, shown long, copied long").groupBy("token").agg(F.sum("shown").alias("shown"), F.sum("copied").alias("copied"))
 
 
 def _word(c: str = "token") -> Column:
@@ -100,71 +116,176 @@ def _name() -> Column:
     return (F.col("shown") >= 2) & (F.col("copied") >= 0.5 * F.col("shown"))
 
 
-def grams(c: Column, q: int) -> Column:
-    p = F.concat(F.lit("^"), c, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - q + 1), lambda i: F.substring(p, i, q)))
+GRAM_BITS = 18
+
+
+def _gram_stream(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the different q-grams of each word, the word of each): two characters for words of up to seven, three for those of four or more; ends count."""
+    framed = [f"^{w}$" for w in words]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    codes, starts = code_points(framed)
+    found, owner = [], []
+    for q, ok in ((2, size <= 7), (3, size >= 4)):
+        at, row = windows(starts, q + 1)
+        keep = ok[row]
+        found.append(gram_hashes(codes, at[keep], q))
+        owner.append(row[keep])
+    h, row = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def _kept(size: np.ndarray) -> np.ndarray:
+    """Of so many q-grams of a token, those that a candidate shares at least: two confusions change up to fourteen, but two must stay."""
+    return np.maximum(2, size - 14)
+
+
+def gram_counts(words: DataFrame, column: str) -> np.ndarray:
+    """How many words have a q-gram, by bucket of its hash; the table has 2 ** GRAM_BITS places whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << GRAM_BITS, np.int64)
+        for b in bounded(batches, column):
+            total += np.bincount((_gram_stream(b.column(column).to_pylist())[0] >> np.uint64(64 - GRAM_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    out = np.zeros(1 << GRAM_BITS, np.int64)
+    found = words.select(column).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out[found.bucket] = found.n
+    return out
 
 
 def candidates(unknown: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, n, cand, n_cand): words within three edits of a token that share q-grams with it (two letters for short
-    tokens, else three) and outnumber it by RATIO. One inverted join on the gram and the length class."""
-
-    def side(df: DataFrame, name: str, spread: tuple[int, ...]) -> DataFrame:
-        size = F.length(name)
-        both = [(2, df.where(size <= 7)), (3, df.where(size >= 4))]
-        out = None
-        for q, part in both:
-            g = part.select("*", F.explode(grams(F.col(name), q)).alias("gram"))
-            g = g.select("*", F.explode(F.array(*(F.floor(F.length(name) / 3) + s for s in spread))).alias("size"))
-            out = g if out is None else out.unionByName(g)
-        return out
+    """(token, cand, n_cand): words within three edits of a token (token, n) that share two q-grams with it, or one if it has up to four letters, and
+    outnumber it by RATIO.
+
+    One inverted join on gram and length class. Of its q-grams each side sends the rarest ones only, so many that two words with enough in common meet in
+    one of them; the grams of endings, which most words have, are hardly ever among them.
+    """
+    often = words.sparkSession.sparkContext.broadcast(gram_counts(words, "cand"))
+
+    def side(df: DataFrame, name: str, count: str, spread: tuple[int, ...]) -> DataFrame:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in bounded(batches, name):
+                ws = b.column(name).to_pylist()
+                h, row = _gram_stream(ws)
+                size = np.bincount(row, minlength=len(ws))
+                order = np.lexsort((h, often.value[(h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)], row))
+                h, row = h[order], row[order]
+                rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                length = np.fromiter(map(len, ws), np.int64, len(ws))
+                # One gram in common is enough for the shortest.
+                keep = rank < np.where(length <= 4, size, size - _kept(size) + 1)[row]
+                h, row = h[keep], row[keep]
+                key = np.concatenate([(h + np.uint64(0x9E3779B97F4A7C15) * (length[row] // 3 + k).astype(np.uint64)).view(np.int64) for k in spread])
+                row = pa.array(np.tile(row, len(spread)))
+                yield pa.RecordBatch.from_arrays([b.column(name).take(row), b.column(count).take(row), pa.array(key)], [name, count, "key"])
+
+        return df.select(name, count).mapInArrow(send, f"{name} string, {count} long, key long")
+
+    hits = side(unknown, "token", "n", (-1, 0, 1)).join(side(words, "cand", "n_cand", (0,)), "key")
+    ratio = F.when(F.col("token").rlike(r"[^\p{L}'’-]"), ODD_RATIO).otherwise(RATIO)
+    hits = hits.where((F.col("n_cand") >= RATIO_LEAST * F.col("n")) & (F.abs(F.length("token") - F.length("cand")) <= 3) & (F.col("token") != F.col("cand")))
+    hits = hits.where((F.levenshtein("token", "cand", 3) >= 0) & (F.col("n_cand") >= ratio * F.col("n")))
+    return hits.select("token", "cand", "n_cand").distinct()
+
+
+def _framed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a row for each word, zero behind its end; lengths)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros((len(words), int(size.max(initial=0)) + 1), np.uint32)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, size
+
+
+@lru_cache(1)
+def _confusions() -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int], dict[tuple[int, int], np.ndarray]]:
+    """(number of each glyph group that is misread, of each that is read, by their lengths the costs of reading one as the other)."""
+    groups = [{g: i + 1 for i, g in enumerate(sorted({pair[side] for pair in COST}))} for side in (0, 1)]
+    costs = {(x, y): np.full((len(groups[0]) + 1, len(groups[1]) + 1), np.inf, np.float32) for x in range(1, LONG + 1) for y in range(1, LONG + 1)}
+    for (a, b), c in COST.items():
+        costs[len(a), len(b)][groups[0][a], groups[1][b]] = c
+    return groups[0], groups[1], costs
+
+
+def _groups(codes: np.ndarray, groups: dict[str, int], n: int) -> np.ndarray:
+    """The number of the glyph group of n characters that starts at each place, 0 where there is none."""
+    out = np.zeros(codes.shape, np.int64)
+    for g, i in groups.items():
+        if len(g) == n:
+            same = codes == ord(g[0])
+            if n == 2:
+                same[:, :-1] &= codes[:, 1:] == ord(g[1])
+                same[:, -1] = False
+            out[same] = i
+    return out
+
 
-    u = side(unknown, "token", (-1, 0, 1))
-    w = side(words, "cand", (0,))
-    hits = u.join(w, ["gram", "size"]).where((F.col("n_cand") >= F.when(F.col("token").rlike(r"[^\p{L}'’-]"), ODD_RATIO).otherwise(RATIO) * F.col("n")) & (F.abs(F.length("token") - F.length("cand")) <= 3))
-    hits = hits.groupBy("token", "n", "cand", "n_cand").agg(F.count("*").alias("shared"))
-    near = hits.where((F.col("shared") >= 2) | (F.length("token") <= 4))
-    return near.where((F.levenshtein("token", "cand", 3) >= 0) & (F.col("token") != F.col("cand"))).drop("shared")
+def distances(true: list[str], seen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(glyph distances, edit distances) from words to what was read, all pairs at once, a cell of the table at a time.
+
+    In the glyph distance confusions of glyphs cost a quarter of an edit.
+    """
+    glyph, edits = np.zeros(len(true)), np.zeros(len(true), np.int64)
+    order = sorted(range(len(true)), key=lambda i: (len(true[i]), len(seen[i])))
+    at = 0
+    while at < len(order):
+        to, wide = at, 0
+        while to < len(order) and ((to - at + 1) * (len(true[order[to]]) + 1) * (max(wide, len(seen[order[to]])) + 1) <= 4_000_000 or to == at):
+            wide = max(wide, len(seen[order[to]]))
+            to += 1
+        rows = order[at:to]
+        glyph[rows], edits[rows] = _distances([true[i] for i in rows], [seen[i] for i in rows])
+        at = to
+    return glyph, edits
+
+
+def _distances(true: list[str], seen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    (t, n), (s, m) = _framed(true), _framed(seen)
+    misread, read, costs = _confusions()
+    kinds = {(x, y): costs[x, y][_groups(t, misread, x)[:, :, None], _groups(s, read, y)[:, None, :]].transpose(1, 2, 0) for x, y in costs}
+    other = (t[:, :, None] != s[:, None, :]).transpose(1, 2, 0).astype(np.float32)
+    shape = (t.shape[1], s.shape[1], len(true))
+    g, e = np.empty(shape, np.float32), np.empty(shape, np.float32)
+    for i in range(shape[0]):
+        for j in range(shape[1]):
+            ways = [(g[i - 1, j] + 1, e[i - 1, j] + 1)] * (i > 0) + [(g[i, j - 1] + 1, e[i, j - 1] + 1)] * (j > 0)
+            if i and j:
+                ways.append((g[i - 1, j - 1] + other[i - 1, j - 1], e[i - 1, j - 1] + other[i - 1, j - 1]))
+            a = b = np.zeros(shape[2], np.float32)
+            if ways:
+                a, b = ways[0][0], ways[0][1]
+                for x, y in ways[1:]:
+                    a, b = np.minimum(a, x), np.minimum(b, y)
+            for (x, y), k in kinds.items():
+                if i >= x and j >= y:
+                    a = np.minimum(a, g[i - x, j - y] + k[i - x, j - y])
+            g[i, j], e[i, j] = a, b
+    row = np.arange(len(true))
+    return g[n, m, row], e[n, m, row]
 
 
-@lru_cache(1 << 16)
 def glyph_distance(true: str, seen: str) -> float:
-    """Edit distance from a word to what was read, where confusions of glyphs cost a quarter."""
-    n, m = len(true), len(seen)
-    d = [[math.inf] * (m + 1) for _ in range(n + 1)]
-    d[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            x = d[i][j]
-            if i < n and x + 1 < d[i + 1][j]:
-                d[i + 1][j] = x + 1
-            if j < m and x + 1 < d[i][j + 1]:
-                d[i][j + 1] = x + 1
-            if i < n and j < m:
-                c = x + (true[i] != seen[j])
-                if c < d[i + 1][j + 1]:
-                    d[i + 1][j + 1] = c
-                for a in range(1, LONG + 1):
-                    for b in range(1, LONG + 1):
-                        if i + a <= n and j + b <= m and (k := COST.get((true[i : i + a], seen[j : j + b]))) is not None and x + k < d[i + a][j + b]:
-                            d[i + a][j + b] = x + k
-    return d[n][m]
+    return float(distances([true], [seen])[0][0])
 
 
 def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+    return int(distances([a], [b])[1][0])
 
 
-def features(token: str, cand: str, n_cand: int) -> list[float]:
-    glyph, edits = glyph_distance(cand, token), edit_distance(cand, token)
-    odd = sum(not c.isalpha() for c in token) - sum(not c.isalpha() for c in cand)
-    prefix = next((i for i, (x, y) in enumerate(zip(token, cand, strict=False)) if x != y), min(len(token), len(cand)))
-    return [glyph, edits, glyph / len(cand), edits / len(cand), odd, len(cand), len(token) - len(cand), math.log1p(n_cand), prefix, glyph / max(edits, 1)]
+def features(tokens: list[str], cands: list[str], n_cand: list[int]) -> np.ndarray:
+    """A row for each token and candidate."""
+    glyph, edits = distances(cands, tokens)
+    odd, prefix = np.zeros(len(tokens)), np.zeros(len(tokens))
+    for i, (t, c) in enumerate(zip(tokens, cands, strict=True)):
+        odd[i] = sum(not x.isalpha() for x in t) - sum(not x.isalpha() for x in c)
+        prefix[i] = next((j for j, (x, y) in enumerate(zip(t, c, strict=False)) if x != y), min(len(t), len(c)))
+    size, seen = (np.fromiter(map(len, x), float, len(tokens)) for x in (cands, tokens))
+    return np.stack([glyph, edits, glyph / size, edits / size, odd, size, seen - size, np.log1p(np.array(n_cand, float)), prefix, glyph / np.maximum(edits, 1)], 1) if tokens else np.zeros((0, 10))
 
 
 def corrupted(word: str, rng: np.random.Generator) -> str:
@@ -191,61 +312,60 @@ def train_ranker(words: list[tuple[str, int]], seed: int = 7) -> Boosted:
     """From the most frequent corpus words: corrupted words with their true form are right; with another near word, and
     words with a letter changed at random (as other words and names are), are wrong."""
     rng = np.random.default_rng(seed)
-    x, y = [], []
+    rows: list[tuple[str, str, int, int]] = []
     words = [w for w in unmistaken(words) if len(w[0]) >= 3][:TRAIN_WORDS]
     by_size: dict[int, list[tuple[str, int]]] = {}
     for w in words:
         by_size.setdefault(len(w[0]), []).append(w)
     letters = "abcdefghijklmnopqrstuvwxyzäöüéáíóèñа"
     each = max(1, TRAIN_PAIRS // max(1, 3 * len(words)))
+    near: list[tuple[str, list[tuple[str, int]], int]] = []
     for w, n in words:
         for _ in range(each):
             bad = corrupted(w, rng)
             if bad != w:
-                x.append(features(bad, w, n))
-                y.append(1)
-                for v, k in (by_size.get(len(bad), []) + by_size.get(len(w), []))[:40]:
-                    if v != w and edit_distance(bad, v) <= 3:
-                        x.append(features(bad, v, k))
-                        y.append(0)
-                        break
+                rows.append((bad, w, n, 1))
+                near.append((bad, [v for v in (by_size.get(len(bad), []) + by_size.get(len(w), []))[:40] if v[0] != w], 3))
             # A word of its own beside a more frequent one.
-            for v, k in by_size.get(len(w) + int(rng.integers(-1, 2)), [])[:60]:
-                if v != w and k > n and edit_distance(w, v) <= 2:
-                    x.append(features(w, v, k))
-                    y.append(0)
-                    break
+            near.append((w, [v for v in by_size.get(len(w) + int(rng.integers(-1, 2)), [])[:60] if v[0] != w and v[1] > n], 2))
             i = rng.integers(len(w))
             c = letters[rng.integers(len(letters))]
             other = (w[:i] + c + w[i + 1 :], w[:i] + c + w[i:], w[:i] + w[i + 1 :])[rng.integers(3)]
             if other not in (w, "") and (w[i : i + 1], c) not in COST:
-                x.append(features(other, w, n))
-                y.append(0)
-    if len(set(y)) < 2:
-        x, y = [[0.25, 1, 0.05, 0.2, 0, 5, 0, 3, 2, 0.25], [2, 2, 0.4, 0.4, 0, 5, 0, 3, 2, 1]] * 20, [1, 0] * 20
-    return Boosted(40, 3).fit(np.array(x), np.array(y))
+                rows.append((other, w, n, 0))
+    # Of the other words near a form, the first within so many edits.
+    asked = [(bad, v, k, most, i) for i, (bad, vs, most) in enumerate(near) for v, k in vs]
+    edits = distances([a[1] for a in asked], [a[0] for a in asked])[1]
+    done: set[int] = set()
+    for (bad, v, k, most, i), d in zip(asked, edits.tolist(), strict=True):
+        if d <= most and i not in done:
+            done.add(i)
+            rows.append((bad, v, k, 0))
+    x, y = features([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]), np.array([r[3] for r in rows])
+    if len(set(y.tolist())) < 2:
+        x, y = np.array([[0.25, 1, 0.05, 0.2, 0, 5, 0, 3, 2, 0.25], [2, 2, 0.4, 0.4, 0, 5, 0, 3, 2, 1]] * 20), np.array([1, 0] * 20)
+    return Boosted(40, 3).fit(x, y)
 
 
 def misreadings(lex: DataFrame) -> DataFrame:
-    """(token, word): tokens of the lexicon that are misread, each with its true form."""
+    """(token, word, n_word, p): tokens of the lexicon that are misread, each with its true form and how often that occurs."""
     words = lex.where(_word() & ~_name() & (F.col("n") >= WORD) & (F.length("token") >= 2))
     top = words.orderBy(F.desc("n"), "token").select("token", "n").limit(2 * TRAIN_WORDS).collect()
     model = lex.sparkSession.sparkContext.broadcast(train_ranker([(r.token, r.n) for r in top]))
     # Tokens of one script, and no code of capitals and digits: at least half letters.
-    unknown = lex.where(~_name() & (F.length("token") >= 2) & (F.length("token") <= 60) & ~F.col("token").rlike(r"[\x{FF00}-\x{FFEF}\p{M}\x{FB00}-\x{FB06}]"))
+    unknown = lex.where(~_name() & (F.length("token") >= 2) & ~F.col("token").rlike(r"[\x{FF00}-\x{FFEF}\p{M}\x{FB00}-\x{FB06}]"))
     mixed = F.col("token").rlike(r"[a-zß-ÿ]") & F.col("token").rlike(r"[\x{370}-\x{52F}]")
     unknown = unknown.where(~mixed & (2 * F.length(F.regexp_replace("token", r"[^\p{L}]", "")) >= F.length("token"))).select("token", "n")
     found = candidates(unknown, words.select(F.col("token").alias("cand"), F.col("n").alias("n_cand")))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            x = np.array([features(t, c, k) for t, c, k in zip(d["token"], d["cand"], d["n_cand"], strict=True)]).reshape(-1, 10)
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("cand"), b.column("n_cand"), pa.array(model.value.score(x))], ["token", "cand", "n_cand", "p"])
+            p = model.value.score(features(*(b.column(c).to_pylist() for c in ("token", "cand", "n_cand"))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], ["token", "cand", "n_cand", "p"])
 
-    ranked = found.select("token", "cand", "n_cand").mapInArrow(rank, "token string, cand string, n_cand long, p double").where(F.col("p") >= CUT)
+    ranked = found.mapInArrow(rank, "token string, cand string, n_cand long, p double").where(F.col("p") >= CUT)
     best = ranked.groupBy("token").agg(F.max(F.struct("p", "n_cand", "cand")).alias("best"))
-    return best.select("token", F.col("best.cand").alias("word"), F.col("best.p").alias("p"))
+    return best.select("token", F.col("best.cand").alias("word"), F.col("best.n_cand").alias("n_word"), F.col("best.p").alias("p"))
 
 
 def train_joiner(counts: dict[str, int], seed: int = 7) -> Boosted:
@@ -282,12 +402,13 @@ def join_features(a: str, b: str, hyphen: str, joined: int, compound: int, n_a:
 def joins(toks: DataFrame, lex: DataFrame, wrong: DataFrame) -> DataFrame:
     """(a, b, hyphen): broken words that are written without the hyphen when joined, of the distinct ones in `toks`."""
     some = toks.where("a is not null").select("a", "b", "hyphen", F.col("token").alias("joined")).distinct()
-    n = lex.select("token", "n")
-    right = wrong.join(n.withColumnRenamed("token", "word"), "word").select(F.col("token").alias("joined"), F.col("n").alias("n_right"))
-    for key, name in ((F.col("joined"), "n_joined"), (F.concat_ws("-", "a", "b"), "n_compound"), (F.col("a"), "n_a"), (F.col("b"), "n_b")):
-        some = some.withColumn("_k", key).join(n.select(F.col("token").alias("_k"), F.col("n").alias(name)), "_k", "left").drop("_k")
-    some = some.join(right, "joined", "left").withColumn("n_joined", F.greatest(F.coalesce("n_joined", F.lit(0)), F.coalesce("n_right", F.lit(0))))
-    some = some.select("a", "b", "hyphen", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_joined", "n_compound", "n_a", "n_b")))
+    # One look-up of all four forms; a misread joined form counts as often as its true form.
+    keys = ("joined", F.col("joined")), ("compound", F.concat_ws("-", "a", "b")), ("a", F.col("a")), ("b", F.col("b"))
+    asked = some.select("a", "b", "hyphen", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("token")) for k, c in keys))).alias("key")).select("a", "b", "hyphen", "key.*")
+    known = lex.select("token", "n", F.lit(False).alias("right")).unionByName(wrong.select("token", F.col("n_word").alias("n"), F.lit(True).alias("right")))
+    n = asked.join(known, "token", "left").where("coalesce(not right, true) or kind = 'joined'")
+    # Without a match the row stays, so that every form comes out.
+    some = n.groupBy("a", "b", "hyphen").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, _ in keys))
     top = lex.where((F.col("n") >= 3) & F.col("token").rlike(r"^\p{L}+(-\p{L}+)?$")).orderBy(F.desc("n"), "token").select("token", "n").limit(2 * TRAIN_WORDS).collect()
     model = lex.sparkSession.sparkContext.broadcast(train_joiner({r.token: r.n for r in top}))
 
@@ -420,59 +541,66 @@ def title_grams(text: str) -> Iterator[str]:
         run = []
 
 
-def running(rows: DataFrame, model) -> tuple[DataFrame, DataFrame]:
-    """(ref, text) of the records with furniture lines, text being what is left without them, and (ref, title) of texts of
-    one line with a page number or a known furniture line inside.
+READ = "ref string, kind string, token string, a string, b string, hyphen string, n int"
+
+
+def read(rows: DataFrame, model) -> DataFrame:
+    """Everything that one reading of `rows` (ref, text) gives, as rows (ref, kind, token, a, b, hyphen, n).
 
-    `model` is a broadcast line classifier. Lines are judged by their neighbours; where line breaks were lost, page numbers are found by their
-    form and titles as phrases that are furniture lines of other records.
+    `model` is a broadcast line classifier: lines are judged by their neighbours, and those that are furniture do not count as text. Kinds: `token`, a
+    token of the record and how often it occurs; `furniture`, a record with such lines; `key`, a key of one of them and in `a` the word left open; `number`,
+    a page number inside a line; `title`, a key of a phrase of capitals inside a line and in `a` the phrase.
     """
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each furniture line its keys; with an empty key, the text without such lines."""
-        for b in batches:
-            ref, key, filler = [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
+        for b in bounded(batches, "text"):
+            out: list[tuple] = []
             texts_ = b.column("text").to_pylist()
             for r, t, found in zip(b.column("ref").to_pylist(), texts_, furniture_lines(texts_, model.value), strict=True):
-                if not found:
-                    continue
-                ls = t.split("\n")
-                ref.append(r)
-                key.append("")
-                filler.append("\n".join(x for i, x in enumerate(ls) if i not in found))
-                for i in found:
-                    ks, ws = line_keys(ls[i]), re.findall(r"[^\W\d_]+", ls[i].lower())
-                    for k, f in zip(ks, ["", *ws], strict=False):
-                        ref.append(r)
-                        key.append(k)
-                        filler.append(f)
-            yield pa.RecordBatch.from_arrays([pa.array(ref, pa.string()), pa.array(key, pa.string()), pa.array(filler, pa.string())], ["ref", "key", "filler"])
-
-    def inline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ref, key, title = [], [], []
-            for r, t in zip(b.column("ref").to_pylist(), b.column("text").to_pylist(), strict=True):
-                t = t.strip()
-                if "\n" in t or len(t) < 60:
-                    continue
-                for m in INLINE.finditer(t):
-                    ref.append(r)
-                    key.append("")
-                    title.append(m.group().strip())
-                for g in title_grams(t):
-                    for k in line_keys(g):
-                        ref.append(r)
-                        key.append(k)
-                        title.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ref, pa.string()), pa.array(key, pa.string()), pa.array(title, pa.string())], ["ref", "key", "title"])
-
-    rows = rows.select("ref", "text")
-    by_line = cut_table(rows.mapInArrow(lines, "ref string, key string, filler string").distinct())
-    known = by_line.where("key != ''").groupBy("key").agg(F.count_distinct("filler").alias("fillers"), F.count_distinct("ref").alias("refs"))
-    known = known.where((F.col("refs") >= FURNITURE) & ((F.instr("key", "*") == 0) | (F.col("fillers") >= FURNITURE))).select("key")
-    by_form = rows.mapInArrow(inline, "ref string, key string, title string").distinct()
-    titles = by_form.where("key = ''").select("ref", "title").unionByName(by_form.where("key != ''").join(known, "key", "left_semi").select("ref", "title"))
-    return by_line.where("key = ''").select("ref", F.col("filler").alias("text")), titles.distinct()
+                if found:
+                    drop, lines = set(found), t.split("\n")
+                    out.append((r, "furniture", None, None, None, None, None))
+                    for i in found:
+                        ks, ws = line_keys(lines[i]), re.findall(r"[^\W\d_]+", lines[i].lower())
+                        out += [(r, "key", k, f, None, None, None) for k, f in zip(ks, ["", *ws], strict=False)]
+                    t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
+                out += [(r, "token", *k, n) for k, n in Counter(known.of(t)).items()]
+                for number in inline_numbers(t):
+                    out.append((r, "number", number, None, None, None, None))
+                if "\n" not in t.strip():
+                    out += [(r, "title", k, g, None, None, None) for g in set(title_grams(t.strip())) for k in line_keys(g)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.string()] * 6 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["ref", "kind", "token", "a", "b", "hyphen", "n"])
+
+    return rows.select("ref", "text").mapInArrow(run, READ)
+
+
+def inline_numbers(text: str) -> list[str]:
+    """Page numbers inside the lines of a text, where a line break was lost; a line that is nothing but one is none."""
+    out = []
+    for line in text.split("\n"):
+        line = line.strip()
+        out += [m.group().strip() for m in INLINE.finditer(line) if _rest_of(line, m.group())]
+    return out
+
+
+def _rest_of(line: str, part: str) -> bool:
+    """Whether the line holds a sentence besides the part: five words, or four Chinese characters."""
+    rest = line.replace(part, " ", 1)
+    return len(re.findall(r"[^\W\d_]+", rest)) >= 5 or len(re.findall("[㐀-鿿]", rest)) >= 4
+
+
+def running(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ref) of the records with furniture lines, and (ref, title) of those with a page number or a known furniture line inside a line.
+
+    `seen`: what `read` gives. Where line breaks were lost, titles are found as phrases that are furniture lines of other records.
+    """
+    known = seen.where("kind = 'key'").groupBy(F.col("token").alias("key")).agg(F.count_distinct("a").alias("fillers"), F.count_distinct("ref").alias("refs"))
+    known = known.where((F.col("refs") >= FURNITURE) & ((F.instr("key", "*") == 0) | (F.col("fillers") >= FURNITURE))).select(F.col("key").alias("token"))
+    titles = seen.where("kind = 'title'").join(known, "token", "left_semi").select("ref", F.col("a").alias("title"))
+    return seen.where("kind = 'furniture'").select("ref"), seen.where("kind = 'number'").select("ref", F.col("token").alias("title")).unionByName(titles).distinct()
 
 
 def page_noise(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, object]:
@@ -484,20 +612,22 @@ def page_noise(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     rows = rows.where("text is not null").select("ref", "text").distinct()
     clean = bounded_sample(rows.select("text").where(~F.col("text").contains("\n") & (F.length("text") < 400)), TRAIN_TEXTS, "text").collect()
     model = rows.sparkSession.sparkContext.broadcast(train_lines([r.text for r in clean]))
-    by_line, titles = running(rows, model)
+    seen = cut_table(read(rows, model))
+    lines, titles = running(seen)
     titles = cut_table(titles)
-    rest = rows.join(by_line.withColumnRenamed("text", "rest"), "ref", "left").select("ref", F.coalesce("rest", "text").alias("text"))
-    lex = cut_table(lexicon(rest, pairs.distinct()))
-    toks = cut_table(tokens(rest, "ref").distinct())
+    toks = seen.where("kind = 'token'").select("ref", "token", "a", "b", "hyphen", "n")
+    n = toks.where("a is null").groupBy("token").agg(F.sum("n").alias("n"))
+    lex = cut_table(n.join(name_counts(pairs), "token", "left").select("token", "n", F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce("copied", F.lit(0)).alias("copied")))
+    toks = toks.drop("n")
     wrong = cut_table(misreadings(lex))
     broken = cut_table(joins(toks, lex, wrong))
-    read = toks.join(wrong.select("token", "word"), "token").select("ref", "token", "word", "a", "b", "hyphen")
+    misread = toks.join(wrong.select("token", "word"), "token").select("ref", "token", "word", "a", "b", "hyphen")
     split = toks.where("a is not null").join(broken, ["a", "b", "hyphen"]).select("ref", "token", F.lit(None).cast("string").alias("word"), "a", "b", "hyphen")
     # A broken compound is no misread word.
-    read = read.where("a is null").unionByName(read.where("a is not null").join(broken, ["a", "b", "hyphen"], "left_semi").select(*read.columns))
-    changes = cut_table(read.unionByName(split))
+    misread = misread.where("a is null").unionByName(misread.where("a is not null").join(broken, ["a", "b", "hyphen"], "left_semi").select(*misread.columns))
+    changes = cut_table(misread.unionByName(split))
     found = changes.select("ref", F.when(F.col("word").isNull(), "hyphen").otherwise("misread").alias("noise"))
-    found = found.unionByName(by_line.select("ref").unionByName(titles.select("ref")).withColumn("noise", F.lit("running")))
+    found = found.unionByName(lines.unionByName(titles.select("ref")).withColumn("noise", F.lit("running")))
     return found.distinct(), changes, titles, model
 
 
@@ -524,7 +654,7 @@ def repair(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     every = rows.join(todo, "ref", "left").join(out, "ref", "left").join(kinds, "ref", "left")
 
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             d = b.to_pydict()
             drop = furniture_lines(d["text"], model.value)
             done = [repaired(t, x or [], y or [], z) if k else t for t, x, y, z, k in zip(d["text"], d["todo"], d["titles"], drop, d["kinds"], strict=True)]
