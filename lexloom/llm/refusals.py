@@ -102,4 +102,4 @@ class Refusals:
 
 
 def _worded(text: str) -> bool:
-    return len(_HAN.findall(text)) >= 5 or len(_LETTER.findall(text)) >= 12
+    return len(_HAN.findall(text)) >= 7 or len(_LETTER.findall(text)) >= 12
