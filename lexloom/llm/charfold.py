@@ -64,8 +64,11 @@ _MARKS = {ord(c): ud.normalize("NFKC", c) for c in CJK_MARKS}
 _CJK_MARKS, _CJK = re.compile(f"[{CJK_MARKS}]"), re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
-#: Any character outside the ordinary ones of Latin, Cyrillic and Chinese text, which look like nothing plainer.
-_ODD = re.compile("[^\n -~¡-¬®-ıĴ-ľŀ-ňŊ-ſЀ-ӿ–—‘-•…№、-】一-\u9fff]")
+#: Ordinary characters of Latin and Chinese text, which look like nothing plainer, as the inside of a character class.
+PLAIN = "\n -~¡-¬®-ıĴ-ľŀ-ňŊ-ſ–—‘-•…№、-】一-\u9fff"
+_ODD = re.compile(f"[^{PLAIN}Ѐ-ӿ]")
+#: Texts that are their own consistent form; the marks of Chinese text are ordinary beside an ideograph only.
+PLAIN_TEXT = f"(?s)^(?:[{PLAIN}]*|(?=.*[一-\u9fff])[{PLAIN}{CJK_MARKS}]*)$"
 
 
 @lru_cache(1)
@@ -88,7 +91,6 @@ def look(text: str) -> str:
     return t if ud.is_normalized("NFC", t) else ud.normalize("NFC", t)
 
 
-
 @lru_cache(1)
 def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, count, symbols): the symbols that each character of the basic plane folds to.

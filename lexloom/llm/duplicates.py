@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import fold_table
 from lexloom.llm.refs import texts
+from lexloom.llm.streams import bounded
 from lexloom.operators.lineage import cut_table
 
 PRIMES = tuple(np.uint64(p) for p in (2147483647, 2147483629, 2147483587, 2147483579))
@@ -201,14 +202,13 @@ def formatting_classes(rows: DataFrame, least: int = 20, signs: bool = True, sin
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             t = b.column("text").to_pylist()
             high, low, size = fold_hashes(t, signs)
             out = pa.RecordBatch.from_arrays([b.column("ref"), b.column("text"), b.column("raw"), pa.array(high), pa.array(low), pa.array(size)], ["ref", "text", "raw", "h1", "h2", "size"])
             yield out.filter(pc.greater_equal(out.column("size"), least))
 
-    some = rows.where(F.length("text") >= least) if signs else rows.where(F.col("text").isNotNull())
-    all_rows = cut_table(some.select("ref", "text", F.xxhash64("text").alias("raw")).mapInArrow(hashed, "ref string, text string, raw long, h1 long, h2 long, size long").drop("size"))
+    all_rows = cut_table(rows.where(F.col("text").isNotNull()).select("ref", "text", F.xxhash64("text").alias("raw")).mapInArrow(hashed, "ref string, text string, raw long, h1 long, h2 long, size long").drop("size"))
     groups = all_rows.groupBy("h1", "h2").agg(F.min("ref").alias("ref_first"), F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("z"))
     alone = groups.where("n = 1").select(F.col("ref_first").alias("ref"), "ref_first", F.lit(1).cast("long").alias("copies"))
     groups = groups.where("n > 1").select("h1", "h2", "ref_first", (F.col("a") != F.col("z")).alias("mixed"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import CYRILLIC, TO_LATIN, look, script_of
 from lexloom.llm.learn import bounded_sample
+from lexloom.llm.streams import bounded
 from lexloom.sources.tables import table
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "zh")
@@ -299,7 +300,7 @@ def fit_languages(labelled: DataFrame, documents: DataFrame | None = None) -> di
 
     With `documents` (doc_id, source_lang), only texts whose label agrees with their document's are taken.
     """
-    some = labelled.where("trim(lang) != '' and text is not null").where(letters_of(F.col("text")) >= LEAST).select("doc_id", "lang", F.substring("text", 1, 2000).alias("text"))
+    some = labelled.where("trim(lang) != '' and text is not null").where(letters_of(F.col("text")) >= LEAST).select("doc_id", "lang", "text")
     some = bounded_sample(some, SAMPLE_RUNS, "text", "lang", "doc_id")
     if documents is not None:
         some = documents.select("doc_id", "source_lang").join(F.broadcast(some), "doc_id").select("lang", "text", "source_lang")
@@ -320,7 +321,7 @@ def label_segments(rows: DataFrame, automata: dict[str, Automaton]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(model)
-        for b in batches:
+        for b in bounded(batches, "text"):
             t = b.column("text").to_pylist()
             found = iter(parser.label([x for x in t if x is not None]))
             cells = [None if x is None else [dict(zip(("start", "end", "lang", "confidence", "letters"), s, strict=True)) for s in next(found)] for x in t]

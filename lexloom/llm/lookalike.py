@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.charfold import CYRILLIC, GREEK, LATIN, TO_LATIN, look, script_of
+from lexloom.llm.charfold import CYRILLIC, GREEK, LATIN, PLAIN_TEXT, TO_LATIN, look, script_of
 from lexloom.llm.refs import texts
+from lexloom.llm.streams import bounded
 from lexloom.operators.lineage import cut_table
 
-#: Texts of these characters only are their own consistent form: no ignorable sign, no width form, one script.
-PLAIN = r"^[ -~¡-¬®-ſ–-―‘-‟•…№▪\n、。一-\u9fff（），：；？！]*$"
 #: Letters of the bigram model: code points below 0x530 and the extended Latin ones, lower case.
 LETTERS = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x180), *range(0x3AC, 0x3CF), *range(0x430, 0x530)]) if script_of(c) and c.lower() == c]
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -56,7 +55,7 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE * SIZE, np.int64)
-        for b in batches:
+        for b in bounded(batches, "text"):
             cps = np.frombuffer((" " + " ".join(b.column(0).to_pylist()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
             i = lut[np.minimum(cps, 0x10000)]
             a, z = i[:-1], i[1:]
@@ -154,17 +153,17 @@ def consistent_texts(rows: DataFrame, keep: list[str] | None = None) -> DataFram
     """`rows` (with a string column `text`) plus `consistent`, the one form of all texts that look the same.
 
     Null gives null, an empty text an empty one. Texts of any length are handled whole. Extra columns are kept; a column
-    named `consistent` is replaced. Only texts with a character outside PLAIN leave the JVM.
+    named `consistent` is replaced. Only texts that PLAIN_TEXT does not match leave the JVM.
     """
     cols = [c for c in (keep or rows.columns) if c != "consistent"]
     counts = {r.pair: r.n for r in bigram_counts(rows.where(F.col("text").isNotNull())).collect()}
     readings = rows.sparkSession.sparkContext.broadcast(counts)
-    plain = F.col("text").isNull() | F.col("text").rlike(PLAIN)
+    plain = F.col("text").isNull() | F.col("text").rlike(PLAIN_TEXT)
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*cols).dtypes) + ", consistent string"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Readings(readings.value)
-        for b in batches:
+        for b in bounded(batches, "text"):
             done = [model.best(v) if _needs_search(v := look(t)) else v for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string())], [*b.schema.names, "consistent"])
 

@@ -61,6 +61,18 @@ def test_consistent_text_depends_on_looks_only(spark):
     assert out[t[1]] == t[0] and out[t[3]] == t[2] and out[t[4]] == t[4] and out[t[5]] == "A1 fi K"
 
 
+def test_plain_texts_are_their_own_form(spark):
+    """Whatever skips the search looks like nothing plainer: every character alone and beside a Latin and a Chinese one, and random texts."""
+    rng = random.Random(7)
+    every = [chr(c) for c in range(1, 0xFFFE) if not 0xD800 <= c < 0xE000]
+    odd = "，（！ĲĳŉKﬁé…№一а"
+    rows = [t for c in every for t in (c, f"a{c}b", f"一{c}")] + ["".join(rng.choice("ab 一，！é" + odd) for _ in range(8)) for _ in range(2000)]
+    plain = spark.createDataFrame([(r,) for r in rows], "text string").where(F.col("text").rlike(charfold.PLAIN_TEXT)).collect()
+    assert len(plain) > 60000 and all(charfold.look(r.text) == r.text for r in plain)
+    t = ["Hello， world this is a long text", "Hello， world this is a long text​", "Hello, world this is a long text"]
+    assert {r.consistent for r in lookalike.consistent_texts(texts(spark, t)).collect()} == {t[2]}
+
+
 # 5
 
 
@@ -84,6 +96,12 @@ def test_classes_hold_every_content(spark, tmp_path):
     assert [tuple(r) for r in duplicates.p5_found(spark, str(tmp_path)).where("ref_first like 'block%'").collect()] == [("block:d:4", "block:d:5")]
 
 
+def test_length_counts_in_folded_form(spark):
+    """Ligatures and Roman numerals fold to several letters, so fewer characters than the least may be enough."""
+    rows = ["ﬃ" * 7, "ffi" * 7, "FFI-" * 7, "ﬃ" * 6, "ffi" * 6]
+    assert {r.ref: r.copies for r in duplicates.formatting_classes(texts(spark, rows)).collect()} == {f"block:d:{i}": 3 for i in range(3)}
+
+
 def test_hash_agrees_with_walk():
     rng = random.Random(5)
     letters = "aBß é-+.,1२ \n>:;​ＡﬁжЖ²%"
