@@ -14,12 +14,16 @@ NOT_BLANK = r"[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 # Capitals that count as words though they have two or three letters.
 ACRONYMS = ("AI", "BI", "IT", "IP", "KM", "RND", "SAP", "BOM", "CAD", "ERP", "LLM")
 HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-# Codes and aliases of the three languages with a font and OCR profile.
-LANGUAGES = {"en": "English", "de": "Deutsch", "zh": "Chinese"}
-ALIASES = {
-    "en": "en", "english": "en", "en-us": "en", "en-gb": "en", "eng": "en", "de": "de", "german": "de", "deutsch": "de", "de-de": "de", "deu": "de",
-    "zh": "zh", "chinese": "zh", "zh-cn": "zh", "zh-hans": "zh", "chi_sim": "zh",
-}
+# The three languages with an OCR profile (name, language tag of presentations, codes of two recognisers), and their aliases.
+LANGUAGES = {
+    "en": ("English", "en-US", "eng", "en"),
+    "de": ("German (de-DE)", "de-DE", "deu+eng", "german"),
+    "zh": ("Simplified Chinese (zh-CN)", "zh-CN", "chi_sim+eng", "ch"),
+}
+LANGUAGE_FIELDS = ("name", "tag", "tesseract", "paddle")
+ALIASES = {"en": "en", "de": "de", "zh": "zh", "en-us": "en", "en-gb": "en", "de-de": "de", "zh-cn": "zh", "zh-hans": "zh", "zh_hans": "zh"}
+#: Weight from which a letter counts as bold.
+BOLD = 700
 MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
 
 
@@ -78,6 +82,12 @@ def supported_language(c: Column) -> Column:
     return F.element_at(table, F.lower(F.trim(c)))
 
 
+def language(c: Column) -> Column:
+    """code and LANGUAGE_FIELDS of a language named by code or alias as a struct, or null."""
+    rows = F.create_map(*(x for k, v in LANGUAGES.items() for x in (F.lit(k), F.struct(*(F.lit(a).alias(n) for n, a in zip(("code", *LANGUAGE_FIELDS), (k, *v), strict=True))))))
+    return F.element_at(rows, supported_language(c))
+
+
 def mime_of(path: Column) -> Column:
     """MIME type by suffix; anything unknown counts as PNG."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1))
@@ -96,18 +106,33 @@ def colour(c: Column, part: int) -> Column:
 
 
 def style_font(style: Column) -> Column:
-    """name, size, color, bold, italic of an inline CSS style."""
-    low = F.lower(style)
-    grab = lambda p: F.nullif(F.trim(F.regexp_extract(style, p, 1)), F.lit(""))
+    """name, size, color, bold, italic of an inline CSS style, read declaration by declaration."""
+    parts = F.transform(F.split(style, ";"), lambda d: F.struct(F.lower(F.trim(F.substring_index(d, ":", 1))).alias("key"), F.trim(F.substr(d, F.instr(d, ":") + 1)).alias("value")))
+    of = lambda *keys: F.try_element_at(F.filter(parts, lambda d: d["key"].isin(*keys)), F.lit(-1))["value"]
+    weight, colour_ = F.lower(of("font-weight")), F.upper(of("color"))
     return F.struct(
-        F.regexp_replace(grab(r"(?i)font-family\s*:\s*([^;,]+)"), "[\"']", "").alias("name"),
-        grab(r"(?i)font-size\s*:\s*([0-9.]+)").cast("double").alias("size"),
-        grab(r"(?i)(?<!-)color\s*:\s*(#[0-9a-f]{6})").alias("color"),
-        (low.contains("font-weight") & low.rlike("bold|700|800|900")).alias("bold"),
-        low.rlike(r"font-style\s*:\s*italic").alias("italic"),
+        F.nullif(F.trim(F.translate(F.substring_index(of("font-family"), ",", 1), "\"'", "")), F.lit("")).alias("name"),
+        F.nullif(F.regexp_extract(of("font-size"), r"^([0-9]*[.]?[0-9]+)", 1), F.lit("")).cast("double").alias("size"),
+        F.when(colour_.rlike("^#([0-9A-F]{3}|[0-9A-F]{6})$"), colour_).alias("color"),
+        F.coalesce(weight.isin("bold", "bolder") | (weight.try_cast("int") >= BOLD), F.lit(False)).alias("bold"),
+        F.coalesce(F.lower(of("font-style")) == "italic", F.lit(False)).alias("italic"),
     )
 
 
+def json_objects(c: Column) -> Column:
+    """The regions in a recogniser's JSON answer, as an array of JSON strings: an array, the array `regions` of an object, in a fence or not; empty if unreadable."""
+    fenced = F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), c)
+    inside = F.regexp_extract(fenced, r"(?s)(\[.*\])", 1)
+    read = [F.from_json(x, "array<string>") for x in (F.get_json_object(fenced, "$.regions"), fenced, inside)]
+    return F.coalesce(*(F.when(F.size(F.filter(r, lambda x: x.isNotNull())) == F.size(r), r) for r in read), F.array().cast("array<string>"))
+
+
+def lines_or(c: Column, fallback: Column) -> Column:
+    """The lines of an answer without marks around them, where there are as many as in `fallback`; else `fallback`."""
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.btrim(x, F.lit(" -\t\r\n\"'"))), lambda x: x != "")
+    return F.when(F.size(lines) == F.size(fallback), lines).otherwise(fallback)
+
+
 def json_array(c: Column) -> Column:
     """The string array in a model's answer: plain, in a code fence, or within other text; null if there is none."""
     inner = F.regexp_extract(c, r"(?s)(\[.*\])", 1)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import looks_like, norm_text, normal_form, not_blank
+from lexloom.functions.text import looks_like, norm_text, not_blank
 
 #: Height of the title zone in EMU: one inch.
 TITLE_ZONE = 914400
@@ -112,44 +110,31 @@ def bilingual_pairs(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 def suppress_bilingual(blocks: DataFrame, source_lang: str | Column, target_lang: str | Column) -> DataFrame:
     """(doc_id, id, target_text): a block whose translation already stands beside it is blanked, and that text kept as it is.
 
-    Earlier changes are seen by later blocks, so a slide is worked through in order; one slide is one group. Blocks without a
-    position can neither blank nor be blanked and pass by. The languages are codes for all blocks, or columns of `blocks` that are the same
-    throughout a document; a slide whose languages are null stays as it is.
+    An equi-join on document, slide and text key finds the blocks with a shape of that text beside them. Earlier changes are seen by later blocks, so the pairs of
+    a slide are worked through in order, which needs their ids only. Blocks without a position can neither blank nor be blanked. The languages are codes
+    for all blocks, or columns of `blocks` that are the same throughout a document; where one is null nothing changes.
     """
-    zh, latin = lambda t: any("㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" for c in t), lambda t: any(c.isascii() and c.isalpha() for c in t)
-    fits = lambda t, lang: zh(t) if lang == "zh" else latin(t) if lang in ("en", "de") else bool(t.strip())
-
-    def beside(a: dict | None, b: dict | None) -> bool:
-        if a is None or b is None:
-            return False
-        ox, oy = (max(0, min(a[p] + a[s], b[p] + b[s]) - max(a[p], b[p])) for p, s in (("x", "w"), ("y", "h")))
-        gx, gy = (max(0, max(a[p], b[p]) - min(a[p] + a[s], b[p] + b[s])) for p, s in (("x", "w"), ("y", "h")))
-        return (oy >= 0.5 * min(a["h"], b["h"]) and gx <= 0.5 * max(a["w"], b["w"])) or (ox >= 0.5 * min(a["w"], b["w"]) and gy <= 0.5 * max(a["h"], b["h"]))
-
-    def work(slide: pd.DataFrame) -> pd.DataFrame:
-        rows = slide.sort_values("ord").to_dict("records")
-        source, target = rows[0]["source"], rows[0]["target"]
-        if not (isinstance(source, str) and isinstance(target, str)):
-            return slide[["doc_id", "id", "target_text"]]
-        shapes = defaultdict(list)
-        for r in rows:
-            shapes[r["shape"]].append(r)
-        others = [(g, k) for g in shapes.values() if (k := normal_form(t := "".join(r["source_text"] or "" for r in g))) and fits(t, target)]
-        for r in rows:
-            key = normal_form(r["target_text"])
-            if not key or key == normal_form(r["source_text"]) or not fits(r["source_text"] or "", source):
-                continue
-            for g, k in others:
-                if k == key and not any(x is r for x in g) and beside(r["box"], g[0]["box"]):
-                    r["target_text"] = ""
-                    for x in g:
-                        x["target_text"] = x["source_text"]
-                    break
-        return pd.DataFrame([{k: r[k] for k in ("doc_id", "id", "target_text")} for r in rows], columns=["doc_id", "id", "target_text"])
-
     languages = [(F.lit(c) if isinstance(c, str) else c).alias(n) for c, n in ((source_lang, "source"), (target_lang, "target"))]
     ref = F.col("source_ref")
     shape = F.concat_ws("/", ref["kind"], *(F.coalesce(ref[k].cast("string"), F.lit("-")) for k in ("shape_id", "row", "col")))
     b = blocks.select("doc_id", slide_of().alias("slide"), "ord", "id", "source_text", "target_text", shape.alias("shape"), F.col("layout.position").alias("box"), *languages)
-    placed = b.where("box is not null").groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, id string, target_text string")
-    return placed.unionByName(b.where("box is null").select("doc_id", "id", "target_text"))
+    placed = b.where("box is not null and source is not null and target is not null")
+    own = F.array_sort(F.collect_list(F.struct("ord", "id", F.coalesce("source_text", F.lit("")).alias("text"), "box")))
+    shapes = placed.groupBy("doc_id", "slide", "shape", "target").agg(own.alias("own"))
+    shapes = shapes.withColumn("whole", F.array_join(F.transform("own", lambda x: x["text"]), "")).where(looks_like(F.col("whole"), F.col("target"))).withColumn("key", norm_text("whole"))
+    shapes = shapes.where("key != ''").select("doc_id", "slide", "key", F.col("shape").alias("other"), F.col("own")[0]["ord"].alias("first"), F.col("own")[0]["box"].alias("b"), F.transform("own", lambda x: x["id"]).alias("kept"))
+    asked = placed.where("target_text is not null").withColumn("key", norm_text("target_text")).where((F.col("key") != "") & (F.col("key") != norm_text("source_text")))
+    asked = asked.where(looks_like(F.coalesce("source_text", F.lit("")), F.col("source"))).select("doc_id", "slide", "key", "ord", "id", "shape", F.col("box").alias("a"))
+    pairs = asked.join(shapes, ["doc_id", "slide", "key"]).where((F.col("shape") != F.col("other")) & parallel("a", "b")).select("doc_id", "slide", "ord", "id", "first", "kept")
+
+    def work(slide: pd.DataFrame) -> pd.DataFrame:
+        state: dict[str, str] = {}
+        for r in slide.sort_values(["ord", "first"], kind="stable").itertuples():
+            # Each block takes the first shape only, and one that is kept or blank by now takes none.
+            if r.id not in state:
+                state |= {r.id: "blank"} | dict.fromkeys(r.kept, "kept")
+        return pd.DataFrame({"doc_id": slide.doc_id.iloc[0], "slide": slide.slide.iloc[0], "id": list(state), "state": list(state.values())})
+
+    state = pairs.groupBy("doc_id", "slide").applyInPandas(work, "doc_id string, slide int, id string, state string")
+    target = F.when(F.col("box").isNull() | F.col("state").isNull(), F.col("target_text")).when(F.col("state") == "blank", "").otherwise(F.col("source_text"))
+    return b.join(state, ["doc_id", "slide", "id"], "left").select("doc_id", "id", target.alias("target_text"))

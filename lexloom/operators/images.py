@@ -10,6 +10,9 @@ from lexloom.functions.text import not_blank
 # Thresholds of the image router.
 MIN_WIDTH, MIN_HEIGHT, MIN_AREA, MIN_SIGNS = 120, 60, 20000, 6
 
+#: What a recognition of an image's text yields.
+MEASURES = ("text_chars", "alpha_chars", "word_count", "meaningful_word_count", "lexical_word_ratio", "line_count", "mean_confidence")
+
 
 def display_ratio(images: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, id, ratio): the share of the slide that the image's block covers, to six places; null without position or slide size."""
@@ -36,6 +39,7 @@ def _ladder() -> list[tuple[Column, str, str]]:
     return [
         (c("repeated"), "reuse", "exact_duplicate"),
         ((c("width") < MIN_WIDTH) | (c("height") < MIN_HEIGHT) | (c("width") * c("height") < MIN_AREA), "skip", "too_small"),
+        (c("probed").isNull(), "review", "local_ocr_unavailable"),
         ((c("text_chars") < MIN_SIGNS) | (c("alpha_chars") < MIN_SIGNS), "skip", "no_meaningful_text"),
         (c("mean_confidence") < 45, "review", "low_ocr_confidence"),
         ((c("word_count") >= 10) & (c("lexical_word_ratio") < 0.26), "review", "ocr_noise"),
@@ -52,10 +56,15 @@ def _ladder() -> list[tuple[Column, str, str]]:
 
 
 def routes(selections: DataFrame, images: DataFrame) -> DataFrame:
-    """(doc_id, image_id, route, reason) from the measured text of each image: the first rule that holds; null measures fail a rule."""
+    """(doc_id, image_id, route, reason) from the measured text of each image: the first rule that holds.
+
+    An image whose recognition failed, so that a measure of its text is null, goes to review; a null display ratio only fails the rules on it.
+    """
     size = images.select("doc_id", F.col("id").alias("image_id"), F.col("width").cast("long"), F.col("height").cast("long"), "ord")
     w = Window.partitionBy("doc_id", "content_hash").orderBy("ord", "image_id")
     s = selections.join(size, ["doc_id", "image_id"]).withColumn("repeated", F.col("content_hash").isNotNull() & (F.row_number().over(w) > 1))
+    # Null if any measure is.
+    s = s.withColumn("probed", sum((F.col(c) for c in MEASURES), F.lit(0)))
     route = reason = None
     for rule, to, why in _ladder():
         route = (route.when if route is not None else F.when)(rule, to)

@@ -151,7 +151,17 @@ def normal_forms(spark, d):
     return rows(spark, d, "blocks", "doc_id", "id", "source_text").select("doc_id", "id", X.norm_text("source_text").alias("form"))
 
 
-@query()
+_FITS = """CASE {1} WHEN 'zh' THEN regexp_matches({0}, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]')
+  WHEN 'en' THEN regexp_matches({0}, '[A-Za-z]') WHEN 'de' THEN regexp_matches({0}, '[A-Za-z]') ELSE regexp_matches({0}, """ + _NOT_BLANK.replace("{", "{{").replace("}", "}}") + ") END"
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT b.doc_id, coalesce(layout.slide_index, 0) AS slide, id, source_text AS s, layout.position AS p, source_lang, target_lang,
+  lower(regexp_replace(target_text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS tk, lower(regexp_replace(source_text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sk FROM blocks b JOIN doc_meta USING (doc_id) WHERE layout.position IS NOT NULL),
+j AS (SELECT l.doc_id, l.id, r.id AS other_id, greatest(0, least(l.p.x + l.p.w, r.p.x + r.p.w) - greatest(l.p.x, r.p.x)) AS ox, greatest(0, greatest(l.p.x, r.p.x) - least(l.p.x + l.p.w, r.p.x + r.p.w)) AS gx,
+  greatest(0, least(l.p.y + l.p.h, r.p.y + r.p.h) - greatest(l.p.y, r.p.y)) AS oy, greatest(0, greatest(l.p.y, r.p.y) - least(l.p.y + l.p.h, r.p.y + r.p.h)) AS gy, l.p AS a, r.p AS b
+  FROM b l JOIN b r ON l.doc_id = r.doc_id AND l.slide = r.slide AND l.tk = r.sk AND l.id <> r.id WHERE l.tk <> '' AND l.tk <> l.sk AND {_FITS.format("l.s", "l.source_lang")} AND {_FITS.format("r.s", "r.target_lang")})
+SELECT DISTINCT doc_id, id, other_id FROM j WHERE (oy >= 0.5 * least(a.h, b.h) AND gx <= 0.5 * greatest(a.w, b.w)) OR (ox >= 0.5 * least(a.w, b.w) AND gy <= 0.5 * greatest(a.h, b.h))""")
 def bilingual_pairs(spark, d):
     """Blocks whose translation already stands beside them."""
     return B.bilingual_pairs(rows(spark, d, "blocks", "doc_id", "ord", "id", "source_text", "target_text", layout("slide_index", "position")), table(spark, d, "doc_meta"))
@@ -207,12 +217,14 @@ def exact_duplicates(spark, d):
 
 _ROUTES = _ORDERED + """,
 m AS (SELECT *, content_hash IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, content_hash ORDER BY ord, image_id) > 1 AS repeated FROM s),
-k AS (SELECT doc_id, image_id, CASE WHEN repeated THEN 0 WHEN width < 120 OR height < 60 OR width * height < 20000 THEN 1 WHEN text_chars < 6 OR alpha_chars < 6 THEN 2
+k AS (SELECT doc_id, image_id, CASE WHEN repeated THEN 0 WHEN width < 120 OR height < 60 OR width * height < 20000 THEN 1
+  WHEN text_chars IS NULL OR alpha_chars IS NULL OR word_count IS NULL OR meaningful_word_count IS NULL OR lexical_word_ratio IS NULL OR line_count IS NULL OR mean_confidence IS NULL THEN 11
+  WHEN text_chars < 6 OR alpha_chars < 6 THEN 2
   WHEN mean_confidence < 45 THEN 3 WHEN word_count >= 10 AND lexical_word_ratio < 0.26 THEN 4 WHEN display_area_ratio < 0.025 AND text_chars <= 24 THEN 5 WHEN display_area_ratio < 0.025 THEN 6
   WHEN mean_confidence < 60 AND word_count >= 3 THEN 7 WHEN display_area_ratio IS NOT NULL AND meaningful_word_count <= 2 AND text_chars <= 24 THEN 8
   WHEN alpha_chars >= 30 AND meaningful_word_count >= 8 AND line_count >= 2 AND lexical_word_ratio >= 0.30 AND (display_area_ratio IS NULL OR display_area_ratio >= 0.05) THEN 9 ELSE 10 END AS k FROM m),
-routed AS (SELECT doc_id, image_id, (['reuse','skip','skip','review','review','skip','review','review','review','whole_image','region'])[k + 1] AS route,
-  (['exact_duplicate','too_small','no_meaningful_text','low_ocr_confidence','ocr_noise','likely_logo_or_icon','small_text_dense_asset','borderline_ocr_confidence','ambiguous_short_text','text_rich_graphic','simple_text_regions'])[k + 1] AS reason FROM k)
+routed AS (SELECT doc_id, image_id, (['reuse','skip','skip','review','review','skip','review','review','review','whole_image','region','review'])[k + 1] AS route,
+  (['exact_duplicate','too_small','no_meaningful_text','low_ocr_confidence','ocr_noise','likely_logo_or_icon','small_text_dense_asset','borderline_ocr_confidence','ambiguous_short_text','text_rich_graphic','simple_text_regions','local_ocr_unavailable'])[k + 1] AS reason FROM k)
 """
 
 
@@ -360,10 +372,11 @@ def protected_marks(spark, d):
 @query("""
 WITH r AS (SELECT DISTINCT doc_id, image_id, id, source_text AS s, target_text AS t, regexp_replace(source_text, '[^A-Za-z]', '', 'g') AS l FROM regions WHERE translatable AND regexp_matches(source_text, """ + _NOT_BLANK + """)),
 g AS (SELECT doc_id, image_id, bool_or(NOT coalesce(regexp_matches(t, """ + _NOT_BLANK + """), false)) AS b,
-  bool_and(coalesce(trim(t) = trim(s), false) AND NOT (length(l) > 0 AND upper(l) = l AND length(l) <= 16 AND len(regexp_extract_all(s, '[A-Za-z0-9]+')) <= 3)) AS s FROM r GROUP BY ALL)
-SELECT doc_id, image_id, CASE WHEN b THEN 'translation_mapping_incomplete' WHEN s THEN 'translation_mapping_unchanged' END AS reason FROM g""")
+  bool_or(coalesce(lower(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) = lower(regexp_replace(s, '[^\\p{L}\\p{N}]', '', 'g')), false) AND NOT (length(l) > 0 AND upper(l) = l AND length(l) <= 16 AND len(regexp_extract_all(s, '[A-Za-z0-9]+')) <= 3)) AS s FROM r GROUP BY ALL)
+SELECT i.doc_id, i.id AS image_id, CASE WHEN b IS NULL THEN 'pre_generation_ocr_empty' WHEN b THEN 'translation_mapping_incomplete' WHEN s THEN 'translation_mapping_unchanged' END AS reason
+FROM (SELECT DISTINCT doc_id, id FROM images) i LEFT JOIN g ON g.doc_id = i.doc_id AND g.image_id = i.id""")
 def mapping_gate(spark, d):
-    return Q.mapping_gate(rows(spark, d, "regions", "doc_id", "image_id", "id", "translatable", "source_text", "target_text"))
+    return Q.mapping_gate(rows(spark, d, "regions", "doc_id", "image_id", "id", "translatable", "source_text", "target_text"), rows(spark, d, "images", "doc_id", "id"))
 
 
 @query()
@@ -401,13 +414,14 @@ def ocr_measures(spark, d):
     return W.word_measures(_words(spark, d), "doc_id", "image_id")
 
 
-@query("SELECT DISTINCT doc_id, image_id, trim(regexp_replace(detected_text, '\\s+', ' ', 'g')) AS text FROM selections WHERE detected_text IS NOT NULL AND NOT regexp_matches(detected_text, '[\\x{3000}-\\x{FFFF}]|[(\\[{] | [,.;:!?%)\\]}]')")
-def ocr_plain_texts(spark, d):
-    s = rows(spark, d, "selections", "doc_id", "image_id", "detected_text").where("detected_text is not null").where(~F.col("detected_text").rlike(r"[\x{3000}-\x{FFFF}]|[(\[{] | [,.;:!?%)\]}]"))
-    return s.select("doc_id", "image_id", F.trim(F.regexp_replace("detected_text", r"\s+", " ")).alias("text")).distinct()
+_HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT DISTINCT doc_id, image_id, trim(regexp_replace(detected_text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS t FROM selections WHERE detected_text IS NOT NULL),
+-- A sign between two blanks stands in both places, so the rule is applied twice.
+h AS (SELECT doc_id, image_id, regexp_replace(regexp_replace(t, '({_HAN}) ({_HAN})', '\\1\\2', 'g'), '({_HAN}) ({_HAN})', '\\1\\2', 'g') AS t FROM t)
+SELECT DISTINCT doc_id, image_id, regexp_replace(regexp_replace(t, ' ([,.;:!?%)\\]}}，。；：！？）】》])', '\\1', 'g'), '([(\\[{{（【《]) ', '\\1', 'g') AS text FROM h""")
 def ocr_clean_texts(spark, d):
     """Recognised texts with white space put right, Chinese included."""
     return rows(spark, d, "selections", "doc_id", "image_id", "detected_text").where("detected_text is not null").select("doc_id", "image_id", X.ocr_clean(F.col("detected_text")).alias("text")).distinct()
@@ -463,9 +477,28 @@ def quality_exact(spark, d):
     return Q.exact_gate(rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations", "output_texts"))
 
 
+_KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+
+
+@query(f"""
+WITH v AS (SELECT DISTINCT doc_id, image_id, coalesce(expected_texts, []) AS e, coalesce(expected_translations, []) AS t, output_texts FROM validations),
+p AS (SELECT *, list_filter(list_transform(range(1, least(len(e), len(t)) + 1), lambda i: {{'s': e[i], 't': t[i]}}), lambda x: x.s IS NOT NULL AND x.t IS NOT NULL) AS pairs, list_filter(output_texts, lambda x: coalesce(regexp_matches(x, {_NOT_BLANK}), false)) AS o FROM v),
+h AS (SELECT *, coalesce(list_aggregate(list_transform(o, lambda x: {_KEY.format("x")}), 'string_agg', ''), '') AS hay, list_filter(pairs, lambda x: NOT ({_KEY.format("x.s")} = {_KEY.format("x.t")} AND length(regexp_replace(x.s, '[^A-Za-z]', '', 'g')) BETWEEN 1 AND 16
+  AND upper(regexp_replace(x.s, '[^A-Za-z]', '', 'g')) = regexp_replace(x.s, '[^A-Za-z]', '', 'g') AND len(regexp_extract_all(x.s, '[A-Za-z0-9]+')) <= 3)) AS asked FROM p),
+c AS (SELECT doc_id, image_id, len(pairs) AS n, o, len(list_filter(asked, lambda x: length({_KEY.format("x.s")}) >= 4 AND {_KEY.format("x.s")} <> {_KEY.format("x.t")} AND contains(hay, {_KEY.format("x.s")}))) AS residual,
+  len(list_filter(asked, lambda x: length({_KEY.format("x.t")}) >= 4 AND NOT contains(hay, {_KEY.format("x.t")}))) AS missing FROM h),
+r AS (SELECT doc_id, image_id, n > 0 AND len(o) > 0 AS readable, residual, missing, CASE WHEN n = 0 THEN 'translation_mapping_missing' WHEN o IS NULL THEN 'post_generation_ocr_failed' WHEN len(o) = 0 THEN 'post_generation_ocr_empty'
+  WHEN residual > 0 THEN 'residual_source_text' WHEN missing > 0 THEN 'missing_target_text' END AS reason FROM c)
+SELECT doc_id, image_id, CASE WHEN reason IS NULL THEN 'passed' ELSE 'failed' END AS status, reason, CASE WHEN readable THEN residual ELSE 0 END::INT AS residual, CASE WHEN readable THEN missing ELSE 0 END::INT AS missing FROM r""")
+def quality_status(spark, d):
+    """The verdict on every localized image, by exact comparison."""
+    v = Q.output_gate(rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations", "output_texts"), fuzzy=False)
+    return v.select("doc_id", "image_id", "status", "reason", F.size("residual").alias("residual"), F.size("missing").alias("missing"))
+
+
 @query()
 def quality_fuzzy(spark, d):
-    """Residual and missing texts by fuzzy comparison."""
+    """The verdict with residual and missing texts, by fuzzy comparison."""
     return Q.output_gate(rows(spark, d, "validations", "doc_id", "image_id", "expected_texts", "expected_translations", "output_texts"))
 
 
@@ -492,9 +525,15 @@ def fitted_outputs(spark, d):
 _ALIAS = ", ".join(f"('{a}', '{c}')" for a, c in X.ALIASES.items())
 
 
-@query(f"SELECT doc_id, source_lang, s.code AS source_code, t.code AS target_code FROM doc_meta LEFT JOIN (VALUES {_ALIAS}) s(a, code) ON s.a = lower(trim(source_lang)) LEFT JOIN (VALUES {_ALIAS}) t(a, code) ON t.a = lower(trim(target_lang))")
+_ATTRIBUTES = ", ".join(str((a, c, *X.LANGUAGES[c])) for a, c in X.ALIASES.items())
+
+
+@query(f"""
+SELECT doc_id, source_lang, s.code AS source_code, s.name AS source_name, s.tag AS source_tag, s.tesseract AS source_tesseract, s.paddle AS source_paddle, t.code AS target_code FROM doc_meta
+LEFT JOIN (VALUES {_ATTRIBUTES}) s(a, code, name, tag, tesseract, paddle) ON s.a = lower(trim(source_lang)) LEFT JOIN (VALUES {_ALIAS}) t(a, code) ON t.a = lower(trim(target_lang))""")
 def document_languages(spark, d):
-    return table(spark, d, "doc_meta").select("doc_id", "source_lang", X.supported_language(F.col("source_lang")).alias("source_code"), X.supported_language(F.col("target_lang")).alias("target_code"))
+    own = X.language(F.col("source_lang"))
+    return table(spark, d, "doc_meta").select("doc_id", "source_lang", *(own[k].alias(f"source_{k}") for k in ("code", *X.LANGUAGE_FIELDS)), X.supported_language(F.col("target_lang")).alias("target_code"))
 
 
 @query(f"SELECT doc_id, source_lang FROM doc_meta WHERE lower(trim(source_lang)) NOT IN (SELECT a FROM (VALUES {_ALIAS}) s(a, code))")
