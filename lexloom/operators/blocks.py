@@ -70,6 +70,27 @@ def max_chars() -> Column:
     return F.when(F.col("layout.position").isNotNull() & (size > 0), per_line * lines)
 
 
+def with_terms(blocks: DataFrame, glossary: list[tuple[str, str]] = ()) -> DataFrame:
+    """`term_hits` of each block: the first place of every glossary term, in the order of the glossary, which the caller bounds."""
+    found = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("preferred"), (F.instr(F.lower("source_text"), t.lower()) - 1).cast("int").alias("start")) for t, p in glossary))
+    hits = F.transform(F.filter(found, lambda x: x["start"] >= 0), lambda x: F.struct(x["term"].alias("term"), x["preferred"].alias("preferred"), x["start"].alias("start"), (x["start"] + F.length(x["term"])).alias("end")))
+    return blocks.withColumn("term_hits", F.coalesce(hits, F.array()) if glossary else F.array().cast("array<struct<term:string,preferred:string,start:int,end:int>>"))
+
+
+def with_limits(blocks: DataFrame) -> DataFrame:
+    """`constraints` of each block with `max_chars` worked out from its box, where that is known; other limits stay, or are those of a block without any."""
+    have = dict(blocks.dtypes).get("constraints", "")
+    old = lambda k, v: F.coalesce(F.col(f"constraints.{k}"), F.lit(v)) if f"{k}:" in have else F.lit(v)
+    own = F.struct(F.coalesce(max_chars().cast("int"), old("max_chars", None).cast("int")).alias("max_chars"), old("can_shrink_font", True).alias("can_shrink_font"), old("min_font_size", 8.0).alias("min_font_size"), old("max_lines", None).cast("int").alias("max_lines"))
+    return blocks.withColumn("constraints", own)
+
+
+def enriched(blocks: DataFrame, glossary: list[tuple[str, str]] = ()) -> DataFrame:
+    """Roles, glossary hits and limits filled in, in this order and one pass."""
+    b = with_roles(blocks).withColumn("semantic_role", F.col("role")).drop("role", "slide")
+    return b.transform(with_terms, glossary).transform(with_limits)
+
+
 def batches(blocks: DataFrame, size: int) -> DataFrame:
     """(doc_id, id, ord, batch): translatable blocks of a document in runs of `size`."""
     if size <= 0:

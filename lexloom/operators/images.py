@@ -100,3 +100,8 @@ def slide_number(c: Column) -> Column:
 
 def translatable_regions(regions: DataFrame) -> DataFrame:
     return regions.where(F.col("translatable") & not_blank(F.col("source_text")))
+
+
+def of_slides(images: DataFrame, slides: list[int]) -> DataFrame:
+    """Images whose id names one of these slides, counted from one; all where the list is empty."""
+    return images.where(slide_number(F.col("id")).isin(slides)) if slides else images

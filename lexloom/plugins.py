@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import pseudo_translation
+from lexloom.operators import blocks, rasters
 from lexloom.sources.documents import PARSERS, RENDERERS
 
 KINDS = ("parser", "renderer", "enricher", "translation", "ocr", "inpaint", "image")
@@ -66,11 +67,20 @@ def sample_regions(df: DataFrame, **_) -> DataFrame:
     return df.select("doc_id", F.col("id").alias("image_id"), F.lit("reg1").alias("id"), box.alias("bbox"), F.when(name == "", "Sample").otherwise(name).alias("source_text"))
 
 
+def surrounding_fill(df: DataFrame, regions: DataFrame, **_) -> DataFrame:
+    """Images of Spark's image source (doc_id, image_id, image) with the erase boxes of `regions` filled by the colour around them."""
+    return rasters.erased_images(df, regions)
+
+
 for _k, _v in PARSERS.items():
     register("parser", _k, _v)
 for _k, _v in RENDERERS.items():
     register("renderer", _k, _v)
 register("translation", "mock", dry_run)
 register("ocr", "mock", sample_regions)
+register("inpaint", "pillow", surrounding_fill)
+register("enricher", "roles", blocks.with_roles)
+register("enricher", "glossary", blocks.with_terms)
+register("enricher", "constraints", blocks.with_limits)
 for _k, _n in (("translation", "openai"), ("translation", "deepl"), ("ocr", "tesseract"), ("ocr", "paddle"), ("ocr", "cloud_vision"), ("inpaint", "opencv"), ("inpaint", "lama"), ("image", "gemini")):
     register(_k, _n, unavailable(_n))

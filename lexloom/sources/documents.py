@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lexloom.functions.text import language
 from lexloom.sources import office, webpages
 from lexloom.sources.schemas import BLOCKS, DOCUMENTS, IMAGES, VERSION
 
@@ -56,20 +58,30 @@ def images_of(files: DataFrame) -> DataFrame:
     return _parsed(files, IMAGES, lambda d, fields, blocks, images, error: [x | {"doc_id": d["doc_id"], "ord": i} for i, x in enumerate(images)])
 
 
-def rendered(files: DataFrame, blocks: DataFrame) -> DataFrame:
+def rendered(files: DataFrame, blocks: DataFrame, images: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
     """(doc_id, path, doc_type, content, error): every file with the targets of its blocks put in; null targets leave the text.
 
-    The targets of one document travel together with its bytes; documents are independent of each other.
+    `images` (doc_id, id, content) replaces pictures, null contents none; `languages` (doc_id, target_lang) marks the new texts as of a language. Blocks with
+    `constraints` say which texts may shrink, and how far. What belongs to one document travels together with its bytes; documents are independent.
     """
-    todo = blocks.where("target_text is not null").groupBy("doc_id").agg(F.collect_list(F.struct("id", "target_text")).alias("todo"))
-    j = files.select("doc_id", "path", "doc_type", "content").join(todo, "doc_id", "left")
+    limits = F.col("constraints") if "constraints" in blocks.columns else F.lit(None)
+    todo = blocks.where("target_text is not null").select("doc_id", "id", "target_text", F.to_json(limits).alias("limits") if "constraints" in blocks.columns else F.lit(None).cast("string").alias("limits"))
+    j = files.select("doc_id", "path", "doc_type", "content").join(todo.groupBy("doc_id").agg(F.collect_list(F.struct("id", "target_text", "limits")).alias("todo")), "doc_id", "left")
+    none = {"pictures": "array<struct<id:string,content:binary>>", "tag": "string"}
+    if images is not None:
+        j = j.join(images.where("content is not null").groupBy("doc_id").agg(F.collect_list(F.struct("id", "content")).alias("pictures")), "doc_id", "left")
+    if languages is not None:
+        j = j.join(languages.select("doc_id", F.coalesce(language(F.col("target_lang"))["tag"], F.col("target_lang")).alias("tag")), "doc_id", "left")
+    j = j.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in j.columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             content, error = [], []
             for d in b.to_pylist():
                 try:
-                    content.append(RENDERERS[d["doc_type"]](d["content"], {x["id"]: x["target_text"] for x in d["todo"] or []}))
+                    todo = d["todo"] or []
+                    args = {x["id"]: x["target_text"] for x in todo}, {x["id"]: x["content"] for x in d["pictures"] or []}
+                    content.append(RENDERERS[d["doc_type"]](d["content"], *args, d["tag"], {x["id"]: json.loads(x["limits"]) for x in todo if x["limits"]}))
                     error.append(None)
                 except Exception as e:
                     content.append(None)
@@ -86,8 +98,8 @@ def download_name() -> Column:
 
 
 def glossary(spark: SparkSession, path: str) -> DataFrame:
-    """(term, preferred) of a glossary in CSV: rows with two columns and a term, trimmed; of equal terms the last row counts."""
-    lines = spark.read.schema("term string, preferred string").option("mode", "PERMISSIVE").csv(path).withColumn("n", F.monotonically_increasing_id())
+    """(term, preferred) of a glossary in CSV: rows with two columns and a term, trimmed; of equal terms the last row counts, of several files the last in the order of their names."""
+    lines = spark.read.schema("term string, preferred string").option("mode", "PERMISSIVE").csv(path).withColumn("n", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("k")))
     kept = lines.where("trim(term) != '' and preferred is not null").select(F.trim("term").alias("term"), F.trim("preferred").alias("preferred"), "n")
     return kept.groupBy("term").agg(F.max_by("preferred", "n").alias("preferred"))
 

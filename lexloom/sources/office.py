@@ -7,9 +7,13 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape, quoteattr
 
+from lexloom.functions import png
+from lexloom.functions.fonts import fitted_size
 from lexloom.sources.schemas import block, font
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -21,6 +25,48 @@ XML = "{http://www.w3.org/XML/1998/namespace}"
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "emf": "image/emf", "wmf": "image/wmf"}
 
 
+# EMU of a point, margins of a text frame that states none, sizes in points where a text or its limits state none, and the face of Chinese text.
+EMU_PER_POINT, MARGINS = 12700, {"lIns": 91440, "rIns": 91440, "tIns": 45720, "bIns": 45720}
+USUAL_SIZE, LEAST_SIZE, LEAST_PIXELS, EAST_ASIAN = 32.0, 8.0, 4, "Microsoft YaHei"
+#: Parts of a side, in hundred-thousandths, from which a picture counts as cropped.
+CROPPED = 1
+
+
+def as_xml(root: ET.Element, declared: list[tuple[str, str]]) -> bytes:
+    """The tree as a file. All namespaces that the file `declared` are declared at its root under their own prefixes, used or not, as attributes like mc:Ignorable
+    name prefixes in their values."""
+    uri_of: dict[str, str] = {"xml": XML[1:-1]}
+    for prefix, uri in declared:
+        uri_of.setdefault(prefix, uri)
+    names = {uri: prefix for prefix, uri in reversed(uri_of.items())}
+    for e in root.iter():
+        for tag in (e.tag, *e.attrib):
+            uri, _, _ = tag[1:].partition("}") if tag[0] == "{" else ("", "", "")
+            if uri and (uri not in names or (not names[uri] and tag != e.tag)):
+                names[uri] = next(f"x{i}" for i in range(len(uri_of) + 1) if f"x{i}" not in uri_of)
+                uri_of[names[uri]] = uri
+    short = lambda tag: ":".join(x for x in (names[tag[1:].partition("}")[0]], tag.partition("}")[2]) if x) if tag[0] == "{" else tag
+    # Line ends and tabs in attributes would come back as blanks.
+    value = lambda v: quoteattr(v, {"\n": "&#10;", "\r": "&#13;", "\t": "&#9;"})
+    out = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n']
+    todo: list[ET.Element | str] = [root]
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str):
+            out.append(e)
+            continue
+        own = "".join(f" xmlns{':' * bool(p)}{p}={value(u)}" for p, u in uri_of.items() if p != "xml") if e is root else ""
+        out.append(f"<{short(e.tag)}{own}{''.join(f' {short(k)}={value(v)}' for k, v in e.attrib.items())}")
+        todo.append(escape(e.tail or "", {"\r": "&#13;"}) if e is not root else "")
+        if len(e) or e.text:
+            out.append(f">{escape(e.text or '', {chr(13): '&#13;'})}")
+            todo.append(f"</{short(e.tag)}>")
+            todo += reversed(e)
+        else:
+            out.append("/>")
+    return "".join(out).encode()
+
+
 class Package:
     """A zip of XML parts with relations; changed parts are kept until `saved`."""
 
@@ -28,14 +74,13 @@ class Package:
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = set(self.zip.namelist())
         self.trees: dict[str, ET.Element] = {}
+        self.declared: dict[str, list[tuple[str, str]]] = {}
         self.changed: dict[str, bytes | None] = {}
 
     def root(self, part: str) -> ET.Element:
         if part not in self.trees:
             raw = self.zip.read(part)
-            for _, (prefix, uri) in ET.iterparse(io.BytesIO(raw), ("start-ns",)):
-                if not re.fullmatch(r"ns\d+", prefix):
-                    ET.register_namespace(prefix, uri)
+            self.declared[part] = [ns for _, ns in ET.iterparse(io.BytesIO(raw), ("start-ns",))]
             self.trees[part] = ET.fromstring(raw)
         return self.trees[part]
 
@@ -58,7 +103,7 @@ class Package:
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for i in self.zip.infolist():
                 new = self.changed.get(i.filename, b"")
-                data = self.zip.read(i.filename) if i.filename not in self.changed else new if new is not None else ET.tostring(self.trees[i.filename], encoding="UTF-8", xml_declaration=True)
+                data = self.zip.read(i.filename) if i.filename not in self.changed else new if new is not None else as_xml(self.trees[i.filename], self.declared[i.filename])
                 z.writestr(i, data, compress_type=i.compress_type)
         return out.getvalue()
 
@@ -158,7 +203,7 @@ def parse_docx(content: bytes) -> tuple[dict, list[dict], list[dict]]:
     return {"title": title or None}, out, images
 
 
-def render_docx(content: bytes, targets: dict[str, str], images: dict[str, bytes] | None = None) -> bytes:
+def render_docx(content: bytes, targets: dict[str, str], images: dict[str, bytes] | None = None, lang: str | None = None, limits: dict[str, dict] | None = None) -> bytes:
     """The document with new texts and image contents by block id; the first run of a paragraph takes the text, the others are emptied."""
     package = Package(content)
     _, blocks, _ = parse_docx(content)
@@ -224,8 +269,14 @@ def _role(shape: ET.Element) -> str | None:
     return {"title": "title", "ctrTitle": "title", "subTitle": "subtitle", "body": "body"}.get(ph.get("type", "")) if ph is not None else None
 
 
-def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str]]:
-    """(block, its paragraphs, their part) of every block of a presentation; a picture has no paragraph."""
+def _crop(picture: ET.Element) -> ET.Element | None:
+    """What crops a picture, if anything does."""
+    rect = next(picture.iter(A + "srcRect"), None)
+    return rect if rect is not None and any(abs(int(v)) > CROPPED for k, v in rect.attrib.items() if k in "ltrb") else None
+
+
+def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str, ET.Element]]:
+    """(block, its paragraphs, their part, its shape) of every block of a presentation; a picture has no paragraph."""
     for s, part in enumerate(_slides(package)):
         rels = package.relations(part)
         for shape in _shapes(package.root(part).find(f"{P}cSld/{P}spTree")):
@@ -237,7 +288,7 @@ def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str]]:
                 rel = blip.get(R + "embed") if blip is not None else None
                 if rel in rels and rels[rel][1] in package.names:
                     id_ = f"s{s}-sh{number}-img"
-                    yield block(id_, "image", "", [], translatable=False, layout=place, kind="image_region", image_id=id_, region_id=rels[rel][1], **where), [], part
+                    yield block(id_, "image", "", [], translatable=False, layout=place, kind="image_region", image_id=id_, region_id=rels[rel][1], **where), [], part, shape
                 continue
             table = next(shape.iter(A + "tbl"), None)
             if table is not None:
@@ -246,7 +297,7 @@ def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str]]:
                         for i, p in enumerate(cell.findall(f"{A}txBody/{A}p")):
                             runs = _a_runs(p)
                             if (text := "".join(x["text"] for x in runs)).strip():
-                                yield block(f"s{s}-sh{number}-r{r}-c{c}-p{i}", "table_cell", text, runs, layout=place, paragraph_index=i, row=r, col=c, **where), [p], part
+                                yield block(f"s{s}-sh{number}-r{r}-c{c}-p{i}", "table_cell", text, runs, layout=place, paragraph_index=i, row=r, col=c, **where), [p], part, shape
                 continue
             link = next(shape.iter(D + "relIds"), None)
             if link is not None and link.get(R + "dm") in rels and rels[link.get(R + "dm")][1] in package.names:
@@ -256,7 +307,7 @@ def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str]]:
                     if text.strip():
                         key = point.get("modelId") or f"pt{i}"
                         runs = [x for p in point.iter(A + "p") for x in _a_runs(p)]
-                        yield block(f"s{s}-sh{number}-sa{key}", "smartart", text, runs, layout=place, region_id=key, **where), list(point.iter(A + "p")), data
+                        yield block(f"s{s}-sh{number}-sa{key}", "smartart", text, runs, layout=place, region_id=key, **where), list(point.iter(A + "p")), data, shape
                 continue
             body = shape.find(P + "txBody")
             if body is not None:
@@ -265,7 +316,7 @@ def _texts(package: Package) -> Iterator[tuple[dict, list[ET.Element], str]]:
                 for i, p in enumerate(ps):
                     runs = _a_runs(p)
                     if (text := "".join(x["text"] for x in runs)).strip():
-                        yield block(f"s{s}-sh{number}-p{i}", role or "shape_text", text, runs, role, layout=place | {"base_font": base}, kind="shape_text", paragraph_index=i, **where), [p], part
+                        yield block(f"s{s}-sh{number}-p{i}", role or "shape_text", text, runs, role, layout=place | {"base_font": base}, kind="shape_text", paragraph_index=i, **where), [p], part, shape
 
 
 def parse_pptx(content: bytes) -> tuple[dict, list[dict], list[dict]]:
@@ -273,24 +324,86 @@ def parse_pptx(content: bytes) -> tuple[dict, list[dict], list[dict]]:
     package = Package(content)
     size = package.root("ppt/presentation.xml").find(P + "sldSz")
     out, images = [], []
-    for b, _, _ in _texts(package):
+    for b, _, _, shape in _texts(package):
         out.append(b)
         if b["type"] == "image":
-            data = package.zip.read(b["source_ref"]["region_id"])
-            w, h = image_size(data)
-            images.append({"id": b["id"], "media_type": MEDIA.get(b["source_ref"]["region_id"].rsplit(".", 1)[-1].lower(), "image/png"), "width": w, "height": h, "content": data})
+            part = b["source_ref"]["region_id"]
+            data, crop = package.zip.read(part), _crop(shape)
+            shown = visible(data, {k: int(crop.get(k, 0)) / 100_000 for k in "ltrb"}) if crop is not None else None
+            w, h = image_size(shown or data)
+            images.append({"id": b["id"], "media_type": MEDIA.get(part.rsplit(".", 1)[-1].lower(), "image/png"), "width": w, "height": h, "content": shown or data, "reset_crop_on_render": shown is not None})
     fields = {"slide_width": int(size.get("cx")), "slide_height": int(size.get("cy"))} if size is not None else {}
     return fields | {"title": next((b["source_text"] for b in out if b["type"] == "title"), None)}, out, images
 
 
-def render_pptx(content: bytes, targets: dict[str, str], images: dict[str, bytes] | None = None, lang: str | None = None) -> bytes:
-    """The presentation with new texts and picture contents by block id. Targets equal to their source are left alone; a
-    diagram point gets a paragraph for each line; a picture's crop is dropped with its content."""
-    package = Package(content)
-    for b, ps, part in _texts(package):
+def visible(data: bytes, crop: dict[str, float]) -> bytes | None:
+    """A PNG without what is cropped (shares of the left, top, right and bottom side); None for another file or a crop that adds margins."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or min(crop.values()) < 0:
+        return None
+    try:
+        return png.encode(png.visible_part(png.decode(data), crop["l"], crop["t"], crop["r"], crop["b"]))
+    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+        return None
+
+
+def _properties(run: ET.Element) -> ET.Element:
+    pr = run.find(A + "rPr")
+    if pr is None:
+        pr = ET.Element(A + "rPr")
+        run.insert(0, pr)
+    return pr
+
+
+def _tagged(run: ET.Element, lang: str) -> None:
+    """The run marked as of a language, Chinese with a face of its own."""
+    pr = _properties(run)
+    pr.set("lang", lang)
+    if lang.startswith("zh") and pr.find(A + "ea") is None:
+        # The schema wants the faces in this order behind fill and line.
+        before = [i for i, x in enumerate(pr) if x.tag in (A + "cs", A + "sym", A + "hlinkClick", A + "hlinkMouseOver", A + "rtl", A + "extLst")]
+        pr.insert(before[0] if before else len(pr), ET.Element(A + "ea", {"typeface": EAST_ASIAN}))
+
+
+def _fitted(shape: ET.Element, b: dict, limits: dict) -> None:
+    """The text of a shape made as large as fits its box, up to the size it had."""
+    body, box = shape.find(P + "txBody"), b["layout"]["position"]
+    frame = body.find(A + "bodyPr")
+    if frame is None:
+        frame = ET.Element(A + "bodyPr")
+        body.insert(0, frame)
+    frame.set("wrap", "square")
+    for x in [x for x in frame if x.tag in (A + "noAutofit", A + "normAutofit", A + "spAutoFit")]:
+        frame.remove(x)
+    frame.insert(1 if len(frame) and frame[0].tag == A + "prstTxWarp" else 0, ET.Element(A + "normAutofit"))
+    text = "\n".join("".join(t.text or "" for t in p.iter(A + "t")) for p in body.findall(A + "p"))
+    if box is None or not text.strip():
+        return
+    margin = {k: int(frame.get(k, v)) for k, v in MARGINS.items()}
+    pixels = lambda emu: max(1, round(emu / EMU_PER_POINT * 96 / 72))
+    size = next((r["font"]["size"] for r in b["runs"] if r["font"]["size"]), None) or b["layout"]["base_font"]["size"] or USUAL_SIZE
+    most = max(1, round(size * 96 / 72))
+    least = min(most, max(LEAST_PIXELS, round((limits.get("min_font_size") or LEAST_SIZE) * 96 / 72)))
+    best = fitted_size(text, pixels(box["w"] - margin["lIns"] - margin["rIns"]), pixels(box["h"] - margin["tIns"] - margin["bIns"]), most, least)
+    for r in body.iter(A + "r"):
+        if r.findtext(A + "t"):
+            _properties(r).set("sz", str(round(best * 72 / 96 * 100)))
+
+
+def render_pptx(content: bytes, targets: dict[str, str], images: dict[str, bytes] | None = None, lang: str | None = None, limits: dict[str, dict] | None = None) -> bytes:
+    """The presentation with new texts and picture contents by block id.
+
+    Targets equal to their source are left alone; a diagram point gets a paragraph for each line. Runs are marked as of `lang`. The text of a shape is fitted to its
+    box, unless its block's `limits` say that it can't shrink. A picture whose content was cut to its visible part loses its crop with its content.
+    """
+    package, changed = Package(content), {}
+    for b, ps, part, shape in _texts(package):
         if b["type"] == "image":
             if b["id"] in (images or {}):
                 package.changed[b["source_ref"]["region_id"]] = images[b["id"]]
+                if (crop := _crop(shape)) is not None and visible(package.zip.read(b["source_ref"]["region_id"]), {k: int(crop.get(k, 0)) / 100_000 for k in "ltrb"}) is not None:
+                    for k in [k for k in crop.attrib if k in "ltrb"]:
+                        del crop.attrib[k]
+                    package.changed[part] = None
             continue
         if b["id"] not in targets or targets[b["id"]] == b["source_text"]:
             continue
@@ -302,10 +415,10 @@ def render_pptx(content: bytes, targets: dict[str, str], images: dict[str, bytes
                 t = ET.SubElement(r, A + "t") if t is None else t
                 t.text = ("\n".join(lines[k:]) if k == len(ps) - 1 else lines[k] if k < len(lines) else "") if i == 0 else ""
                 if lang:
-                    pr = r.find(A + "rPr")
-                    if pr is None:
-                        pr = ET.Element(A + "rPr")
-                        r.insert(0, pr)
-                    pr.set("lang", lang)
+                    _tagged(r, lang)
         package.changed[part] = None
+        if b["source_ref"]["kind"] == "shape_text" and (limits or {}).get(b["id"], {}).get("can_shrink_font", True):
+            changed.setdefault(id(shape), (shape, b, (limits or {}).get(b["id"], {})))
+    for shape, b, own in changed.values():
+        _fitted(shape, b, own)
     return package.saved()

@@ -9,7 +9,7 @@ RUNS = f"array<struct<text:string,font:{FONT},lang:string>>"
 LAYOUT = f"struct<slide_index:int,shape_id:bigint,page_index:int,element_id:string,position:{BOX},base_font:{FONT},wrap:boolean,autofit:string>"
 REF = "struct<kind:string,slide_index:int,shape_id:bigint,paragraph_index:int,run_index:int,row:int,col:int,image_id:string,region_id:string>"
 BLOCKS = f"doc_id string, ord bigint, id string, type string, semantic_role string, runs {RUNS}, source_text string, target_text string, translatable boolean, layout {LAYOUT}, source_ref {REF}"
-IMAGES = "doc_id string, ord bigint, id string, media_type string, width int, height int, content binary"
+IMAGES = "doc_id string, ord bigint, id string, media_type string, width int, height int, reset_crop_on_render boolean, content binary"
 DOCUMENTS = "doc_id string, path string, doc_type string, title string, slide_width bigint, slide_height bigint, schema_version string, error string"
 BLOCK_TYPES = ("title", "subtitle", "body", "shape_text", "table_cell", "heading", "paragraph", "list_item", "smartart", "image")
 ROUTES = ("whole_image", "region", "skip", "reuse", "review")

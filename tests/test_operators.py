@@ -122,6 +122,68 @@ def test_text_functions(spark):
     assert [r[0] for r in n] == [["a", "y"], ["a"]]
 
 
+def test_languages_have_five_attributes(spark):
+    d = spark.createDataFrame([("en-US",), ("DE-de",), ("zh-Hans",), (" zh_hans ",), ("fr",), ("english",), (None,)], "l string").select(X.language(F.col("l")).alias("x"))
+    got = [r.x and tuple(r.x) for r in d.collect()]
+    zh = ("zh", "Simplified Chinese (zh-CN)", "zh-CN", "chi_sim+eng", "ch")
+    assert got == [("en", "English", "en-US", "eng", "en"), ("de", "German (de-DE)", "de-DE", "deu+eng", "german"), zh, zh, None, None, None]
+
+
+def test_answers_of_recognisers_and_engines(spark):
+    rows = [('```json\n[{"text": "a"}]\n```',), ('{"regions": [{"text": "b"}, {"text": "c"}]}',), ("so: [1, 2] is it",), ("nothing",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "c string").select(X.json_objects(F.col("c"))).collect()] == [['{"text":"a"}'], ['{"text":"b"}', '{"text":"c"}'], ["1", "2"], [], []]
+    lines = spark.createDataFrame([("- one\n\n- 'two'", ["x", "y"]), ("one", ["x", "y"])], "c string, f array<string>").select(X.lines_or(F.col("c"), F.col("f"))).collect()
+    assert [r[0] for r in lines] == [["one", "two"], ["x", "y"]]
+
+
+def test_failed_recognition_goes_to_review(spark):
+    from lexloom.operators import images as I
+
+    s = "doc_id string, image_id string, content_hash string, display_area_ratio double, text_chars int, alpha_chars int, word_count int, meaningful_word_count int, lexical_word_ratio double, line_count int, mean_confidence double"
+    rows = [("d", "a", None, None, None, None, None, None, None, None, None), ("d", "b", None, None, 40, 40, 9, 9, 0.9, 3, None), ("d", "tiny", None, None, None, None, None, None, None, None, None), ("d", "rich", None, None, 90, 80, 12, 10, 0.8, 4, 90.0)]
+    i = spark.createDataFrame([("d", x, k, *((30, 30) if x == "tiny" else (800, 600))) for k, x in enumerate(("a", "b", "tiny", "rich"))], "doc_id string, id string, ord long, width int, height int")
+    got = {r.image_id: (r.route, r.reason) for r in I.routes(spark.createDataFrame(rows, s), i).collect()}
+    assert got == {"a": ("review", "local_ocr_unavailable"), "b": ("review", "local_ocr_unavailable"), "tiny": ("skip", "too_small"), "rich": ("whole_image", "text_rich_graphic")}
+
+
+def test_output_gate(spark):
+    from lexloom.operators import quality as Q
+
+    s = "doc_id string, image_id string, expected_texts array<string>, expected_translations array<string>, output_texts array<string>"
+    e, t = ["Die Falle", "Hohe Fehlerquote", "SAP"], ["The Trap", "High Error Rate", "SAP"]
+    rows = [("d", "both", e, t, ["Die Falle", "High Error Rate"]), ("d", "fine", e, t, ["The Trap", "High Error Rate"]), ("d", "gone", e, t, ["The Trap"]), ("d", "none", [], t, ["x"]), ("d", "failed", e, t, None), ("d", "blank", e, t, [" "]), ("d", "near", e, t, ["The Trap", "High Errar Rate"])]
+    df = spark.createDataFrame(rows, s)
+    want = {"both": ("residual_source_text", ["Die Falle"], ["The Trap"]), "fine": (None, [], []), "gone": ("missing_target_text", [], ["High Error Rate"]), "none": ("translation_mapping_missing", [], []), "failed": ("post_generation_ocr_failed", [], []), "blank": ("post_generation_ocr_empty", [], [])}
+    for fuzzy in (True, False):
+        got = {r.image_id: (r.reason, r.residual, r.missing) for r in Q.output_gate(df, fuzzy).collect()}
+        assert got.pop("near") == ((None, [], []) if fuzzy else ("missing_target_text", [], ["High Error Rate"])) and got == want
+
+
+def test_enrichers_and_fills_are_registered(spark):
+    from lexloom import plugins
+
+    assert {"roles", "glossary", "constraints"} <= set(plugins.available("enricher")) and "pillow" in plugins.available("inpaint")
+    b = B.enriched(blocks(spark, [row(1, "The data model", "x", box=(0, 0, 9144000, 500000))]), [("Data Model", "Datenmodell"), ("absent", "-")]).first()
+    assert b.semantic_role == "title" and [tuple(h) for h in b.term_hits] == [("Data Model", "Datenmodell", 4, 14)] and b.constraints.max_chars > 0 and b.constraints.can_shrink_font
+
+
+def test_styles_read_alike(spark):
+    from lexloom.sources.webpages import style_font
+
+    css = ["font-size: 12.5px; color:#abc;font-weight:700; FONT-STYLE: Italic; font-family: 'Noto Sans', serif", "background-color:#112233;font-weight:600", "", "color: red; font-weight: bolder; color:#A1B2C3"]
+    got = [r.f.asDict() for r in spark.createDataFrame([(c,) for c in css], "s string").select(X.style_font(F.col("s")).alias("f")).collect()]
+    assert got == [{k: style_font(c)[k] for k in ("name", "size", "color", "bold", "italic")} for c in css]
+
+
+def test_duplicates_and_reuse(spark):
+    from lexloom.operators import images as I
+
+    s = spark.createDataFrame([("d", "a", "h", None), ("d", "b", "h", "a"), ("d", "c", None, None), ("e", "a", "h", None)], "doc_id string, image_id string, content_hash string, duplicate_of string")
+    i = spark.createDataFrame([("d", "a", 0, "a-de.png"), ("d", "b", 1, None), ("d", "c", 2, None), ("e", "a", 0, None)], "doc_id string, id string, ord long, localized_data_ref string")
+    assert [tuple(r) for r in I.exact_duplicates(s, i).collect()] == [("d", "b", "a")] and [tuple(r) for r in I.reuse(s, i).collect()] == [("d", "b", "a-de.png")]
+    assert {r.id for r in I.of_slides(spark.createDataFrame([("s0-sh1",), ("s1-sh1",), ("x",)], "id string"), [2]).collect()} == {"s1-sh1"}
+
+
 def test_fuzzy_presence():
     assert text_present("Quarterly results", ["Quarterly resuIts"])
     assert text_present("ab", []) and not text_present("Quarterly", ["something else"])
