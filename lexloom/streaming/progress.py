@@ -28,10 +28,12 @@ def latest_into(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQue
         from lexloom.operators.progress import latest_rows
 
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(f"{folder}/n={number - 1}")
-        except Exception:
-            known = batch.limit(0)
-        latest_rows(known.unionByName(batch.select(*known.columns))).write.mode("overwrite").parquet(f"{folder}/n={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        # Only the first batch has nothing before it; a state that is missing or can't be read later fails the stream.
+        now = latest_rows(spark.read.parquet(f"{folder}/n={number - 1}").unionByName(batch) if number else batch)
+        now.write.mode("overwrite").parquet(f"{folder}/n={number}")
+        # The state before stays for a batch that is run again; older ones are dropped.
+        files.delete(path(f"{folder}/n={number - 2}"), True)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
