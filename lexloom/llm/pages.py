@@ -555,24 +555,35 @@ def read(rows: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for b in bounded(batches, "text"):
-            out: list[tuple] = []
             texts_ = b.column("text").to_pylist()
-            for r, t, found in zip(b.column("ref").to_pylist(), texts_, furniture_lines(texts_, model.value), strict=True):
+            words, places, counts, broken = [], [], [], []
+            lines, keys, numbers, titles = [], [], [], []
+            for i, (t, found) in enumerate(zip(texts_, furniture_lines(texts_, model.value), strict=True)):
                 if found:
-                    drop, lines = set(found), t.split("\n")
-                    out.append((r, "furniture", None, None, None, None, None))
-                    for i in found:
-                        ks, ws = line_keys(lines[i]), re.findall(r"[^\W\d_]+", lines[i].lower())
-                        out += [(r, "key", k, f, None, None, None) for k, f in zip(ks, ["", *ws], strict=False)]
-                    t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-                out += [(r, "token", *k, n) for k, n in Counter(known.of(t)).items()]
-                for number in inline_numbers(t):
-                    out.append((r, "number", number, None, None, None, None))
+                    drop, ls = set(found), t.split("\n")
+                    lines.append(i)
+                    for j in found:
+                        ks, ws = line_keys(ls[j]), re.findall(r"[^\W\d_]+", ls[j].lower())
+                        keys += [(i, k, f) for k, f in zip(ks, ["", *ws], strict=False)]
+                    t = "\n".join(x for j, x in enumerate(ls) if j not in drop)
+                own = Counter(known.of(t))
+                for token, n in own.items():
+                    if token[1] is None:
+                        words.append(token[0])
+                        places.append(i)
+                        counts.append(n)
+                    else:
+                        broken.append((i, *token, n))
+                numbers += [(i, x) for x in inline_numbers(t)]
                 if "\n" not in t.strip():
-                    out += [(r, "title", k, g, None, None, None) for g in set(title_grams(t.strip())) for k in line_keys(g)]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.string()] * 6 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["ref", "kind", "token", "a", "b", "hyphen", "n"])
+                    titles += [(i, k, g) for g in set(title_grams(t.strip())) for k in line_keys(g)]
+            refs = b.column("ref")
+            for kind, cols in (("token", [places, words, None, None, None, counts]), ("token", list(zip(*broken, strict=True))), ("furniture", [lines]), ("key", list(zip(*keys, strict=True))), ("number", list(zip(*numbers, strict=True))), ("title", list(zip(*titles, strict=True)))):
+                if cols and cols[0]:
+                    size, types = len(cols[0]), [pa.string()] * 4 + [pa.int32()]
+                    more = [pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip([*cols[1:], *[None] * (6 - len(cols))], types, strict=True)]
+                    kinds = pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int8)), pa.array([kind])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([refs.take(pa.array(cols[0], pa.int64())), kinds, *more], ["ref", "kind", "token", "a", "b", "hyphen", "n"])
 
     return rows.select("ref", "text").mapInArrow(run, READ)
 
