@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import CYRILLIC, GREEK, LATIN, PLAIN_TEXT, TO_LATIN, look, script_of
@@ -27,6 +27,8 @@ from lexloom.operators.lineage import cut_table
 LETTERS = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x180), *range(0x3AC, 0x3CF), *range(0x430, 0x530)]) if script_of(c) and c.lower() == c]
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1
+#: Tasks that the records of one class are spread over.
+SALT = 16
 #: Nats: a change of script between neighbouring tokens, and a letter that the script of a reading lacks.
 SWITCH, LACKING = 4.0, 20.0
 TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
@@ -175,6 +177,15 @@ def letters_and_digits(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
+def _forms(rows: DataFrame, least: int) -> DataFrame:
+    """(ref, raw, form, rewritten): digests of the text and of its consistent form, of records with enough letters and digits."""
+    form = consistent_texts(rows.where(F.col("text").isNotNull()).select("ref", "text"))
+    form = form.where(letters_and_digits(F.col("consistent")) >= least).select(
+        "ref", F.xxhash64("text").alias("raw"), F.unhex(F.md5("consistent")).alias("form"), (F.col("text") != F.col("consistent")).alias("rewritten")
+    )
+    return cut_table(form)
+
+
 def same_look_pairs(rows: DataFrame, least: int = 20) -> DataFrame:
     """(ref_a, ref_b): records of `rows` (ref, text) whose texts look the same and differ in characters.
 
@@ -182,20 +193,38 @@ def same_look_pairs(rows: DataFrame, least: int = 20) -> DataFrame:
     records on a digest of that form; no pair within a group of equal texts is ever made. Null texts and texts with fewer than
     `least` letters and digits give nothing; repeated records count once.
     """
-    form = consistent_texts(rows.where(F.col("text").isNotNull()).select("ref", "text"))
-    form = form.where(letters_and_digits(F.col("consistent")) >= least).select(
-        "ref", F.xxhash64("text").alias("raw"), F.unhex(F.md5("consistent")).alias("form"), (F.col("text") != F.col("consistent")).alias("rewritten")
-    )
-    form = cut_table(form)
+    form = _forms(rows, least)
     odd = form.where("rewritten").select(F.col("ref").alias("ref_1"), F.col("raw").alias("raw_1"), "form").distinct()
     pairs = odd.join(form, "form").where((F.col("raw") != F.col("raw_1")) & (F.col("ref") != F.col("ref_1")))
     return pairs.select(F.least("ref", "ref_1").alias("ref_a"), F.greatest("ref", "ref_1").alias("ref_b")).distinct()
 
 
+def same_look_classes(rows: DataFrame, least: int = 20) -> DataFrame:
+    """(ref, ref_first, text_no, links): each record whose text looks like a different one, with its class's smallest reference, the number of its own
+    spelling within the class, and how many records it is linked to: those of the class with other spellings.
+
+    As many rows as records, whatever the size of a class: classes and spellings are counted before they are joined back, and the records of one class are
+    spread over SALT tasks. Cases as for `same_look_pairs`.
+    """
+    form = _forms(rows, least).select("ref", "raw", "form").distinct()
+    spellings = form.groupBy("form", "raw").agg(F.min("ref").alias("own_first"), F.count("*").alias("own"))
+    classes = spellings.groupBy("form").agg(F.min("own_first").alias("ref_first"), F.sum("own").alias("all"), F.count("*").alias("spellings")).where("spellings > 1")
+    # A class has few spellings, but each may have many records.
+    numbered = spellings.join(classes, "form").withColumn("text_no", F.row_number().over(Window.partitionBy("form").orderBy("own_first")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long")
+    few = numbered.select("form", "raw", "ref_first", "text_no", (F.col("all") - F.col("own")).alias("links"), salts.alias("salt"))
+    return form.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(SALT))).join(few, ["form", "raw", "salt"]).select("ref", "ref_first", "text_no", "links")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(texts(spark, sf_dir, block="source_text", region="source_text"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of `p1_found` as classes: a row for each record that has one, with its class and its number of links."""
+    return same_look_classes(texts(spark, sf_dir, block="source_text", region="source_text"))
+
+
 def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block and region with its consistent text."""
     return consistent_texts(texts(spark, sf_dir, block="source_text", region="source_text")).distinct()

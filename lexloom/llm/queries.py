@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lookalike.p1_found,
+        "p1_classes": lookalike.p1_classes,
         "p1_consistent": lookalike.p1_consistent,
         "p2_found": pages.p2_found,
         "p2_repaired": pages.p2_repaired,

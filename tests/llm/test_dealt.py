@@ -53,6 +53,11 @@ def test_pairs_by_brute_force(spark):
     got = {tuple(r) for r in lookalike.same_look_pairs(texts(spark, rows)).collect()}
     want = {tuple(sorted((f"block:d:{i}", f"block:d:{j}"))) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i] != rows[j] and naive_look(rows[i]) == naive_look(rows[j])}
     assert got == want
+    # The classes hold the same links: a record is linked to those of its class with another spelling.
+    classes = lookalike.same_look_classes(texts(spark, rows)).collect()
+    assert len({r.ref for r in classes}) == len(classes) == len({x for p in want for x in p})
+    assert {tuple(sorted((a.ref, b.ref))) for a, b in itertools.combinations(classes, 2) if a.ref_first == b.ref_first and a.text_no != b.text_no} == want
+    assert all(r.links == sum(r.ref in p for p in want) for r in classes)
 
 
 def test_consistent_text_depends_on_looks_only(spark):
