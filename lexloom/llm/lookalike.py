@@ -211,7 +211,7 @@ def same_look_classes(rows: DataFrame, least: int = 20) -> DataFrame:
     classes = spellings.groupBy("form").agg(F.min("own_first").alias("ref_first"), F.sum("own").alias("all"), F.count("*").alias("spellings")).where("spellings > 1")
     # A class has few spellings, but each may have many records.
     numbered = spellings.join(classes, "form").withColumn("text_no", F.row_number().over(Window.partitionBy("form").orderBy("own_first")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
     few = numbered.select("form", "raw", "ref_first", "text_no", (F.col("all") - F.col("own")).alias("links"), salts.alias("salt"))
     return form.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(SALT))).join(few, ["form", "raw", "salt"]).select("ref", "ref_first", "text_no", "links")
 
