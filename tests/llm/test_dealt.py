@@ -226,11 +226,14 @@ def test_truncation_held_out(spark):
     rng = random.Random(6)
     train, fresh = made_pairs(rng, 1500), made_pairs(rng, 150)
     rows = [(f"r{i}", s, t, 40) for i, (s, t) in enumerate(train)]
+    # Numbers and codes stay as they are: a target that is the whole source is no beginning of it.
+    rows += [(f"code{i}", c, c, None) for i in range(100) for c in (f"{rng.randrange(1000, 9999)}", f"KX-{rng.randrange(100, 999)}")]
     cut = [(f"c{i}", s, t[: rng.randrange(10, len(t) - 3)] + rng.choice(["", "…", "..."]), None) for i, (s, t) in enumerate(fresh)]
     whole = [(f"w{i}", s, rng.choice([t, t[:-1], f"„{t}“", t[:-1] + " …"]), len(t)) for i, (s, t) in enumerate(fresh)]
     df = spark.createDataFrame(rows + cut + whole + [("n", "x", None, 1), ("e", None, "", None), ("p", "x", "...", None)], "ref string, source string, target string, limit int")
     p = {r.ref: r.cut for r in truncation.score_truncation(df.withColumn("cut", F.lit("clash"))).collect()}
     hit, false = (sum(p[f"{k}{i}"] >= truncation.CUT for i in range(150)) for k in "cw")
+    assert all(x < truncation.CUT for k, x in p.items() if k.startswith("code"))
     assert hit >= 143 and false <= 7 and not {"n", "e", "p"} & set(p)
 
 
