@@ -9,7 +9,7 @@ features of `truncation`. The n-grams of a whole batch of pairs are looked up at
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ from lexloom.sources.tables import table
 #: Buckets of the language n-grams, their lengths, and the lengths of the contexts at a text's end.
 GRAM_BITS = 15
 GRAMS, CONTEXTS = (2, 3, 4), (2, 4, 6, 9)
-#: Contexts that the model holds, the most frequent ones (16 bytes each); a context beyond them counts as never seen, as a rare one does.
-MOST_CONTEXTS, SEEN = 1 << 20, 3
+#: From how many other places on a context tells how likely a text ends there.
+SEEN = 3
+#: Pairs, and characters, that a part should have. The pairs of a part are judged together, with the counts of the contexts at their ends.
+PART, PART_CHARS = 4000, 8_000_000
 #: Log odds per n-gram by which another language must lead all languages that a response may be in.
 LEAD = 0.15
 #: Without a label for the response, it may be in the languages that have this share of the labelled responses to prompts in its language.
@@ -110,11 +112,49 @@ def context_counts(pairs: DataFrame) -> DataFrame:
     return pairs.select("target").mapInArrow(count, "hash long, n long, ends long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
+#: Hashes of contexts in order, occurrences, ends.
+Contexts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def end_contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the contexts that each text ends with, a column for each length; whether the text is long enough to have it)."""
+    codes, starts = code_points([_before_end(t)[-max(CONTEXTS) :] for t in texts])
+    out, has = np.zeros((len(texts), len(CONTEXTS)), np.uint64), np.zeros((len(texts), len(CONTEXTS)), bool)
+    for k, size in enumerate(CONTEXTS):
+        row = np.flatnonzero(np.diff(starts) > size)
+        out[row, k], has[row, k] = _even(gram_hashes(codes, starts[1:][row] - 1 - size, size)), True
+    return out, has
+
+
+def contexts_of(found: pa.Table) -> Contexts:
+    """The rows (hash, n, ends), in any order, to be looked up."""
+    h, n, ends = (found.column(c).to_numpy() for c in ("hash", "n", "ends"))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return h[order], n[order], ends[order]
+
+
+def part_contexts(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(part, hash, n, ends): the counts of the contexts that the targets of each part of `pairs` (part, target) end with, but for those hardly seen. A part may have a
+    row more than once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, "target"):
+            h, has = end_contexts(b.column("target").to_pylist())
+            part, h = np.repeat(b.column("part").to_numpy(), has.sum(1)), h[has]
+            order = np.lexsort((h, part))
+            part, h = part[order], h[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))[: len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(h[new].view(np.int64))], ["part", "hash"])
+
+    return pairs.select("part", "target").mapInArrow(ask, "part long, hash long").join(contexts.where(F.col("n") > SEEN), "hash").select("part", "hash", "n", "ends")
+
+
 class Defects:
-    """Everything needed to judge a pair. Pickled, the language counts take a megabyte and each context 16 bytes."""
+    """Everything needed to judge a pair, but for the contexts at its end. Pickled, the language counts take a megabyte."""
 
-    def __init__(self, counts: np.ndarray, contexts: tuple[np.ndarray, np.ndarray, np.ndarray], base: float, usual: np.ndarray, sample: list[tuple[str, str]], finals: set[str] | None = None, seed: int = 7) -> None:
-        """counts: (language, bucket); contexts: hashes in order, occurrences, ends; base: the share of characters that end a target; usual: labelled pairs by
+    def __init__(self, counts: np.ndarray, contexts: Callable[[list[str]], Contexts], base: float, usual: np.ndarray, sample: list[tuple[str, str]], finals: set[str] | None = None, seed: int = 7) -> None:
+        """counts: (language, bucket); contexts: looks up those that texts end with; base: the share of characters that end a target; usual: labelled pairs by
         language of prompt and response; finals: endings of closed targets."""
         n = counts.astype(float)
         # A gram that another language has far more often stems from wrong labels there.
@@ -122,7 +162,7 @@ class Defects:
         rate = np.where(rate < 0.12 * rate.max(0), 0.2 * rate, rate)
         self.logp = np.ascontiguousarray(np.log(rate).astype(np.float32).T)
         self.seen = n.sum(1) > 0
-        self.contexts, self.base = contexts, base
+        self.base = base
         self.usual = usual >= np.maximum(1, USUAL * usual.sum(1, keepdims=True))
         self.refusals = Refusals([t for _, t in sample])
         refused = self.refusals.are_refusals([t for _, t in sample])
@@ -145,20 +185,19 @@ class Defects:
         self.model.bias = -9.0
         if made:
             # The end of a text as it is has been counted, that of an artificial cut has not.
-            self.model.fit(*self._features(made, ~np.array(y, bool)), np.array(y, float))
+            self.model.fit(*self._features(made, ~np.array(y, bool), contexts([t for _, t in made])), np.array(y, float))
 
-    def end_likelihoods(self, texts: list[str], counted: np.ndarray) -> np.ndarray:
+    def end_likelihoods(self, texts: list[str], counted: np.ndarray, contexts: Contexts) -> np.ndarray:
         """Log likelihood that each text ends after its last characters, a column for each length of context; NaN for a context hardly seen.
 
         The text's own place is left out of the counts, and so is its end if that was `counted`, or every odd end would speak for itself.
         """
-        ends = [_before_end(t)[-max(CONTEXTS) :] for t in texts]
-        codes, starts = code_points(ends)
-        known, n, end = self.contexts
+        known, n, end = contexts
+        hashes, has = end_contexts(texts)
         out = np.full((len(texts), len(CONTEXTS)), np.nan)
-        for k, size in enumerate(CONTEXTS):
-            row = np.flatnonzero(np.diff(starts) > size)
-            h = _even(gram_hashes(codes, starts[1:][row] - 1 - size, size))
+        for k in range(len(CONTEXTS)):
+            row = np.flatnonzero(has[:, k])
+            h = hashes[row, k]
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             ok = known[at] == h if len(known) else np.zeros(len(h), bool)
             at, row = at[ok], row[ok]
@@ -166,10 +205,10 @@ class Defects:
             out[row, k] = np.where(seen >= SEEN, np.log((np.maximum(0, end[at] - counted[row]) + 2 * self.base) / (np.maximum(seen, 0) + 2)), np.nan)
         return out
 
-    def _features(self, rows: list[tuple[str, str]], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _features(self, rows: list[tuple[str, str]], counted: np.ndarray, contexts: Contexts) -> tuple[np.ndarray, np.ndarray]:
         """(hashed features of all pairs, where each pair's start, and the end)."""
         out, size = [], np.zeros(len(rows) + 1, np.int64)
-        for i, ((s, t), ends) in enumerate(zip(rows, self.end_likelihoods([t for _, t in rows], counted).tolist(), strict=True)):
+        for i, ((s, t), ends) in enumerate(zip(rows, self.end_likelihoods([t for _, t in rows], counted, contexts).tolist(), strict=True)):
             best = next((e for e in reversed(ends) if e == e), -9.0)
             more = [f"E{k}{'x' if e != e else round(e)}" for k, e in enumerate(ends)] + [f"B{round(2 * best)}"]
             x = features(s, t, None, self.names, tuple(more))
@@ -200,8 +239,8 @@ class Defects:
         """Whether a text of these words holds nothing to translate: coined names, codes and numbers."""
         return len(ws) <= 4 and not any(w in self.names.words or not w.isascii() for w in ws)
 
-    def defects(self, rows: list[tuple[str, str, str | None, str | None]]) -> list[str | None]:
-        """The defect of each (source, target, source language, target language), or None."""
+    def defects(self, rows: list[tuple[str, str, str | None, str | None]], contexts: Contexts) -> list[str | None]:
+        """The defect of each (source, target, source language, target language), or None. `contexts`: those at the ends of the targets."""
         n = len(rows)
         out: list[str | None] = [None] * n
         if not n:
@@ -227,7 +266,7 @@ class Defects:
                     asked.append((i, self._plain(TOKEN.findall(looks[i].casefold()) if _OTHER.search(looks[i]) else ts, set(words[i]), t)))
         self._compare(rows, asked, words, out)
         left = [i for i in range(n) if out[i] is None and not named[i]]
-        score = self.model.score(*self._features([rows[i][:2] for i in left], np.ones(len(left), bool))) if left else []
+        score = self.model.score(*self._features([rows[i][:2] for i in left], np.ones(len(left), bool), contexts)) if left else []
         for i, p in zip(left, score, strict=True):
             if p >= CUT:
                 out[i] = "truncated"
@@ -274,8 +313,9 @@ def _inside(a: bytes, b: bytes) -> bool:
     return at >= 0
 
 
-def fit_defects(pairs: DataFrame) -> Defects:
-    """Counts over all pairs; names and the cut model from SAMPLE pairs, the first by hash."""
+def fit_defects(pairs: DataFrame, contexts: DataFrame) -> Defects:
+    """Counts over all pairs, those of `contexts` among them; names and the cut model from SAMPLE pairs, the first by hash."""
+    spark = pairs.sparkSession
     counts = np.zeros((len(LANGUAGES), 1 << GRAM_BITS), np.int64)
     found = language_counts(pairs).toPandas()
     counts[found.lang, found.bucket] = found.n
@@ -283,19 +323,16 @@ def fit_defects(pairs: DataFrame) -> Defects:
     for r in pairs.where("source_lang is not null and target_lang is not null").groupBy("source_lang", "target_lang").count().collect():
         if (a := language_of_label(r.source_lang)) and (b := language_of_label(r.target_lang)):
             usual[LANGUAGES.index(a), LANGUAGES.index(b)] += r["count"]
-    contexts = cut_table(context_counts(pairs))
-    by = contexts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("contexts"), F.sum(F.col("n") * 1.0).alias("all"), F.sum("ends").alias("ends")).orderBy(F.desc("n")).collect()
-    least, room = SEEN + 1, MOST_CONTEXTS
-    for r in by:
-        room -= r.contexts
-        if room < 0:
-            least = max(least, r.n + 1)
-            break
-    kept = contexts.where(F.col("n") >= least).toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64))
-    model = (kept["hash"].to_numpy().view(np.uint64), kept.n.to_numpy().astype(np.int32), kept.ends.to_numpy().astype(np.int32))
-    base = max(1, sum(r.ends for r in by)) / max(1, sum(r["all"] for r in by))
+    r = contexts.agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).first()
+    base = max(1, r.ends or 0) / max(1, r.n or 0)
     rows = bounded_sample(pairs.select("source", "target"), SAMPLE, "target", "source").collect()
-    return Defects(counts, model, base, usual, [(r.source, r.target) for r in rows], closed_endings(pairs))
+
+    def of_ends(texts: list[str]) -> Contexts:
+        h, has = end_contexts(texts)
+        asked = spark.createDataFrame(pa.table({"hash": np.unique(h[has]).view(np.int64)}), "hash long")
+        return contexts_of(contexts.where(F.col("n") > SEEN).join(F.broadcast(asked), "hash").toArrow())
+
+    return Defects(counts, of_ends, base, usual, [(r.source, r.target) for r in rows], closed_endings(pairs))
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:
@@ -303,17 +340,23 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
 
     A null source or target is no pair; languages may be null or unknown, see `Defects._compare`. Repeated pairs count once.
     """
-    pairs = pairs.where("source is not null and target is not null").distinct()
-    model = pairs.sparkSession.sparkContext.broadcast(fit_defects(pairs))
+    pairs = pairs.where("source is not null and target is not null").select("ref", F.col("pos").cast("int"), "source", "target", "source_lang", "target_lang").distinct()
+    pairs = cut_table(pairs.withColumn("part", F.xxhash64(*pairs.columns)))
+    contexts = cut_table(context_counts(pairs))
+    model = pairs.sparkSession.sparkContext.broadcast(fit_defects(pairs, contexts))
+    size = pairs.agg(F.count("*").alias("n"), F.sum(F.length("source") + F.length("target")).alias("chars")).first()
+    pairs = pairs.withColumn("part", F.pmod("part", F.lit(max(size.n // PART, (size.chars or 0) // PART_CHARS) + 1)))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(bounded(batches, "source"), "target"):
+    def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
+        contexts, out = contexts_of(found), []
+        for b in bounded(bounded(iter(rows.to_batches()), "source"), "target"):
             langs = ([language_of_label(x) for x in b.column(c).to_pylist()] for c in ("source_lang", "target_lang"))
-            rows = list(zip(b.column("source").to_pylist(), b.column("target").to_pylist(), *langs, strict=True))
-            out = pa.RecordBatch.from_arrays([b.column("ref"), b.column("pos"), pa.array(model.value.defects(rows), pa.string())], ["ref", "pos", "defect"])
-            yield out.filter(out.column("defect").is_valid())
+            some = list(zip(b.column("source").to_pylist(), b.column("target").to_pylist(), *langs, strict=True))
+            r = pa.RecordBatch.from_arrays([b.column("ref"), b.column("pos"), pa.array(model.value.defects(some, contexts), pa.string())], ["ref", "pos", "defect"])
+            out.append(r.filter(r.column("defect").is_valid()))
+        return pa.Table.from_batches(out, pa.schema([("ref", pa.string()), ("pos", pa.int32()), ("defect", pa.string())]))
 
-    return pairs.select("ref", F.col("pos").cast("int"), "source", "target", "source_lang", "target_lang").mapInArrow(judge, "ref string, pos int, defect string")
+    return pairs.groupBy("part").cogroup(part_contexts(pairs, contexts).groupBy("part")).applyInArrow(judge, "ref string, pos int, defect string")
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +371,7 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defective_pairs(cut_table(all_pairs(spark, sf_dir)))
+    return defective_pairs(all_pairs(spark, sf_dir))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,8 @@ from lexloom.sources.tables import table
 
 #: Bound on the pairs that the model is fitted on, the first by hash of the target.
 SAMPLE = 20000
-#: Endings of closed targets that the model holds, the most frequent ones; an ending counts if this share of the targets that end in it, one more and one
-#: of the closed ones less, have a final mark behind it.
-MOST_ENDINGS, CLOSED_SHARE = 200_000, 0.3
+#: An ending is that of closed targets if this share of the targets that end in it, one more and one of the closed ones less, have a final mark behind it.
+CLOSED_SHARE = 0.3
 #: Score from which a target counts as cut.
 CUT = 0.45
 BITS = 18
@@ -109,9 +108,9 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
 
 
 def closed_endings(pairs: DataFrame) -> set[str]:
-    """The endings of closed targets, from all pairs; at most MOST_ENDINGS travel to the driver."""
+    """The endings of closed targets, from all pairs. All of them travel to the driver: words that end two closed targets at least."""
     some = ending_counts(pairs).where(F.col("closed") - 1 >= CLOSED_SHARE * (F.col("ends") + 1))
-    return {r.ending for r in some.orderBy(F.desc("closed"), "ending").select("ending").limit(MOST_ENDINGS).collect()}
+    return set(some.select("ending").toArrow().column("ending").to_pylist())
 
 
 def ending(text: str) -> str:

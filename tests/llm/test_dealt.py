@@ -4,7 +4,9 @@ import itertools
 import random
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +260,26 @@ def test_defects(spark):
     assert sum(k[0][0] in "gf" for k in got) <= 15 and not {("null", 0), ("name", 0), ("nolang", 0)} & set(got)
 
 
+def test_every_end_context_is_counted(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(30))) + rng.choice(["", ".", " …"]) for _ in range(300)]
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "part long, target string")
+    shown, ends = Counter(), Counter()
+    for t in map(pairs._before_end, texts):
+        for n in pairs.CONTEXTS:
+            shown.update(t[i : i + n] for i in range(len(t) - n + 1))
+            ends.update([t[-n:]] if len(t) >= n else [])
+    found = {}
+    for r in pairs.part_contexts(df, pairs.context_counts(df)).collect():
+        found[r.part, r.hash] = (r.n, r.ends)
+    hashes, has = pairs.end_contexts(texts)
+    for i, t in enumerate(map(pairs._before_end, texts)):
+        for k, n in enumerate(pairs.CONTEXTS):
+            assert has[i, k] == (len(t) >= n)
+            want = (shown[t[-n:]], ends[t[-n:]]) if has[i, k] and shown[t[-n:]] > pairs.SEEN else None
+            assert found.get((i % 7, int(hashes[i, k].astype(np.int64)))) == want or not has[i, k]
+
+
 def test_refusals():
     r = refusals.Refusals([t for _, t in made_pairs(random.Random(1), 500)])
     assert r.is_refusal("Unfortunately I cannot help with this request.") and r.is_refusal("抱歉，我不能翻译这个内容。") and not r.is_refusal("Die Leitung von Bako dankt allen.") and not r.is_refusal("")
