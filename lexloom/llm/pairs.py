@@ -3,13 +3,14 @@
 Each pair gets one defect or none: empty, refusal, copy, wrong_language or truncated, in this order. The languages of prompt and response are compared
 by the posteriors of a character n-gram naive Bayes, with what the labels say as the prior; refusals are told by the same kind of model, copies by a
 comparison that skips formatting, and truncation by the likelihood that a text ends where it does, given its last characters, together with the closing
-features of `truncation`. The n-grams of a whole batch of pairs are looked up at once.
+features of `truncation`. The n-grams of a whole batch of pairs are looked up at once. All of it is counted over, or learned from, all pairs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from lexloom.llm.charfold import look
 from lexloom.llm.duplicates import fold_stream
 from lexloom.llm.languages import LANGUAGES, language_of_label
-from lexloom.llm.learn import HashedLogistic, bounded_sample
+from lexloom.llm.learn import TAUGHT, HashedLogistic, mixed_parts, part_of
 from lexloom.llm.refs import ref_of
-from lexloom.llm.refusals import Refusals
+from lexloom.llm.refusals import Refusals, fit_refusals
 from lexloom.llm.streams import bounded, code_points, gram_hashes, windows
-from lexloom.llm.truncation import BITS, SAMPLE, TOKEN, Names, Truncation, closed_endings, core_of, cut_one, features, of_source, script, tokens, whole_one
+from lexloom.llm.truncation import (
+    BITS, FIT, FIT_CHARS, TOKEN, Names, Truncation, closed_endings, core_of, cut_one, features, of_source, parted, shown, tokens, translated_words, whole_one,
+)
 from lexloom.operators.lineage import cut_table
 from lexloom.sources.tables import table
 
@@ -153,39 +156,25 @@ def part_contexts(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
 class Defects:
     """Everything needed to judge a pair, but for the contexts at its end. Pickled, the language counts take a megabyte."""
 
-    def __init__(self, counts: np.ndarray, contexts: Callable[[list[str]], Contexts], base: float, usual: np.ndarray, sample: list[tuple[str, str]], finals: set[str] | None = None, seed: int = 7) -> None:
-        """counts: (language, bucket); contexts: looks up those that texts end with; base: the share of characters that end a target; usual: labelled pairs by
-        language of prompt and response; finals: endings of closed targets."""
+    def __init__(self, counts: np.ndarray, base: float, usual: np.ndarray, names: Names, refusals: Refusals) -> None:
+        """counts: (language, bucket); base: the share of characters that end a target; usual: labelled pairs by language of prompt and response. Nothing counts as
+        truncated before a `model` is set."""
         n = counts.astype(float)
         # A gram that another language has far more often stems from wrong labels there.
         rate = (n + 0.05) / (n.sum(1, keepdims=True) + 0.05 * n.shape[1])
         rate = np.where(rate < 0.12 * rate.max(0), 0.2 * rate, rate)
         self.logp = np.ascontiguousarray(np.log(rate).astype(np.float32).T)
         self.seen = n.sum(1) > 0
-        self.base = base
+        self.base, self.names, self.refusals = base, names, refusals
         self.usual = usual >= np.maximum(1, USUAL * usual.sum(1, keepdims=True))
-        self.refusals = Refusals([t for _, t in sample])
-        refused = self.refusals.are_refusals([t for _, t in sample])
-        good = [p for p, no in zip(sample, refused, strict=True) if not no and Truncation._intact(*p)]
-        self.names = Names(good, finals)
-        rng = np.random.default_rng(seed)
-        made, y = [], []
-        often = int(np.clip(30000 // max(1, len(good)), 1, 4))
-        for s, t in [p for p in good for _ in range(often if script(p[1]) == "l" else 3 * often)]:
-            for cut in (False, True):
-                v = cut_one(t, rng) if cut else whole_one(t, rng)
-                if not cut and rng.random() > 0.93:
-                    v = good[rng.integers(len(good))][1]
-                if rng.random() < 0.08:
-                    s = f"{s} {('№ {}', '(AB-{})', '#{}', '[{}]')[rng.integers(4)].format(rng.integers(1, 999))}"
-                if core_of(v):
-                    made.append((s, v))
-                    y.append(cut)
-        self.model = HashedLogistic(BITS, epochs=6)
+        self.model = HashedLogistic(BITS)
         self.model.bias = -9.0
-        if made:
-            # The end of a text as it is has been counted, that of an artificial cut has not.
-            self.model.fit(*self._features(made, ~np.array(y, bool), contexts([t for _, t in made])), np.array(y, float))
+
+    def part(self, made: list[tuple[str, str, bool, int]], contexts: Contexts) -> pa.Table:
+        """What the examples of a part teach, see `learn.TAUGHT`."""
+        y = np.array([cut for _, _, cut, _ in made], bool)
+        # The end of a text as it is has been counted, that of an artificial cut has not.
+        return part_of(HashedLogistic(BITS, epochs=6), *self._features([m[:2] for m in made], ~y, contexts), y.astype(float), np.array([m[3] for m in made], float))
 
     def end_likelihoods(self, texts: list[str], counted: np.ndarray, contexts: Contexts) -> np.ndarray:
         """Log likelihood that each text ends after its last characters, a column for each length of context; NaN for a context hardly seen.
@@ -207,12 +196,12 @@ class Defects:
 
     def _features(self, rows: list[tuple[str, str]], counted: np.ndarray, contexts: Contexts) -> tuple[np.ndarray, np.ndarray]:
         """(hashed features of all pairs, where each pair's start, and the end)."""
-        out, size = [], np.zeros(len(rows) + 1, np.int64)
+        out, size = array("q"), np.zeros(len(rows) + 1, np.int64)
         for i, ((s, t), ends) in enumerate(zip(rows, self.end_likelihoods([t for _, t in rows], counted, contexts).tolist(), strict=True)):
             best = next((e for e in reversed(ends) if e == e), -9.0)
             more = [f"E{k}{'x' if e != e else round(e)}" for k, e in enumerate(ends)] + [f"B{round(2 * best)}"]
             x = features(s, t, None, self.names, tuple(more))
-            out += x
+            out.extend(x)
             size[i + 1] = len(x)
         return np.array(out, np.int64), np.cumsum(size)
 
@@ -313,9 +302,38 @@ def _inside(a: bytes, b: bytes) -> bool:
     return at >= 0
 
 
+def examples(pairs: list[tuple[str, str]], part: int = 0, parts: int = 1, seed: int = 7) -> list[tuple[str, str, bool, int]]:
+    """(source, target, whether it is cut, weight) made from the pairs of a part, the same in every run."""
+    rng = np.random.default_rng((seed, part))
+    pairs, out = sorted(pairs), []
+    for (s, t), times in shown(pairs, parts):
+        for cut in (False, True):
+            v = cut_one(t, rng) if cut else whole_one(t, rng)
+            if not cut and rng.random() > 0.93:
+                v = pairs[rng.integers(len(pairs))][1]
+            if rng.random() < 0.08:
+                s = f"{s} {('№ {}', '(AB-{})', '#{}', '[{}]')[rng.integers(4)].format(rng.integers(1, 999))}"
+            if core_of(v):
+                out.append((s, v, cut, times))
+    return out
+
+
+def learned_pairs(pairs: DataFrame, refusals: Refusals) -> DataFrame:
+    """The rows of `pairs` that examples are made from: intact ones, no refusals."""
+    shared = pairs.sparkSession.sparkContext.broadcast(refusals)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(bounded(batches, "source"), "target"):
+            sources, targets = b.column("source").to_pylist(), b.column("target").to_pylist()
+            intact = np.array([Truncation._intact(s, t) for s, t in zip(sources, targets, strict=True)], bool)
+            yield b.filter(pa.array(intact & ~shared.value.are_refusals(targets)))
+
+    rows = pairs.select("ref", "pos", "source", "target")
+    return cut_table(rows.mapInArrow(good, rows.schema))
+
+
 def fit_defects(pairs: DataFrame, contexts: DataFrame) -> Defects:
-    """Counts over all pairs, those of `contexts` among them; names and the cut model from SAMPLE pairs, the first by hash."""
-    spark = pairs.sparkSession
+    """Counts over all pairs, those of `contexts` among them; names and the cut model from all pairs that are intact."""
     counts = np.zeros((len(LANGUAGES), 1 << GRAM_BITS), np.int64)
     found = language_counts(pairs).toPandas()
     counts[found.lang, found.bucket] = found.n
@@ -325,14 +343,26 @@ def fit_defects(pairs: DataFrame, contexts: DataFrame) -> Defects:
             usual[LANGUAGES.index(a), LANGUAGES.index(b)] += r["count"]
     r = contexts.agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).first()
     base = max(1, r.ends or 0) / max(1, r.n or 0)
-    rows = bounded_sample(pairs.select("source", "target"), SAMPLE, "target", "source").collect()
-
-    def of_ends(texts: list[str]) -> Contexts:
-        h, has = end_contexts(texts)
-        asked = spark.createDataFrame(pa.table({"hash": np.unique(h[has]).view(np.int64)}), "hash long")
-        return contexts_of(contexts.where(F.col("n") > SEEN).join(F.broadcast(asked), "hash").toArrow())
-
-    return Defects(counts, of_ends, base, usual, [(r.source, r.target) for r in rows], closed_endings(pairs))
+    refusals = fit_refusals(pairs)
+    good = learned_pairs(pairs, refusals)
+    out = Defects(counts, base, usual, Names(translated_words(good), closed_endings(pairs)), refusals)
+    shared = pairs.sparkSession.sparkContext.broadcast(out)
+    rows, parts = parted(good, FIT, FIT_CHARS)
+    rows = rows.select("part", "source", "target")
+
+    def made(rows: pa.Table) -> list[tuple[str, str, bool, int]]:
+        return examples(list(zip(rows.column("source").to_pylist(), rows.column("target").to_pylist(), strict=True)), rows.column("part")[0].as_py(), parts)
+
+    def ends(rows: pa.Table) -> pa.Table:
+        h, has = end_contexts([v for _, v, _, _ in made(rows)])
+        h = np.unique(h[has])
+        return pa.table({"part": pa.array(np.repeat(rows.column("part")[0].as_py(), len(h)), pa.int64()), "hash": pa.array(h.view(np.int64))})
+
+    asked = rows.groupBy("part").applyInArrow(ends, "part long, hash long")
+    asked = asked.join(contexts.where(F.col("n") > SEEN), "hash").select("part", "hash", "n", "ends")
+    taught = rows.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda rows, found: shared.value.part(made(rows), contexts_of(found)), TAUGHT)
+    out.model = mixed_parts(taught, BITS) or out.model
+    return out
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import look
-from lexloom.llm.streams import code_points, gram_hashes, windows
+from lexloom.llm.streams import bounded, code_points, gram_hashes, windows
+from lexloom.operators.lineage import cut_table
 
 # How assistants refuse, by language.
 PHRASES = """
@@ -44,8 +49,8 @@ _REST = re.compile(r"(?<=[.!。！])\s*[(（\[«„“\"].*$", re.S)
 ORDINARY, ABOVE = 0.95, 0.4
 #: Least score of a refusal.
 LEAST = 0.9
-#: Score from which a repeated answer may be a refusal.
-ALIKE = 0.2
+#: Score from which a repeated answer may be a refusal, and how often one is repeated.
+ALIKE, OFTEN = 0.2, 3
 
 
 _OTHER = re.compile(r"[^\w'-]+|\d+")
@@ -67,29 +72,47 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(bucket), np.concatenate(owner)
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    return np.bincount(_grams(texts)[0], minlength=1 << BITS)
+
+
+def _ratio(other: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket between refusals and ordinary answers, whose n-grams are counted in `other`."""
+    own = _counts([p for p in re.split(r"(?<=[.。])\s+", PHRASES.strip()) if p])
+    return (np.log((own + 0.2) / (own.sum() + 0.2 * len(own))) - np.log((other + 0.2) / (other.sum() + 0.2 * len(other)))).astype(np.float32)
+
+
+def _scores(texts: list[str], *ratios: np.ndarray) -> list[np.ndarray]:
+    """Mean log ratio of the n-grams of what stands before a quoted text, of each text, by each of `ratios`."""
+    heads = [_REST.sub("", t.strip()) for t in texts]
+    bucket, owner = _grams([h if len(_LETTER.findall(h)) >= 5 else t for h, t in zip(heads, texts, strict=True)])
+    n = np.bincount(owner, minlength=len(texts))
+    return [np.where(n > 0, np.bincount(owner, r[bucket], len(texts)) / np.maximum(n, 1), -9.0) for r in ratios]
+
+
 class Refusals:
-    """Fitted against a bounded sample of ordinary answers."""
+    """Fitted against ordinary answers: those given, or all of a table, see `fit_refusals`."""
 
     def __init__(self, answers: list[str]) -> None:
-        phrases = [p for p in re.split(r"(?<=[.。])\s+", PHRASES.strip()) if p]
-        own = np.bincount(_grams(phrases)[0], minlength=1 << BITS)
         plain = answers or ["-"]
         for _ in range(2):
-            other = np.bincount(_grams(plain)[0], minlength=1 << BITS)
-            self.ratio = (np.log((own + 0.2) / (own.sum() + 0.2 * len(own))) - np.log((other + 0.2) / (other.sum() + 0.2 * len(other)))).astype(np.float32)
+            self.ratio = _ratio(_counts(plain))
             scores = self.scores(plain)
             # What looks like a refusal and is repeated isn't held against refusals in the second round.
             often = Counter(_REST.sub("", a) for a in plain)
-            plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_REST.sub("", a)] < 3] or ["-"]
+            plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_REST.sub("", a)] < OFTEN] or ["-"]
         known = np.sort(self.scores([a for a in plain if _worded(a)] or ["-"]))
         self.least = max(LEAST, float(known[int(ORDINARY * (len(known) - 1))]) + ABOVE)
 
+    @classmethod
+    def of(cls, ratio: np.ndarray, ordinary: float) -> Refusals:
+        """`ordinary`: the score that ORDINARY of the answers don't exceed."""
+        self = cls.__new__(cls)
+        self.ratio, self.least = ratio, max(LEAST, ordinary + ABOVE)
+        return self
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Mean log ratio of the n-grams of what stands before a quoted text, of each text."""
-        heads = [_REST.sub("", t.strip()) for t in texts]
-        bucket, owner = _grams([h if len(_LETTER.findall(h)) >= 5 else t for h, t in zip(heads, texts, strict=True)])
-        n = np.bincount(owner, minlength=len(texts))
-        return np.where(n > 0, np.bincount(owner, self.ratio[bucket], len(texts)) / np.maximum(n, 1), -9.0)
+        return _scores(texts, self.ratio)[0]
 
     def are_refusals(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), bool)
@@ -103,3 +126,71 @@ class Refusals:
 
 def _worded(text: str) -> bool:
     return len(_HAN.findall(text)) >= 7 or len(_LETTER.findall(text)) >= 12
+
+
+def _counted(answers: DataFrame) -> np.ndarray:
+    """The n-grams of all answers by bucket, counted in each partition before they travel."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for b in bounded(batches, "target"):
+            total += _counts(b.column("target").to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    out = np.zeros(1 << BITS, np.int64)
+    found = answers.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _scored(answers: DataFrame, *ratios: np.ndarray) -> DataFrame:
+    """(head LONG, worded, x0, x1...: the scores by each of `ratios`, target of those that may be refusals by the last one, else null). `head` is the hash of what is repeated."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, "target"):
+            texts = b.column("target").to_pylist()
+            x = _scores(texts, *ratios)
+            some = [t if y >= ALIKE else None for t, y in zip(texts, x[-1].tolist(), strict=True)]
+            out = [pa.array([_REST.sub("", t) for t in texts], pa.string()), pa.array([_worded(t) for t in texts], pa.bool_()), *map(pa.array, x), pa.array(some, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["head", "worded", *names, "target"])
+
+    names = [f"x{k}" for k in range(len(ratios))]
+    rows = answers.mapInArrow(score, f"head string, worded boolean, {', '.join(f'{x} double' for x in names)}, target string")
+    return cut_table(rows.withColumn("head", F.xxhash64("head")))
+
+
+def _repeated(rows: DataFrame, score: str) -> DataFrame:
+    """The heads that OFTEN rows or more have, one at least of which may be a refusal."""
+    by = rows.groupBy("head").agg(F.count("*").alias("n"), F.max(score).alias("most"))
+    return by.where((F.col("n") >= OFTEN) & (F.col("most") >= ALIKE)).select("head")
+
+
+def _ranked(rows: DataFrame, score: str, share: float) -> float | None:
+    """The score that stands at `share` of all in order, exactly; only those of one narrow bin travel."""
+    bins = rows.groupBy(F.floor(F.col(score) * 4096).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    at = int(share * (sum(r.n for r in bins) - 1))
+    for r in bins:
+        if at < r.n:
+            for x in rows.where(F.floor(F.col(score) * 4096) == r.bin).groupBy(score).agg(F.count("*").alias("n")).orderBy(score).collect():
+                if at < x.n:
+                    return x[score]
+                at -= x.n
+        at -= r.n
+    return None
+
+
+def fit_refusals(answers: DataFrame) -> Refusals:
+    """`Refusals` of all `answers` (target, never null), as if they were one list: counts, what is repeated, and the threshold are exact."""
+    answers = answers.select("target")
+    other = _counted(answers)
+    first = _ratio(other)
+    rows = _scored(answers, first)
+    gone = _repeated(rows, "x0")
+    second = _ratio(other - _counted(rows.where(F.col("x0") >= ALIKE).join(gone, "head", "left_semi").select("target")))
+    rows = _scored(answers, first, second)
+    # As in the first round: what looks like a refusal and is repeated isn't ordinary.
+    rows = rows.join(gone.withColumn("gone", F.lit(True)), "head", "left").where((F.col("x0") < ALIKE) | F.col("gone").isNull())
+    rows = rows.join(_repeated(rows, "x1").withColumn("again", F.lit(True)), "head", "left").where(((F.col("x1") < ALIKE) | F.col("again").isNull()) & F.col("worded"))
+    known = _ranked(rows, "x1", ORDINARY)
+    return Refusals.of(second, -9.0 if known is None else known)

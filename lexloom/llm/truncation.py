@@ -2,12 +2,14 @@
 
 Intact targets are cut artificially; a hashed logistic regression learns cut from whole by closing characters, punctuation, length
 against the source and against the limit, and what of the source (numbers, names, sentences) is not there yet. It then scores every record.
+It learns from all intact targets, in parts whose weights are mixed; names, refusals and endings are counted over all pairs.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import TO_LATIN, look
-from lexloom.llm.learn import HashedLogistic, bounded_sample
+from lexloom.llm.learn import TAUGHT, HashedLogistic, mixed_parts, part_of
 from lexloom.llm.refs import ref_of
-from lexloom.llm.refusals import Refusals
+from lexloom.llm.refusals import Refusals, fit_refusals
 from lexloom.llm.streams import bounded
 from lexloom.sources.tables import table
 
-#: Bound on the pairs that the model is fitted on, the first by hash of the target.
-SAMPLE = 20000
+#: Pairs, and characters, that a part of the fit should have.
+FIT, FIT_CHARS = 20_000, 20_000_000
 #: An ending is that of closed targets if this share of the targets that end in it, one more and one of the closed ones less, have a final mark behind it.
 CLOSED_SHARE = 0.3
 #: Score from which a target counts as cut.
@@ -66,21 +68,33 @@ def script(text: str) -> str:
     return "h" if 2 * han >= max(latin, cyrillic) and han else "c" if cyrillic > latin // 2 and cyrillic > 2 else "l"
 
 
+def count_words(pairs: Iterable[tuple[str, str]]) -> tuple[Counter, Counter]:
+    """In how many sources each word is, and in how many of their targets it is too."""
+    shown, copied = Counter(), Counter()
+    for s, t in pairs:
+        words = set(tokens(s))
+        shown.update(words)
+        copied.update(words.intersection(tokens(t)))
+    return shown, copied
+
+
+def translated_words(pairs: DataFrame) -> set[str]:
+    """The words of all sources that most of their targets don't have, counted in each batch before the shuffle. All of them travel to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(bounded(batches, "source"), "target"):
+            shown, copied = count_words(zip(b.column("source").to_pylist(), b.column("target").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(shown), pa.string()), pa.array(list(shown.values()), pa.int64()), pa.array([copied[w] for w in shown], pa.int64())], ["word", "shown", "copied"])
+
+    by = pairs.select("source", "target").mapInArrow(count, "word string, shown long, copied long").groupBy("word").agg(F.sum("shown").alias("shown"), F.sum("copied").alias("copied"))
+    return set(by.where(F.col("copied") < 0.5 * F.col("shown")).select("word").toArrow().column("word").to_pylist())
+
+
 class Names:
-    """Which words are copied into translations (words never seen count as such), learned from pairs, and which end closed targets: `finals`, or those of the pairs."""
-
-    def __init__(self, pairs: list[tuple[str, str]], finals: set[str] | None = None) -> None:
-        shown, copied = Counter(), Counter()
-        for s, t in pairs:
-            have = set(tokens(t))
-            for w in set(tokens(s)):
-                shown[w] += 1
-                copied[w] += w in have
-        self.words = {w for w, n in shown.items() if copied[w] < 0.5 * n}
-        if finals is None:
-            ends, closed = count_endings(t for _, t in pairs)
-            finals = {w for w, n in closed.items() if n - 1 >= CLOSED_SHARE * (ends[w] + 1)}
-        self.finals = finals
+    """Which words are copied into translations (all but `words`), and which end closed targets: `finals`."""
+
+    def __init__(self, words: set[str], finals: set[str]) -> None:
+        self.words, self.finals = words, finals
 
     def of(self, ws: list[str]) -> set[str]:
         return {w for w in ws if len(w) >= 4 and w.isascii() and w not in self.words}
@@ -194,18 +208,31 @@ def whole_one(target: str, rng: np.random.Generator) -> str:
     return a + target + z
 
 
+def shown(pairs: list[tuple], parts: int) -> Iterator[tuple]:
+    """(pair, weight) as often as a fit takes them. Small tables and rare scripts are shown more often; in tables of several parts, rare scripts count as often."""
+    often = int(np.clip(30000 // max(1, len(pairs)), 1, 4)) if parts == 1 else 1
+    for p in pairs:
+        rare = 1 if script(p[1]) == "l" else 3
+        for _ in range(often * rare if parts == 1 else 1):
+            yield p, 1 if parts == 1 else rare
+
+
 class Truncation:
-    """The fitted model: names and weights. A few hundred kilobytes when pickled."""
-
-    def __init__(self, pairs: list[tuple[str, str, float | None]], finals: set[str] | None = None, seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
-        self.names = Names([(s, t) for s, t, _ in pairs], finals)
-        self.refusals = Refusals([t for _, t, _ in pairs])
-        x, y = [], []
-        pairs = [p for p in pairs if self._intact(*p[:2])]
-        # Small samples and rare scripts are shown more often.
-        often = int(np.clip(30000 // max(1, len(pairs)), 1, 4))
-        for s, t, limit in [p for p in pairs for _ in range(often if script(p[1]) == "l" else 3 * often)]:
+    """The fitted model: names, refusals and weights."""
+
+    def __init__(self, names: Names, refusals: Refusals, model: HashedLogistic | None) -> None:
+        self.names, self.refusals, self.model = names, refusals, model
+        if model is None:
+            self.model = HashedLogistic(BITS)
+            self.model.bias = -9.0  # with nothing to learn from, nothing counts as cut
+
+    @classmethod
+    def part(cls, pairs: list[tuple[str, str, float | None]], names: Names, part: int = 0, parts: int = 1, seed: int = 7) -> pa.Table:
+        """What a part of the pairs teaches, see `learn.TAUGHT`."""
+        rng = np.random.default_rng((seed, part))
+        x, rows, y, weight = array("q"), array("q", [0]), [], []
+        pairs = sorted((p for p in pairs if cls._intact(*p[:2])), key=lambda p: (p[1], p[0], p[2] is None, p[2]))
+        for (s, t, limit), times in shown(pairs, parts):
             for cut in (False, True):
                 v = cut_one(t, rng) if cut else whole_one(t, rng)
                 way = rng.random()
@@ -215,14 +242,11 @@ class Truncation:
                 if rng.random() < 0.08:
                     s = f"{s} {('№ {}', '(AB-{})', '#{}', '[{}]')[rng.integers(4)].format(rng.integers(1, 999))}"
                 if core_of(v) or not cut:
-                    x.append(features(s, v, len(v) if way < 0.35 else None if way < 0.6 else limit, self.names))
+                    x.extend(features(s, v, len(v) if way < 0.35 else None if way < 0.6 else limit, names))
+                    rows.append(len(x))
                     y.append(cut)
-        rows = np.zeros(len(x) + 1, np.int64)
-        np.cumsum([len(r) for r in x], out=rows[1:])
-        self.model = HashedLogistic(BITS, epochs=6)
-        self.model.bias = -9.0  # with nothing to learn from, nothing counts as cut
-        if x:
-            self.model.fit(np.array([i for r in x for i in r], np.int64), rows, np.array(y, float))
+                    weight.append(times)
+        return part_of(HashedLogistic(BITS, epochs=6), np.array(x, np.int64), np.array(rows, np.int64), np.array(y, float), np.array(weight, float))
 
     @staticmethod
     def _intact(source: str, target: str) -> bool:
@@ -243,11 +267,26 @@ class Truncation:
         return score
 
 
+def parted(pairs: DataFrame, rows: int, chars: int) -> tuple[DataFrame, int]:
+    """(`pairs` with a column `part` by hash of the whole row, the number of parts): of at most about `rows` rows and `chars` characters of source and target each."""
+    size = pairs.agg(F.count("*").alias("n"), F.sum(F.length("source") + F.length("target")).alias("chars")).first()
+    parts = max(1, -(-size.n // rows), -(-(size.chars or 0) // chars))
+    return pairs.withColumn("part", F.pmod(F.xxhash64(*pairs.columns), F.lit(parts))), parts
+
+
 def fit_truncation(pairs: DataFrame) -> Truncation:
-    """From `pairs` (source, target, limit): the endings of all pairs, the rest from SAMPLE pairs, the first by hash, read by the driver."""
-    some = pairs.where("source is not null and target is not null").where(F.length(F.trim("target")) > 1)
-    rows = bounded_sample(some.select("source", "target", F.col("limit").cast("double").alias("limit")), SAMPLE, "target", "source").collect()
-    return Truncation([(r.source, r.target, r.limit) for r in rows], closed_endings(pairs.where("target is not null")))
+    """From all of `pairs` (source, target, limit): endings, names and refusals counted, the weights learned part by part."""
+    finals = closed_endings(pairs.where("target is not null"))
+    some = pairs.where("source is not null and target is not null").where(F.length(F.trim("target")) > 1).withColumn("limit", F.col("limit").cast("double"))
+    names = Names(translated_words(some), finals)
+    shared = pairs.sparkSession.sparkContext.broadcast(names)
+    rows, parts = parted(some, FIT, FIT_CHARS)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        return Truncation.part(list(zip(*(rows.column(c).to_pylist() for c in ("source", "target", "limit")), strict=True)), shared.value, rows.column("part")[0].as_py(), parts)
+
+    model = mixed_parts(rows.select("part", "source", "target", "limit").groupBy("part").applyInArrow(learn, TAUGHT), BITS)
+    return Truncation(names, fit_refusals(some), model)
 
 
 def score_truncation(pairs: DataFrame, model: Truncation | None = None) -> DataFrame:

@@ -280,6 +280,25 @@ def test_every_end_context_is_counted(spark):
             assert found.get((i % 7, int(hashes[i, k].astype(np.int64)))) == want or not has[i, k]
 
 
+def test_fits_take_all_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    made = made_pairs(rng, 300) + [(s, "I cannot translate this text.") for s, _ in made_pairs(rng, 20)] + [(t, t) for t in ("Nora", "Ilse")]
+    df = spark.createDataFrame([(i, s, t, None) for i, (s, t) in enumerate(made)], "ref int, source string, target string, limit double").repartition(5)
+    want, got = refusals.Refusals([t for _, t in made]), refusals.fit_refusals(df)
+    assert np.allclose(want.ratio, got.ratio) and np.isclose(want.least, got.least)
+    shown, copied = truncation.count_words(made)
+    monkeypatch.setattr(truncation, "FIT", 50)
+    for bound in ("SAMPLE", "MOST_ENDINGS"):
+        monkeypatch.setattr(truncation, bound, 50, raising=False)
+    fitted = truncation.fit_truncation(df)
+    assert fitted.names.words == {w for w, n in shown.items() if copied[w] < 0.5 * n}
+    # Every word that ends a pair is in a weight; parts are mixed, whatever the layout.
+    last = [truncation.crc32(f"w{truncation.tokens(t)[-1]}".encode()) & truncation.MASK for _, t in made if truncation.Truncation._intact(_, t)]
+    assert sum(fitted.model.w[i] != 0 for i in last) > 0.9 * len(last)
+    again = truncation.fit_truncation(df.repartition(2))
+    assert np.allclose(fitted.model.w, again.model.w, atol=1e-6) and np.isclose(fitted.model.bias, again.model.bias)
+
+
 def test_refusals():
     r = refusals.Refusals([t for _, t in made_pairs(random.Random(1), 500)])
     assert r.is_refusal("Unfortunately I cannot help with this request.") and r.is_refusal("抱歉，我不能翻译这个内容。") and not r.is_refusal("Die Leitung von Bako dankt allen.") and not r.is_refusal("")
