@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.charfold import look
-from lexloom.llm.streams import bounded, code_points, gram_hashes, windows
+from lexloom.llm.streams import LAST, bounded, code_points, running_hashes
 from lexloom.operators.lineage import cut_table
 
 # How assistants refuse, by language.
@@ -45,6 +46,7 @@ Przepraszam, ale nie mogę przetłumaczyć tego tekstu. Nie mogę pomóc w tej s
 BITS = 16
 #: What a refusal may carry after it: the text refused, in brackets or quotes.
 _REST = re.compile(r"(?<=[.!。！])\s*[(（\[«„“\"].*$", re.S)
+_OPENING = re.compile("[(（\\[«„“\"]")
 #: Share of answers that surely aren't refusals, and what a refusal must score above the best of them.
 ORDINARY, ABOVE = 0.95, 0.4
 #: Least score of a refusal.
@@ -53,27 +55,89 @@ LEAST = 0.9
 ALIKE, OFTEN = 0.2, 3
 
 
-_OTHER = re.compile(r"[^\w'-]+|\d+")
-_LETTER, _HAN = re.compile(r"[^\W\d_]"), re.compile("[㐀-鿿]")
+#: Enough letters or ideographs to be a sentence, and enough before a quotation to do without it.
+_WORDED, _WORDED_HAN, _HEADED = re.compile(r"(?:[\W\d_]*+[^\W\d_]){12}"), re.compile("(?:[^㐀-鿿]*+[㐀-鿿]){7}"), re.compile(r"(?:[\W\d_]*+[^\W\d_]){5}")
+#: Characters of a step of array operations, so that it stays in the cache.
+STEP = 1 << 14
+_WORD, _BETWEEN, _DIGIT = range(3)
+
+
+@lru_cache(1)
+def _char_kinds() -> np.ndarray:
+    """Of each character: digit, other part of a word, or what stands between words."""
+    word, digit = re.compile(r"[\w'-]"), re.compile(r"\d")
+    return np.fromiter((_DIGIT if digit.match(c) else _WORD if word.match(c) else _BETWEEN for c in map(chr, range(LAST + 1))), np.uint8, LAST + 1)
+
+
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about STEP characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= STEP:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the words of each text, a blank before, between and behind them and a line feed at the end; where each text starts, and the end).
+
+    Each run of digits, and each of other characters between words, is one blank, so there may be several between two words.
+    """
+    codes, starts = code_points([look(t).casefold() for t in texts])
+    kind = _char_kinds()[np.minimum(codes, LAST)]
+    word = np.flatnonzero(kind == _WORD)
+    keep = np.empty(len(codes), bool)
+    keep[:1], keep[1:] = True, kind[1:] != kind[:-1]
+    keep[starts[:-1]] = True
+    keep[word] = True
+    # Only what stands between the first and the last letter of a text.
+    first, past = np.searchsorted(word, starts[:-1]), np.searchsorted(word, starts[1:])
+    some = past > first
+    edge = np.zeros(len(codes) + 1, np.int8)
+    edge[word[first[some]]] = 1
+    edge[word[past[some] - 1] + 1] -= 1
+    keep &= np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    total = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(keep, out=total[1:])
+    size = np.diff(total[starts])
+    to = np.zeros(len(starts), np.int64)
+    np.cumsum(size + 3, out=to[1:])
+    out = np.full(to[-1], 32, np.uint32)
+    out[np.arange(total[-1]) + np.repeat(to[:-1] + 1 - total[starts[:-1]], size)] = np.where(kind == _WORD, codes, 32)[keep]
+    out[to[1:] - 1] = 10
+    return out, to
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of the n-grams of all texts, the text of each): one to three characters in mostly Chinese texts, else three to five."""
-    plain = [f" {_OTHER.sub(' ', look(t).casefold()).strip()} " for t in texts]
-    short = np.array([3 * len(_HAN.findall(t)) > len(t) for t in plain], bool)
+    codes, starts = _plain(texts)
+    han = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum((codes >= 0x3400) & (codes <= 0x9FFF), out=han[1:])
+    size = np.diff(starts)
+    short = 3 * np.diff(han[starts]) > size - 1
     bucket, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for rows, sizes in ((np.flatnonzero(short), (1, 2, 3)), (np.flatnonzero(~short), (3, 4, 5))):
-        codes, starts = code_points([plain[i] for i in rows])
+        if not len(rows):
+            continue
+        c = codes if len(rows) == len(texts) else codes[np.repeat(short if sizes[0] == 1 else ~short, size)]
+        # How many characters there are from each place to the line feed behind its text, which belongs to no n-gram.
+        left = np.repeat(np.cumsum(size[rows]), size[rows]) - np.arange(1, len(c) + 1)
+        row = np.repeat(rows, size[rows])
         for n in sizes:
-            # One more than n, for the line feed behind each text belongs to none.
-            at, row = windows(starts, n + 1)
-            bucket.append((gram_hashes(codes, at, n) >> np.uint64(64 - BITS)).astype(np.int64))
-            owner.append(rows[row])
+            at = np.flatnonzero(left >= n)
+            bucket.append((running_hashes(c, n)[at] >> np.uint64(64 - BITS)).astype(np.int64))
+            owner.append(row[at])
     return np.concatenate(bucket), np.concatenate(owner)
 
 
 def _counts(texts: list[str]) -> np.ndarray:
-    return np.bincount(_grams(texts)[0], minlength=1 << BITS)
+    total = np.zeros(1 << BITS, np.int64)
+    for step in _steps(texts):
+        total += np.bincount(_grams(step)[0], minlength=1 << BITS)
+    return total
 
 
 def _ratio(other: np.ndarray) -> np.ndarray:
@@ -84,10 +148,14 @@ def _ratio(other: np.ndarray) -> np.ndarray:
 
 def _scores(texts: list[str], *ratios: np.ndarray) -> list[np.ndarray]:
     """Mean log ratio of the n-grams of what stands before a quoted text, of each text, by each of `ratios`."""
-    heads = [_REST.sub("", t.strip()) for t in texts]
-    bucket, owner = _grams([h if len(_LETTER.findall(h)) >= 5 else t for h, t in zip(heads, texts, strict=True)])
-    n = np.bincount(owner, minlength=len(texts))
-    return [np.where(n > 0, np.bincount(owner, r[bucket], len(texts)) / np.maximum(n, 1), -9.0) for r in ratios]
+    heads = [_head(t.strip()) for t in texts]
+    out = [[np.zeros(0)] for _ in ratios]
+    for step in _steps([h if _HEADED.match(h) else t for h, t in zip(heads, texts, strict=True)]):
+        bucket, owner = _grams(step)
+        n = np.bincount(owner, minlength=len(step))
+        for x, r in zip(out, ratios, strict=True):
+            x.append(np.where(n > 0, np.bincount(owner, r[bucket], len(step)) / np.maximum(n, 1), -9.0))
+    return [np.concatenate(x) for x in out]
 
 
 class Refusals:
@@ -99,8 +167,8 @@ class Refusals:
             self.ratio = _ratio(_counts(plain))
             scores = self.scores(plain)
             # What looks like a refusal and is repeated isn't held against refusals in the second round.
-            often = Counter(_REST.sub("", a) for a in plain)
-            plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_REST.sub("", a)] < OFTEN] or ["-"]
+            often = Counter(_head(a) for a in plain)
+            plain = [a for a, x in zip(plain, scores, strict=True) if x < ALIKE or often[_head(a)] < OFTEN] or ["-"]
         known = np.sort(self.scores([a for a in plain if _worded(a)] or ["-"]))
         self.least = max(LEAST, float(known[int(ORDINARY * (len(known) - 1))]) + ABOVE)
 
@@ -124,8 +192,13 @@ class Refusals:
         return bool(self.are_refusals([text])[0])
 
 
+def _head(text: str) -> str:
+    """What stands before the text refused."""
+    return _REST.sub("", text) if _OPENING.search(text) else text
+
+
 def _worded(text: str) -> bool:
-    return len(_HAN.findall(text)) >= 7 or len(_LETTER.findall(text)) >= 12
+    return bool(_WORDED.match(text) or _WORDED_HAN.match(text))
 
 
 def _counted(answers: DataFrame) -> np.ndarray:
@@ -152,7 +225,7 @@ def _scored(answers: DataFrame, *ratios: np.ndarray) -> DataFrame:
             texts = b.column("target").to_pylist()
             x = _scores(texts, *ratios)
             some = [t if y >= ALIKE else None for t, y in zip(texts, x[-1].tolist(), strict=True)]
-            out = [pa.array([_REST.sub("", t) for t in texts], pa.string()), pa.array([_worded(t) for t in texts], pa.bool_()), *map(pa.array, x), pa.array(some, pa.string())]
+            out = [pa.array([_head(t) for t in texts], pa.string()), pa.array([_worded(t) for t in texts], pa.bool_()), *map(pa.array, x), pa.array(some, pa.string())]
             yield pa.RecordBatch.from_arrays(out, ["head", "worded", *names, "target"])
 
     names = [f"x{k}" for k in range(len(ratios))]

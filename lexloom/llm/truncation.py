@@ -37,12 +37,13 @@ BITS = 18
 MASK = (1 << BITS) - 1
 FINAL = ".!?。！？"
 CLOSING = tuple(FINAL + ")）")
+_FINAL = frozenset(FINAL)
 NUMBER, TOKEN = re.compile(r"\d+"), re.compile("[㐀-鿿豈-﫿]+|[^\\W\\d_㐀-鿿豈-﫿]+")
 #: An escape that breaks off: an entity, a code point, a byte or a tag.
 BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,4}|[a-z]{1,5})|\\u?[0-9a-fA-F]{0,3}|(?<=[^\W\d])%[0-9A-F]{0,1}|</?[a-z]{0,6})$")
-HAN, CYRILLIC, ASCII = re.compile("[㐀-鿿]"), re.compile("[Ѐ-ԯ]"), re.compile("[A-Za-z]")
-_OTHER = re.compile("[Ͱ-ԯ]")
-STOP = re.compile(r"[.!?](?=\s)|[。！？](?=.)")
+HAN, CYRILLIC, ASCII = re.compile("[㐀-鿿]+"), re.compile("[Ѐ-ԯ]+"), re.compile("[A-Za-z]+")
+_OTHER, _FOREIGN, _FAR = re.compile("[Ͱ-ԯ]"), re.compile("[㐀-鿿Ѐ-ԯ]"), re.compile("[^\0-ԯ\u2000-\u214f]")
+STOP, STOP_HAN = re.compile(r"[.!?](?=\s)"), re.compile("[。！？](?=.)")
 _LATIN = str.maketrans(TO_LATIN)
 #: What may stand after a cut, and after a whole text.
 CUT_MARKS = ("", "", "", "", "…", "...", " …", " ...", "-", "�", " […]", " [...]", ".", "\"", "”", "—", "(...)", " (…)", "..", ",", "�", "&#82", "&am", "&quo", "&#", "&l", "\\u00", "\\u", "%C", "<b", "</")
@@ -59,12 +60,10 @@ def core_of(text: str) -> str:
 
 def script(text: str) -> str:
     """h, c or l: mostly Chinese, Cyrillic or Latin."""
-    if text.isascii():
+    if text.isascii() or not _FOREIGN.search(text):
         return "l"
-    han, cyrillic = len(HAN.findall(text)), len(CYRILLIC.findall(text))
-    if not han and not cyrillic:
-        return "l"
-    latin = len(ASCII.findall(text))
+    han, cyrillic = len("".join(HAN.findall(text))), len("".join(CYRILLIC.findall(text)))
+    latin = len("".join(ASCII.findall(text)))
     return "h" if 2 * han >= max(latin, cyrillic) and han else "c" if cyrillic > latin // 2 and cyrillic > 2 else "l"
 
 
@@ -96,8 +95,8 @@ class Names:
     def __init__(self, words: set[str], finals: set[str]) -> None:
         self.words, self.finals = words, finals
 
-    def of(self, ws: list[str]) -> set[str]:
-        return {w for w in ws if len(w) >= 4 and w.isascii() and w not in self.words}
+    def of(self, ws: Iterable[str]) -> set[str]:
+        return {w for w in set(ws) - self.words if len(w) >= 4 and w.isascii()}
 
 
 def count_endings(targets: Iterable[str]) -> tuple[Counter, Counter]:
@@ -129,58 +128,154 @@ def closed_endings(pairs: DataFrame) -> set[str]:
 
 def ending(text: str) -> str:
     """The last word, or in Chinese the last two characters."""
-    core = core_of(text[-120:]).casefold()
-    return core[-2:] if HAN.match(core[-1:]) else re.split(r"[\W_]", core)[-1]
+    return _ending(core_of(text[-120:]).casefold())
+
+
+def _ending(core: str) -> str:
+    if "㐀" <= core[-1:] <= "鿿":
+        return core[-2:]
+    i = len(core)
+    while i and core[i - 1].isalnum():
+        i -= 1
+    return core[i:]
 
 
 def tokens(text: str) -> list[str]:
     return _tokens(look(text))
 
 
+@lru_cache(1)
+def _letters() -> dict[int, str]:
+    """str.translate table of all characters that are not _FAR: letters as they are compared, all else is blank."""
+    fold = lambda c: TO_LATIN.get(c, c).casefold()
+    return {c: "".join(x if TOKEN.match(x) else " " for x in fold(chr(c))) for c in (*range(0x530), *range(0x2000, 0x2150))}
+
+
+@lru_cache(1)
+def _western() -> bytes:
+    """The same as a table of bytes in cp1252, for texts without ß and µ, whose folded forms have other sizes or no place there."""
+    return bytes([_letters()[ord(c)].encode("cp1252", "replace")[0] if (c := bytes([b]).decode("cp1252", "ignore")) and ord(c) in _letters() else 32 for b in range(256)])
+
+
+def _spaced(plain: str) -> str:
+    """The tokens of a text, with blanks before, between and behind them."""
+    if plain.isascii():
+        return f" {plain.translate(_letters())} "
+    if not _FOREIGN.search(plain) and "µ" not in plain:
+        try:
+            return f" {plain.replace('ß', 'ss').encode('cp1252').translate(_western()).decode('cp1252')} "
+        except UnicodeEncodeError:
+            pass
+    if not _FAR.search(plain):
+        return f" {plain.translate(_letters())} "
+    return f" {' '.join(TOKEN.findall((plain.translate(_LATIN) if _OTHER.search(plain) else plain).casefold()))} "
+
+
 def _tokens(plain: str) -> list[str]:
-    return TOKEN.findall((plain.translate(_LATIN) if _OTHER.search(plain) else plain).casefold())
+    return _spaced(plain).split()
+
+
+def _begun(spaced: str, last: str) -> bool:
+    """Whether a token of more than three characters begins so."""
+    at = spaced.find(f" {last}")
+    while at >= 0 and len(last) <= 3 and spaced.find(" ", at + 1) - at <= 4:
+        at = spaced.find(f" {last}", at + 1)
+    return at >= 0
+
+
+def _has_number(text: str, number: str) -> bool:
+    """Whether a run of digits is one of those of a text."""
+    at, size = text.find(number), len(number)
+    while at >= 0:
+        if not text[at - 1 : at].isdecimal() and not text[at + size : at + size + 1].isdecimal():
+            return True
+        at = text.find(number, at + 1)
+    return False
+
+
+def _stops(core: str) -> int:
+    """Ends of sentences inside."""
+    latin = len(STOP.findall(core)) if "." in core or "?" in core or "!" in core else 0
+    return latin if core.isascii() else latin + len(STOP_HAN.findall(core))
 
 
 @lru_cache(20_000)
 def of_source(source: str) -> tuple:
-    """(core, whether a final mark ends it, script, words, numbers, stops inside) of a source; training asks for each several times, and so does a batch."""
+    """(core, whether a final mark ends it, script, words, numbers, stops inside, words with blanks) of a source; training asks for each several times, and so does a batch."""
     s = look(source).strip()
-    core = core_of(s)
-    return core, any(c in FINAL for c in s[len(core) :]), script(s), _tokens(s), NUMBER.findall(s), len(STOP.findall(core))
+    core, spaced = core_of(s), _spaced(s)
+    return core, not _FINAL.isdisjoint(s[len(core) :]), script(s), spaced.split(), NUMBER.findall(s), _stops(core), spaced
+
+
+@lru_cache(16)
+def _named(source: str, names: Names) -> set[str]:
+    """The names of a source; training asks for them twice in a row."""
+    return names.of(of_source(source)[3])
+
+
+def _hash(feature: str) -> int:
+    return crc32(feature.encode("utf-8", "surrogatepass")) & MASK
+
+
+#: Hashes of features that are often the same.
+_known_hash = lru_cache(1 << 16)(_hash)
+
+
+@lru_cache(1 << 16)
+def _closing(known: int, ends: bool, s_ends: bool, dots: bool, lost: bool, missing: bool, blank: bool, near: str, behind: int) -> tuple[int, ...]:
+    """Hashes of how the target closes: T, k (3), l (2), b (2)."""
+    state = f"{ends}{s_ends}{dots}"
+    return tuple(map(_hash, (f"T{state}{lost}{missing}", f"k{known}", f"k{known}{state}", f"k{known}{blank}{dots}", f"l{near}", f"l{near}{state}", f"b{behind}", f"b{behind}{state}")))
+
+
+@lru_cache(1 << 16)
+def _content(inside: bool, half: str | bool, all_gone: bool, none_there: bool, ends: bool, lost: int, last_lost: bool, missing: int) -> tuple[int, ...]:
+    """Hashes of what of the source is there: i, h, a, n, N, m."""
+    return tuple(map(_hash, (f"i{inside}{half}", f"h{half}", f"a{all_gone}{none_there}{ends}", f"n{lost}", f"N{last_lost}", f"m{missing}")))
+
+
+@lru_cache(1 << 16)
+def _size(kinds: str, ratio: int, near: str) -> tuple[int, ...]:
+    """Hashes of the length against the source's: r, R."""
+    return _hash(f"r{kinds}{ratio}"), _hash(f"R{kinds}{ratio // 3}{near}")
+
+
+@lru_cache(1 << 16)
+def _form(same: bool, begins: bool, broken: bool, quoted: bool, letter: bool, digit: bool, blank: bool, blank_too: bool) -> tuple[int, ...]:
+    """Hashes of the form of the target: z, x, q, c."""
+    return tuple(map(_hash, (f"z{same}{begins}", f"x{broken}", f"q{quoted}", f"c{letter}{digit}{blank}{blank_too}")))
 
 
 def features(source: str, target: str, limit: float | None, names: Names, more: tuple[str, ...] = ()) -> list[int]:
     """Hashed features of one pair."""
     t = look(target).rstrip()
-    broken = BROKEN.search(t[-12:])
+    end = t[-12:]
+    broken = BROKEN.search(end) if "&" in end or "\\" in end or "%" in end or "<" in end else None
     if broken:
         t = t[: len(t) - len(broken.group())].rstrip()
     core = core_of(t)
     tail, low = t[len(core) :], core.casefold()
-    s_core, s_ends, s_script, ws, numbers, s_stops = of_source(source)
-    ends = any(c in FINAL for c in tail) and not tail.endswith(("..", "…"))
+    s_core, s_ends, s_script, ws, numbers, s_stops, s_spaced = of_source(source)
+    named, spaced = _named(source, names), _spaced(t)
+    ends = not _FINAL.isdisjoint(tail) and not tail.endswith(("..", "…"))
     dots = "…" in tail or ".." in tail
-    kinds = s_script + script(t)
-    target_ws = _tokens(t)
-    last = target_ws[-1] if target_ws and core[-1].isalpha() else ""
-    sws, named = set(ws), names.of(ws)
-    missing = named.difference(target_ws)
-    there = set(NUMBER.findall(t)) if numbers else ()
-    lost = [n for n in numbers if n not in there]
+    last = spaced.rsplit(None, 1)[-1] if core and core[-1].isalpha() else ""
+    missing = [w for w in named if f" {w} " not in spaced]
+    lost = [n for n in numbers if not _has_number(t, n)]
     ratio = round(8 * math.log((len(core) + 1) / (len(s_core) + 1))) if s_core else 99
     near = "none" if limit is None or limit != limit else "at" if len(target) == limit else "over" if len(target) > limit else "close" if len(target) >= limit - 3 else "under"
-    behind = max(-2, min(3, s_stops - len(STOP.findall(core))))
-    half = last and last not in sws and any(w.startswith(last) for w in sws if len(w) > 3)
-    state = f"{ends}{s_ends}{dots}"
-    known = 2 if last and last in sws and last not in names.words else int(ending(t) in names.finals)
-    out = [
-        f"z{core == s_core}{s_core.startswith(core)}", f"x{bool(broken)}", f"t{tail[:4]}", f"T{state}{bool(lost)}{bool(missing)}", f"e{low[-2:]}", f"e{low[-3:]}", f"e{low[-5:]}", f"w{last or low[-2:]}", f"v{' '.join(low.split()[-2:])[-24:]}",
-        f"k{known}", f"k{known}{state}", f"k{known}{tail[:1].isspace()}{dots}", f"i{last in sws}{half}", f"h{half}", f"r{kinds}{ratio}", f"R{kinds}{ratio // 3}{near}", f"l{near}", f"l{near}{state}", f"b{behind}", f"b{behind}{state}",
-        f"a{bool(ws) and bool(missing) and missing == named}{bool(numbers) and len(lost) == len(numbers)}{ends}",
-        f"n{min(len(lost), 3)}", f"N{bool(numbers) and numbers[-1] not in there}", f"m{min(len(missing), 2)}", f"p{core.count('(') - core.count(')') + core.count('（') - core.count('）')}{')' in tail or '）' in tail}",
-        f"q{core.count('“') + core.count('„') + core.count('«') > core.count('”') + core.count('“') * ('„' in core) + core.count('»')}", f"c{core[-1:].isalpha()}{core[-1:].isdigit()}{t[-1:].isspace()}{target[-1:].isspace()}", *more,
+    behind = max(-2, min(3, s_stops - _stops(core)))
+    inside = bool(last) and f" {last} " in s_spaced
+    half = last and not inside and _begun(s_spaced, last)
+    known = 2 if last and inside and last not in names.words else int(_ending(core[max(0, len(t) - 120) :].casefold() if len(t) > 120 else low) in names.finals)
+    h_t, k, k_state, k_blank, l, l_state, b, b_state = _closing(known, ends, s_ends, dots, bool(lost), bool(missing), tail[:1].isspace(), near, behind)
+    i, h, a, n, n_last, m = _content(inside, half, bool(ws) and bool(missing) and len(missing) == len(named), bool(numbers) and len(lost) == len(numbers), ends, min(len(lost), 3), bool(numbers) and numbers[-1] in lost, min(len(missing), 2))
+    z, x, q, c = _form(core == s_core, s_core.startswith(core), bool(broken), not core.isascii() and core.count("“") + core.count("„") + core.count("«") > core.count("”") + core.count("“") * ("„" in core) + core.count("»"), core[-1:].isalpha(), core[-1:].isdigit(), t[-1:].isspace(), target[-1:].isspace())
+    open_ones = core.count("(") - core.count(")") + core.count("（") - core.count("）")
+    return [
+        z, x, _known_hash(f"t{tail[:4]}"), h_t, _known_hash(f"e{low[-2:]}"), _known_hash(f"e{low[-3:]}"), _hash(f"e{low[-5:]}"), _hash(f"w{last or low[-2:]}"), _hash(f"v{' '.join(low.rsplit(None, 2)[-2:])[-24:]}"),
+        k, k_state, k_blank, i, h, *_size(s_script + script(t), ratio, near), l, l_state, b, b_state, a, n, n_last, m, _known_hash(f"p{open_ones}{')' in tail or '）' in tail}"), q, c, *map(_hash, more),
     ]
-    return [crc32(f.encode("utf-8", "surrogatepass")) & MASK for f in out]
 
 
 def cut_one(target: str, rng: np.random.Generator) -> str:
@@ -252,16 +347,17 @@ class Truncation:
     def _intact(source: str, target: str) -> bool:
         """Fit to learn from: as closed as its source, not dotted, of two letters at least."""
         s, t = look(source).rstrip(), look(target).rstrip()
-        if len(TOKEN.findall(t)) == 0 or t.endswith(("..", "…")):
+        if not TOKEN.search(t) or t.endswith(("..", "…")):
             return False
-        closed = lambda x: x[-1:] in FINAL or x[-1:] in ")）"
-        return closed(t) == closed(s)
+        closed = FINAL + ")）"
+        return (t[-1:] in closed) == (s[-1:] in closed)
 
     def score(self, rows: list[tuple[str, str, float | None]]) -> np.ndarray:
-        x = [features(s, t, limit, self.names) for s, t, limit in rows]
-        at = np.zeros(len(x) + 1, np.int64)
-        np.cumsum([len(r) for r in x], out=at[1:])
-        score = self.model.score(np.array([i for r in x for i in r], np.int64), at)
+        x, at = array("q"), array("q", [0])
+        for s, t, limit in rows:
+            x.extend(features(s, t, limit, self.names))
+            at.append(len(x))
+        score = self.model.score(np.array(x, np.int64), np.array(at, np.int64))
         cut = np.flatnonzero(score >= CUT)
         score[cut[self.refusals.are_refusals([rows[i][1] for i in cut])]] = 0.0  # no beginning of a translation
         return score

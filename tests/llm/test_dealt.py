@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import charfold, duplicates, languages, leaks, lookalike, packing, pages, pairs, queries, refs, refusals, streams, toxicity, truncation
+from lexloom.llm import charfold, duplicates, languages, leaks, learn, lookalike, packing, pages, pairs, queries, refs, refusals, streams, toxicity, truncation
 
 LONG = ("word and number 12, " * 20000).strip()
 HARD = ["", " ", "\n", "​", None, "a", "🙂" * 30, "." * 5000, "a b " * 3000, LONG, "x" * 20000, "퟿ odd", "key: v; key: w", "a\tb", "١٢٣"]
@@ -299,6 +300,86 @@ def test_fits_take_all_rows(spark, monkeypatch):
     assert np.allclose(fitted.model.w, again.model.w, atol=1e-6) and np.isclose(fitted.model.bias, again.model.bias)
 
 
+def plain_grams(texts):
+    """The n-grams of refusals, text by text."""
+    out = []
+    for i, t in enumerate(texts):
+        p = " " + re.sub(r"[^\w'-]+|\d+", " ", charfold.look(t).casefold()).strip() + " "
+        codes, _ = streams.code_points([p])
+        for n in (1, 2, 3) if 3 * len(re.findall("[㐀-鿿]", p)) > len(p) else (3, 4, 5):
+            h = streams.gram_hashes(codes, np.arange(max(0, len(p) - n + 1)), n) >> np.uint64(64 - refusals.BITS)
+            out += [(i, int(x)) for x in h]
+    return out
+
+
+def plain_fit(index, rows, y, weight, size, epochs, rate=0.15, decay=1e-6, batch=256):
+    rng, w, seen, bias, seen_b = np.random.default_rng(7), np.zeros(size), np.full(size, 1e-2), 0.0, 1e-2
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), batch):
+            r = order[k : k + batch]
+            i = np.concatenate([index[rows[j] : rows[j + 1]] for j in r])
+            who = np.repeat(np.arange(len(r)), np.diff(rows)[r])
+            d = (1 / (1 + np.exp(-np.bincount(who, w[i], len(r)) - bias)) - y[r]) * weight[r]
+            used, back = np.unique(i, return_inverse=True)
+            g = np.bincount(back, d[who]) / len(r) + decay * w[used]
+            seen[used] += g * g
+            w[used] -= rate * g / np.sqrt(seen[used])
+            seen_b += d.mean() ** 2
+            bias -= rate * d.mean() / np.sqrt(seen_b)
+    return w, bias
+
+
+def test_quick_ways_equal_plain_ones():
+    # Words: each character alone, inside a word and beside other scripts.
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x12000), *range(0x1F600, 0x1F650), 0x20000)):
+        for t in (c, f"ab{c}ä", f"Б{c}Cß 12{c}3", f"中{c}文x", f"{c}µ"):
+            assert truncation._tokens(t) == truncation.TOKEN.findall((t.translate(truncation._LATIN) if truncation._OTHER.search(t) else t).casefold())
+    rng = random.Random(5)
+    texts = [t for t in HARD if t is not None] + ["".join(rng.choice("ab 1,'-_ßЖ中文\n\0²") for _ in range(rng.randrange(60))) for _ in range(300)]
+    for t in texts:
+        core = truncation.core_of(t[-120:]).casefold()
+        assert truncation.ending(t) == (core[-2:] if re.match("[㐀-鿿]", core[-1:]) else re.split(r"[\W_]", core)[-1])
+        assert refusals._worded(t) == (len(re.findall("[㐀-鿿]", t)) >= 7 or len(re.findall(r"[^\W\d_]", t)) >= 12)
+        for x in ("1", "12"):
+            assert truncation._has_number(t, x) == (x in re.findall(r"\d+", t))
+        words = truncation._tokens(t)
+        for x in ("a", "ab", "文", "aab", "ж"):
+            assert truncation._begun(truncation._spaced(t), x) == any(w.startswith(x) for w in words if len(w) > 3)
+    bucket, owner = refusals._grams(texts)
+    assert Counter(zip(owner.tolist(), bucket.tolist(), strict=True)) == Counter(plain_grams(texts))
+    # The fit, also of rows of several sizes.
+    draw = np.random.default_rng(3)
+    rows = np.append(0, np.cumsum(draw.integers(0, 9, 700)))
+    index, y, weight = draw.integers(0, 400, rows[-1]), (draw.random(700) < 0.4).astype(float), draw.integers(1, 4, 700).astype(float)
+    got = learn.HashedLogistic(12, epochs=3).fit(index, rows, y, weight=weight)
+    w, bias = plain_fit(index, rows, y, weight, 1 << 12, 3)
+    assert np.array_equal(got.w, w.astype(np.float32)) and got.bias == bias
+
+
+def test_refusals_cost_less_than_text_by_text():
+    """Counting the n-grams of a table takes much less time than folding each text and hashing windows gathered one by one."""
+    texts = [f"{s} {i}, {t}" for i, (s, t) in enumerate(made_pairs(random.Random(4), 3000))]
+    between = re.compile(r"[^\w'-]+|\d+")
+
+    def gathered():
+        codes, starts = streams.code_points([f" {between.sub(' ', charfold.look(t).casefold()).strip()} " for t in texts])
+        total = np.zeros(1 << refusals.BITS, np.int64)
+        for n in (3, 4, 5):
+            at, _ = streams.windows(starts, n + 1)
+            total += np.bincount((streams.gram_hashes(codes, at, n) >> np.uint64(64 - refusals.BITS)).astype(np.int64), minlength=len(total))
+        return total
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert np.array_equal(gathered(), refusals._counts(texts))
+    took = [(seconds(lambda: refusals._counts(texts)), seconds(gathered)) for _ in range(7)]
+    assert min(a for a, _ in took) < 0.8 * min(b for _, b in took)
+
+
 def test_refusals():
     r = refusals.Refusals([t for _, t in made_pairs(random.Random(1), 500)])
     assert r.is_refusal("Unfortunately I cannot help with this request.") and r.is_refusal("抱歉，我不能翻译这个内容。") and not r.is_refusal("Die Leitung von Bako dankt allen.") and not r.is_refusal("")
